@@ -158,7 +158,7 @@ def modularity(arcs: DataFrame, assignment: DataFrame, total: float) -> float:
 
 
 def communities(
-    graph: Graph, *, seed: int = 42, max_levels: int = 10, max_rounds: int = 12, minimum_gain: float = 1e-4
+    graph: Graph, *, seed: int = 42, max_levels: int = 10, max_rounds: int = 8, minimum_gain: float = 1e-3
 ) -> DataFrame:
     """(node_id, community_id, community_size): multi-level modularity optimisation.
 
