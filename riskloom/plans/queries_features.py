@@ -89,7 +89,7 @@ def filled(side: str) -> str:
     whole = ("transaction_count", "counterparty_count", "first_time", "last_time")
     return ", ".join(
         [f"coalesce({side}_{n}, 0) AS {side}_{n}" for n in whole]
-        + [r(f"coalesce({side}_{n}, 0)", f"{side}_{n}", 4) for n in ("amount_total", "amount_mean")]
+        + [r(f"coalesce({side}_{n}, 0)", f"{side}_{n}") for n in ("amount_total", "amount_mean")]
     )
 
 
@@ -97,8 +97,8 @@ FLOWS = f"""SELECT node_id, is_fraud, initial_balance, fraud_step, {filled('outg
  greatest(coalesce(outgoing_last_time - outgoing_first_time, 0), 0) AS outgoing_time_span,
  greatest(coalesce(incoming_last_time - incoming_first_time, 0), 0) AS incoming_time_span,
  coalesce(outgoing_transaction_count, 0) + coalesce(incoming_transaction_count, 0) AS total_transaction_count,
- {r("coalesce(outgoing_amount_total, 0) + coalesce(incoming_amount_total, 0)", "total_amount", 4)},
- {r("coalesce(outgoing_amount_total, 0) - coalesce(incoming_amount_total, 0)", "net_outgoing_amount", 4)}
+ {r("coalesce(outgoing_amount_total, 0) + coalesce(incoming_amount_total, 0)", "total_amount")},
+ {r("coalesce(outgoing_amount_total, 0) - coalesce(incoming_amount_total, 0)", "net_outgoing_amount")}
 FROM nodes LEFT JOIN out_flow USING (node_id) LEFT JOIN in_flow USING (node_id)"""
 FLOW_VIEWS = {
     "out_flow": flow_side("source_node_id", "target_node_id", "outgoing"),
@@ -110,15 +110,10 @@ def to_four(df, names):
     return df.withColumns({n: F.round(n, 4) for n in names})
 
 
-FLOW_AMOUNTS = [
-    "outgoing_amount_total", "outgoing_amount_mean", "incoming_amount_total", "incoming_amount_mean", "total_amount",
-    "net_outgoing_amount",
-]
-
 
 @query("A6_account_flows", FLOWS, **FLOW_VIEWS)
 def _(data):
-    return to_four(flows.account_flows(data.nodes, flows.pair_totals(data.transfers)), FLOW_AMOUNTS)
+    return flows.account_flows(data.nodes, flows.pair_totals(data.transfers))
 
 
 def velocity_sql(key: str, other: str, side: str) -> str:
@@ -144,13 +139,13 @@ def _(data):
 
 
 @query("A8_merchant_rollup", f"""
-SELECT merchant_id, count(*) AS transaction_count, {r("sum(" + money("amount") + ")", "total_amount", 4)},
- {r("sum(" + money("amount") + ")::DOUBLE / count(*)", "average_amount", 4)},
+SELECT merchant_id, count(*) AS transaction_count, {r("sum(" + money("amount") + ")", "total_amount")},
+ {r("sum(" + money("amount") + ")::DOUBLE / count(*)", "average_amount")},
  count(DISTINCT source_node_id) AS unique_buyer_count, count(DISTINCT target_node_id) AS unique_anchor_account_count,
  min(event_time) AS first_event_time, max(event_time) AS last_event_time, max(merchant_segment) AS merchant_segment,
  max(event_time) - min(event_time) AS active_time_span FROM archive_links GROUP BY merchant_id""")
 def _(data):
-    return to_four(flows.merchant_features(flows.pair_totals(data.transfers)), ["total_amount", "average_amount"])
+    return flows.merchant_features(flows.pair_totals(data.transfers))
 
 
 def _merchant_speed() -> str:

@@ -158,9 +158,9 @@ def _pna() -> str:
     names = [f"balance_{n}" for n in four]
     stats = ", ".join(f"{e} AS balance_{n}" for n, e in four.items())
     up, down = "ln(greatest(in_degree, 1) + 1) / delta", "delta / ln(greatest(in_degree, 1) + 1)"
-    picks = [r(f"coalesce({n}, 0)", n, 2) for n in names]
-    picks += [r(f"coalesce({n}, 0) * {up}", f"{n}_amplified", 2) for n in names]
-    picks += [r(f"coalesce({n}, 0) * {down}", f"{n}_attenuated", 2) for n in names]
+    picks = [r(f"coalesce({n}, 0)", n) for n in names]
+    picks += [r(f"coalesce({n}, 0) * {up}", f"{n}_amplified") for n in names]
+    picks += [r(f"coalesce({n}, 0) * {down}", f"{n}_attenuated") for n in names]
     return f"""SELECT node_id, in_degree, {', '.join(picks)} FROM (SELECT *, avg(ln(in_degree + 1)) OVER () AS delta FROM
  (SELECT n.node_id, count(s.b) AS in_degree, {stats} FROM nodes n LEFT JOIN (SELECT target_node_id, initial_balance AS b
  FROM transfers JOIN nodes ON source_node_id = node_id) s ON s.target_node_id = n.node_id GROUP BY 1))"""
@@ -169,10 +169,9 @@ def _pna() -> str:
 @query("G13_neighbourhood_aggregation", _pna())
 def _(data):
     features = data.nodes.withColumnRenamed("initial_balance", "balance")
-    rows = graphs.neighbourhood_aggregation(
+    return graphs.neighbourhood_aggregation(
         features, data.transfers, ["balance"], source="source_node_id", target="target_node_id"
     )
-    return rows.withColumns({c: F.round(c, 2) for c in rows.columns if c.startswith("balance")})
 
 
 @query("C17_graph_bundle")

@@ -123,7 +123,10 @@ def monitoring_metrics(events: DataFrame) -> DataFrame:
         "drift_last_sample_size": latest(F.col("sample_size")),
         "drift_last_feature_count_analyzed": latest(F.col("analyzed_feature_count")),
         "drift_last_drifted_feature_count": latest(F.size("drifted_features")),
-        **{f"drift_duration_le_{b:g}": F.count_if(F.col("duration_seconds") <= b) for b in DURATION_BUCKETS},
+        **{
+            f"drift_duration_le_{int(b * 1000)}ms": F.count_if(F.col("duration_seconds") <= b)
+            for b in DURATION_BUCKETS
+        },
         "drift_duration_sum": F.sum("duration_seconds"),
     }
     row = events.agg(*[m.cast("double").alias(n) for n, m in measures.items()])
