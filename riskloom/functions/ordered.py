@@ -12,30 +12,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from riskloom.session import materialise
+
 FANOUT = 16
 
 
-def search_sorted(value: Column, bounds: Column, levels: int) -> Column:
-    """Number of slice boundaries at or below ``value``.
+def with_slice(df: DataFrame, value: Column, bounds: str, levels: int, name: str = "_slice") -> DataFrame:
+    """Adds the number of slice boundaries at or below ``value``.
 
-    ``bounds`` is an ascending array of FANOUT**levels - 1 boundaries. The search is a 16-way tree of
-    ``when`` expressions per level: four comparisons a level, all generated code.
+    ``bounds`` names an ascending array of FANOUT**levels - 1 boundaries. Each level is a 16-way tree of
+    ``when`` expressions, four comparisons per row in generated code; a level's result is a column of
+    its own, so the next level does not repeat its expression.
     """
 
     def descend(base: Column, step: int, low: int, high: int) -> Column:
         if low == high:
-            return F.lit(low)
+            return F.lit(low * step)
         middle = (low + high + 1) // 2
-        boundary = F.get(bounds, base + F.lit(middle * step - 1))
+        boundary = F.get(F.col(bounds), base + F.lit(middle * step - 1))
         return F.when(value >= boundary, descend(base, step, middle, high)).otherwise(
             descend(base, step, low, middle - 1)
         )
 
-    position = F.lit(0)
-    for level in range(levels - 1, -1, -1):
-        step = FANOUT**level
-        position = position + descend(position, step, 0, FANOUT - 1) * F.lit(step)
-    return position
+    result = df.withColumn(name, descend(F.lit(0), FANOUT ** (levels - 1), 0, FANOUT - 1))
+    for level in range(levels - 2, -1, -1):
+        base = F.col(name)
+        result = result.withColumn(name, base + descend(base, FANOUT**level, 0, FANOUT - 1))
+    return result
 
 
 def slice_percentages(levels: int) -> list[float]:
@@ -50,33 +53,37 @@ def running_totals(
     values: Sequence[str],
     *,
     levels: int = 2,
+    stored: bool = False,
 ) -> DataFrame:
     """Adds ``<value>_upto`` (inclusive prefix sum in ascending ``order``) to every row.
 
     ``rows`` must hold one row per (groups, order), with a numeric order column: pre-aggregate first,
-    which also removes the skew of frequent values. One group is spread over 16**levels tasks.
+    which also removes the skew of frequent values. One group is spread over 16**levels tasks. Unless
+    they are ``stored`` already, the pre-aggregated rows are written once: they are read for the
+    boundaries and again for the sums, and their source should not be scanned for each.
     """
+    if not stored:
+        rows = materialise(rows, "ordered")
     groups = list(groups)
     order_number = F.col(order).cast("double")
-    accuracy = 100 * FANOUT**levels
+    accuracy = 20 * FANOUT**levels
     bounds = rows.groupBy(*groups).agg(
         F.percentile_approx(order_number, slice_percentages(levels), accuracy).alias("_bounds")
     )
-    sliced = (
-        (rows.join(bounds, groups) if groups else rows.withColumn("_bounds", bounds.scalar()))
-        .withColumn("_slice", search_sorted(order_number, F.col("_bounds"), levels))
-        .drop("_bounds")
-    )
+    bounded = rows.join(bounds, groups) if groups else rows.withColumn("_bounds", bounds.scalar())
     keys = [*groups, "_slice"]
+    # one exchange feeds both the slice totals and the window inside a slice
+    sliced = with_slice(bounded, order_number, "_bounds", levels).drop("_bounds").repartition(*keys)
     # at most 16**levels rows per group from here on
-    totals = sliced.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    # (the unused minimum keeps the columns of both reads of the exchange equal, so it is shared)
+    totals = sliced.groupBy(*keys).agg(F.min(order).alias("_low"), *[F.sum(v).alias(f"_t_{v}") for v in values])
     before = W.partitionBy(*(groups or [F.lit(1)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values]
+        *keys, "_low", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values]
     )
     inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(v).over(inside).alias(f"_l_{v}") for v in values])
-    return local.join(offsets, keys).select(
+    return local.join(offsets, keys).where(F.col(order) >= F.col("_low")).select(
         *rows.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}_upto") for v in values]
     )
 
@@ -84,9 +91,10 @@ def running_totals(
 def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float], *, levels: int = 2) -> DataFrame:
     """One row with the linear-interpolated quantiles (named by the dict keys); NULLs are skipped."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    counts = materialise(counts, "counts")
     total = counts.agg(F.sum("n")).scalar()
     ranked = (
-        running_totals(counts, [], "value", ["n"], levels=levels)
+        running_totals(counts, [], "value", ["n"], levels=levels, stored=True)
         .withColumn("_total", total)
         .withColumn("_from", F.col("n_upto") - F.col("n"))
     )

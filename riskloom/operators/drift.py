@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.columns import money_sum, numeric_columns, relative_change, safe_divide
 from riskloom.functions.ordered import running_totals
+from riskloom.session import materialise
 
 # Identifiers, labels and times are not features
 NOT_FEATURES = (
@@ -105,7 +106,7 @@ def distribution_steps(cohorts: DataFrame, columns: Sequence[str], *, levels: in
 
 def feature_drift(cohorts: DataFrame, columns: Sequence[str], *, levels: int = 2) -> DataFrame:
     """Means, deltas and the KS statistic per feature; features missing in a cohort are left out."""
-    counts = value_counts(cohorts, columns)
+    counts = materialise(value_counts(cohorts, columns), "counts")
     weighted = [
         (F.sum(F.col("value") * F.col(side)) / F.nullif(F.sum(side), F.lit(0))).alias(f"{side}_mean")
         for side in ("baseline", "recent")
@@ -114,7 +115,7 @@ def feature_drift(cohorts: DataFrame, columns: Sequence[str], *, levels: int = 2
         F.sum("baseline").alias("baseline_rows"), F.sum("recent").alias("recent_rows"), *weighted
     )
     totals = totals.where("baseline_rows > 0 and recent_rows > 0")
-    steps = running_totals(counts, ["feature"], "value", ["baseline", "recent"], levels=levels)
+    steps = running_totals(counts, ["feature"], "value", ["baseline", "recent"], levels=levels, stored=True)
     gap = F.abs(F.col("baseline_upto") / F.col("baseline_rows") - F.col("recent_upto") / F.col("recent_rows"))
     statistics = steps.join(totals.select("feature", "baseline_rows", "recent_rows"), "feature")
     statistics = statistics.groupBy("feature").agg(F.max(gap).alias("ks_statistic"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as X
-from riskloom.functions.ordered import exact_quantiles, keep_first, running_totals, search_sorted
+from riskloom.functions.ordered import exact_quantiles, keep_first, running_totals, with_slice
 
 
 def test_coercions(spark):
@@ -48,7 +48,7 @@ def test_safe_arithmetic(spark):
 
 
 @pytest.mark.parametrize("levels", [1, 2])
-def test_search_sorted(spark, levels):
+def test_with_slice(spark, levels):
     size = 16**levels - 1
     rng = random.Random(levels)
     bounds = sorted(rng.choice([rng.uniform(0, 9), 5.0]) for _ in range(size))
@@ -56,7 +56,7 @@ def test_search_sorted(spark, levels):
     df = spark.createDataFrame([(v,) for v in values], "v double").withColumn(
         "b", F.array(*[F.lit(b) for b in bounds])
     )
-    got = [r[0] for r in df.select(search_sorted(F.col("v"), F.col("b"), levels)).collect()]
+    got = [r._slice for r in with_slice(df, F.col("v"), "b", levels).collect()]
     assert got == [int(np.searchsorted(bounds, v, side="right")) for v in values]
 
 
