@@ -8,7 +8,7 @@ from riskloom.functions.columns import hash_fraction
 from riskloom.operators import graph as graphs, iterative, metrics, models, quality, scoring
 from riskloom.plans import graph as graph_plans
 from riskloom.plans.oracle import money, r
-from riskloom.plans.queries_features import CURVE
+from riskloom.plans.queries_features import CURVE, FLOW_VIEWS, drift_sql
 from riskloom.plans.queries_tables import CONFUSION, scored_accounts
 from riskloom.plans.registry import query
 from riskloom.session import work_path
@@ -290,6 +290,32 @@ def _(data):
     return scoring.lookup(asked, data.scores)
 
 
+@query("M10_account_lookup", """
+SELECT o.o_orderkey AS account_id, s.score AS fraud_probability, s.score >= 0.5 AS is_high_risk,
+ CASE WHEN s.account_id IS NOT NULL THEN 0.5 END::DOUBLE AS threshold_used, s.account_id IS NOT NULL AS found
+FROM orders o LEFT JOIN scored s ON o.o_orderkey = s.account_id""")
+def _(data):
+    scores = scored_accounts(data).select("account_id", F.col("score").alias("fraud_probability"))
+    asked = data.table("orders").select(F.col("o_orderkey").alias("account_id"))
+    return scoring.lookup(asked, scoring.decide(scores, 0.5))
+
+
+WEIGHTS = {"l_quantity": 0.8, "l_extendedprice": 0.5, "l_discount": -0.4, "l_tax": 1.1}
+
+
+@query("M11_linear_contributions", f"""
+SELECT account_id, feature, {r('contribution', 'contribution', 4)}, rank FROM (SELECT *, row_number() OVER (PARTITION BY
+ account_id ORDER BY contribution DESC, feature) AS rank FROM (SELECT account_id, {', '.join(
+    f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () * {w} AS {c}" for c, w in WEIGHTS.items())} FROM
+ (SELECT l_orderkey AS account_id, {', '.join(f"sum({c}::DECIMAL(18,4))::DOUBLE AS {c}" for c in WEIGHTS)} FROM lineitem
+ GROUP BY 1)) UNPIVOT (contribution FOR feature IN ({', '.join(WEIGHTS)}))) WHERE rank <= 2""")
+def _(data):
+    sums = [F.sum(F.col(c).cast("decimal(18,4)")).cast("double").alias(c) for c in WEIGHTS]
+    rows = data.table("lineitem").groupBy(F.col("l_orderkey").alias("account_id")).agg(*sums)
+    top = scoring.linear_contributions(scoring.standardise(rows, list(WEIGHTS)), WEIGHTS, k=2)
+    return top.withColumn("contribution", F.round("contribution", 4))
+
+
 def contributions(data):
     return scoring.model_contributions(data.model, data.tabular, k=5)
 
@@ -360,21 +386,39 @@ def _(data):
     return jobs.ingest(stream, work_path(data.spark, "ingested"), work_path(data.spark, "offsets"))
 
 
+MONITORED = ["total_amount", "incoming_transaction_count", "outgoing_transaction_count"]
+
+
 def _drift_log(data):
+    """One micro-batch: the account features, with a surge in half of the accounts."""
     baseline, recent = data.drift_pair
-    names = ["total_amount", "outgoing_tx_velocity_30d", "incoming_transaction_count"]
     folder = work_path(data.spark, "arrivals")
     half = hash_fraction(F.col("node_id"), 7) < 0.5
     recent.where(half).unionByName(baseline.where(~half)).write.parquet(folder)
     stream = jobs.stream_files(data.spark, folder, baseline.schema, format="parquet", files_per_trigger=1000)
     return jobs.monitor_drift(
-        stream, baseline, work_path(data.spark, "events"), work_path(data.spark, "offsets"), columns=names
+        stream, baseline, work_path(data.spark, "events"), work_path(data.spark, "offsets"), columns=MONITORED
     )
 
 
-@query("R2_drift_monitor")
+# at these row counts every KS statistic of 0.2 has a p-value far below 0.05
+ARRIVALS = """SELECT CASE WHEN cohort = 'recent' AND ('0x' || substr(sha256('7:fraction:' || node_id), 1, 12))::BIGINT
+ / 281474976710656.0 < 0.5 THEN 5.0 ELSE 1.0 END::DOUBLE * (coalesce(outgoing_amount_total, 0) +
+ coalesce(incoming_amount_total, 0)) AS total_amount, coalesce(outgoing_transaction_count, 0) AS
+ outgoing_transaction_count, coalesce(incoming_transaction_count, 0) AS incoming_transaction_count, cohort
+ FROM nodes LEFT JOIN out_flow USING (node_id) LEFT JOIN in_flow USING (node_id),
+ (SELECT unnest(['baseline', 'recent']) AS cohort)"""
+
+
+@query("R2_drift_monitor", f"""
+SELECT 0::BIGINT AS batch_id, max(ks) >= 0.2 AS drift_detected, {r('max(ks)', 'drift_score')},
+ count(*) FILTER (WHERE ks >= 0.2) AS drifted, (SELECT count(*) FROM nodes) AS sample_size,
+ count(*) AS analyzed_feature_count FROM ks_values""", **FLOW_VIEWS, **drift_sql(ARRIVALS, MONITORED))
 def _(data):
-    return _drift_log(data).drop("timestamp", "duration_seconds")
+    return _drift_log(data).select(
+        "batch_id", "drift_detected", "drift_score", F.size("drifted_features").cast("bigint").alias("drifted"),
+        "sample_size", "analyzed_feature_count",
+    )
 
 
 @query("S10_event_log")
@@ -382,9 +426,55 @@ def _(data):
     return _drift_log(data).select("batch_id", "drift_detected", F.explode("drifted_features").alias("feature"))
 
 
-@query("R3_monitoring_metrics")
+LOG = """SELECT day(ts)::BIGINT AS batch_id, count(*) FILTER (WHERE event_type = 'error') * 5 > count(*) AS detected,
+ round(sum(value::DECIMAL(18,4))::DOUBLE / count(*) / 1000, 6) AS score, count(*) AS sample_size,
+ count(DISTINCT event_type) AS features, count(*) % 3 AS drifted, day(ts) / 10.0 AS seconds FROM events GROUP BY day(ts)"""
+
+
+@query("R3_monitoring_metrics", " UNION ALL ".join([
+    "SELECT 'drift_analyses_total' AS metric, count(*)::DOUBLE AS value FROM log_rows",
+    "SELECT 'drift_events_logged_total', count(*)::DOUBLE FROM log_rows",
+    "SELECT 'drift_detected_total', count(*) FILTER (WHERE detected)::DOUBLE FROM log_rows",
+    *[f"SELECT 'drift_last_{name}', arg_max({c}, batch_id)::DOUBLE FROM log_rows" for name, c in (
+        ("score", "score"), ("sample_size", "sample_size"), ("feature_count_analyzed", "features"),
+        ("drifted_feature_count", "drifted"))],
+    *[f"SELECT 'drift_duration_le_{int(b * 1000)}ms', count(*) FILTER (WHERE seconds <= {b})::DOUBLE FROM log_rows"
+      for b in jobs.DURATION_BUCKETS],
+    f"SELECT 'drift_duration_sum', {r('sum(seconds)', 'value')} FROM log_rows",
+]), log_rows=LOG)
+def _(data):
+    daily = data.table("events").groupBy(F.dayofmonth("ts").alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"),
+        F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"),
+        F.countDistinct("event_type").alias("kinds"),
+    )
+    log = daily.select(
+        F.format_string("2024-01-%02d", "day").alias("timestamp"),
+        (F.col("errors") * 5 > F.col("n")).alias("drift_detected"),
+        F.round(F.col("total") / F.col("n") / 1000, 6).alias("drift_score"),
+        F.array_repeat(F.lit("f"), (F.col("n") % 3).cast("int")).alias("drifted_features"),
+        F.col("n").alias("sample_size"), F.col("kinds").alias("analyzed_feature_count"),
+        (F.col("day") / 10.0).alias("duration_seconds"), F.col("day").cast("bigint").alias("batch_id"),
+    )
+    path = work_path(data.spark, "log")
+    log.drop("batch_id").withColumn("batch_id", F.dayofmonth(F.to_date("timestamp"))).write.partitionBy("batch_id").json(path)
+    return jobs.monitoring_metrics(jobs.read_events(data.spark, path))
+
+
+@query("R4_stream_decision", f"""
+SELECT event_id, user_id AS account_id, {r('value / 1000.0', 'fraud_probability')}, value / 1000.0 >= 0.05 AS is_high_risk,
+ 0.05::DOUBLE AS threshold_used, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey""")
 def _(data):
-    return jobs.monitoring_metrics(_drift_log(data)).where("metric <> 'drift_duration_sum'")
+    schema = "event_id bigint, user_id bigint, value double"
+    stream = jobs.stream_files(data.spark, data.directory, schema, format="parquet", pattern="events.parquet")
+    probability = (F.col("value") / 1000.0).alias("fraud_probability")
+    segments = data.table("customer").select(F.col("c_custkey").alias("account_id"), "c_mktsegment")
+    return jobs.score_stream(
+        stream.select("event_id", F.col("user_id").alias("account_id"), probability),
+        lambda rows: jobs.attach_attributes(scoring.decide(rows, 0.05), segments, "account_id"),
+        work_path(data.spark, "decisions"),
+        work_path(data.spark, "offsets"),
+    )
 
 
 @query("R4_online_scoring")

@@ -154,9 +154,9 @@ def test_modularity(spark):
     assert iterative.modularity(arcs, whole, 4.0) == pytest.approx(0.0)
 
 
-@pytest.mark.parametrize("split", [200_000, 3])
-def test_spectral_embedding_equals_dense_svd(spark, monkeypatch, split):
-    monkeypatch.setattr(iterative, "EDGES_PER_SPLIT", split)
+def test_spectral_embedding_equals_dense_svd(spark, monkeypatch):
+    # the small limit cuts the edges of every hub into pieces
+    monkeypatch.setattr(iterative, "EDGES_PER_SPLIT", 3)
     rng = np.random.default_rng(0)
     edges = [(i, j, 1) for i in range(14) for j in range(14) for _ in range(rng.poisson(0.8 if i < 7 else 0.3))]
     matrix = np.zeros((14, 14))
