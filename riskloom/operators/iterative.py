@@ -43,6 +43,21 @@ def spread_state(state: DataFrame, key: str) -> DataFrame:
     return state.select("*", parts).drop("_pieces")
 
 
+def pin_edges(edges: DataFrame, key: str) -> DataFrame:
+    """Edges hash-partitioned by (key, piece) once, so that the joins of later rounds shuffle vertex
+    state only. A checkpoint keeps its partitioning only when planned without adaptive execution;
+    that covers just the plain shuffle of the already stored edges."""
+    spark = edges.sparkSession
+    stored = save(edges)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(stored.repartition(partitions, key, "_part").sortWithinPartitions(key, "_part"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def save(state: DataFrame) -> DataFrame:
     return materialise(state, "state")
 
@@ -72,7 +87,7 @@ def pagerank(
     shares = graph.edges.join(out, "src").select("src", "dst", (F.col(weight) / F.col("_out")).alias("share"))
     spread, pieces = split_edges(shares, "src", "dst")
     # partitioned once; the rounds below shuffle ranks, not edges
-    spread = cut_lineage(spread.repartition("src", "_part"))
+    spread = pin_edges(spread, "src")
     pieces = pieces.select(F.col("src").alias("node_id"), "_pieces")
     base = save(
         vertices.join(pieces, "node_id", "left").select("node_id", F.coalesce("_pieces", F.lit(1)).alias("_pieces"))
@@ -86,20 +101,22 @@ def pagerank(
             .groupBy(F.col("dst").alias("node_id"))
             .agg(F.sum(F.col("share") * F.col("rank")).alias("_in"))
         )
+        # joined with the vertices, not with the previous ranks: a chain of rounds stays linear
         moved = F.lit(teleport) + damping * F.coalesce("_in", F.lit(0.0))
-        return ranks.select("node_id", "_pieces", F.col("rank").alias("previous")).join(flow, "node_id", "left").select(
-            "node_id", "_pieces", "previous", moved.alias("rank")
-        )
+        return base.join(flow, "node_id", "left").select("node_id", "_pieces", moved.alias("rank"))
 
     ranks = base.withColumn("rank", F.lit(1.0 / count))
     done, limit = 0, fixed_rounds or max_rounds
     while done < limit:
-        for _ in range(min(rounds_per_check, limit - done)):
+        rounds = min(rounds_per_check, limit - done)
+        for _ in range(rounds - 1):
             ranks = step(ranks)
-            done += 1
-        ranks = save(ranks)
+        before = save(ranks)
+        ranks = save(step(before))
+        done += rounds
         if fixed_rounds is None:
-            change = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("previous")))).first()[0]
+            pairs = ranks.join(before.select("node_id", F.col("rank").alias("previous")), "node_id")
+            change = pairs.agg(F.sum(F.abs(F.col("rank") - F.col("previous")))).first()[0]
             if change < count * tolerance:
                 break
     total = ranks.agg(F.sum("rank")).scalar()
@@ -131,7 +148,8 @@ def connected_components(graph: Graph, *, max_rounds: int = 50) -> DataFrame:
 
     before = fingerprint(links)
     for _ in range(max_rounds):
-        links = save(small_star(large_star(links)))
+        links = save(large_star(links))
+        links = save(small_star(links))
         after = fingerprint(links)
         if after == before:
             break
@@ -273,8 +291,7 @@ def spectral_embedding(
     matrix = graph.edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
     by_src, src_pieces = split_edges(matrix, "src", "dst")
     by_dst, dst_pieces = split_edges(matrix, "dst", "src")
-    by_src = cut_lineage(by_src.repartition("src", "_part"))
-    by_dst = cut_lineage(by_dst.repartition("dst", "_part"))
+    by_src, by_dst = pin_edges(by_src, "src"), pin_edges(by_dst, "dst")
 
     def product(edges: DataFrame, pieces: DataFrame, block: DataFrame, read: str, write: str) -> DataFrame:
         hubs = pieces.select(F.col(read).alias("node_id"), "_pieces")

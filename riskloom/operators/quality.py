@@ -49,6 +49,19 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, n): NULLs per column, and all rows under the name ``*``. One scan per
+    table serves both the row counts and the null counts."""
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        nulls = [F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
+        counted = df.agg(F.count("*").alias("*"), *nulls)
+        melted = counted.unpivot([], [F.col("`*`"), *df.columns], "column_name", "n")
+        return melted.select(F.lit(name).alias("table_name"), "column_name", "n")
+
+    return union_all([one(name, df) for name, df in tables.items()])
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(
         [
@@ -59,14 +72,9 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def null_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Columns that contain NULLs, one scan per table."""
-
-    def one(name: str, df: DataFrame) -> DataFrame:
-        counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-        melted = counted.unpivot([], df.columns, "column_name", "null_count")
-        return melted.select(F.lit(name).alias("table_name"), "column_name", "null_count")
-
-    return union_all([one(name, df) for name, df in tables.items()]).where("null_count > 0")
+    """Columns that contain NULLs."""
+    counts = table_counts(tables).where("column_name <> '*' and n > 0")
+    return counts.withColumnRenamed("n", "null_count")
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -130,11 +138,16 @@ def required_columns(tables: dict[str, DataFrame]) -> DataFrame:
 def validation_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Every check as (section, check_name, value, passed)."""
     nothing = F.lit(None).cast("boolean")
-    counts = row_counts(tables).select(
-        F.lit("row_counts").alias("section"), F.col("table_name").alias("check_name"), "row_count", nothing
-    )
-    nulls = null_counts(tables).select(
-        F.lit("null_counts"), F.concat_ws(".", "table_name", "column_name"), "null_count", nothing
+    is_total = F.col("column_name") == "*"
+    counts = (
+        table_counts(tables)
+        .where(is_total | (F.col("n") > 0))
+        .select(
+            F.when(is_total, "row_counts").otherwise("null_counts").alias("section"),
+            F.when(is_total, F.col("table_name")).otherwise(F.concat_ws(".", "table_name", "column_name")),
+            "n",
+            nothing,
+        )
     )
     unique = duplicate_counts(tables).select(
         F.lit("uniqueness_checks"), "key_name", "duplicate_rows", F.col("duplicate_rows") == 0
@@ -148,7 +161,7 @@ def validation_report(tables: dict[str, DataFrame]) -> DataFrame:
         F.size(F.filter(F.split("missing_columns", ","), lambda c: c != "")).cast("bigint"),
         "passed",
     )
-    checks = reduce(DataFrame.union, [counts, nulls, unique, foreign, required])
+    checks = reduce(DataFrame.union, [counts, unique, foreign, required])
     return checks.toDF("section", "check_name", "value", "passed")
 
 
