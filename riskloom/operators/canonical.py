@@ -122,7 +122,7 @@ def canonical_banks(accounts: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _movements(raw: DataFrame, layout_name: str, *, cash: bool) -> DataFrame:
+def movements(raw: DataFrame, layout_name: str, *, cash: bool) -> DataFrame:
     step_names = ("RUN_DATE", "start") if cash else ("start", "RUN_DATE")
     counterparty = F.lit("") if cash else text_column(raw, "COUNTER_PARTY_ACCOUNT_NUM", "bene_acct")
     kind = text_column(raw, "TXN_SOURCE_TYPE_CODE", "tx_type", default="CASH" if cash else "TRANSFER")
@@ -155,9 +155,9 @@ def canonical_transactions(
     raw: dict[str, DataFrame], accounts: DataFrame, alerts: DataFrame, layout_name: str
 ) -> DataFrame:
     """Transfers and cash rows, first per (id, is_cash), with parties, label and label lineage."""
-    moves = _movements(raw["transactions"], layout_name, cash=False)
+    moves = movements(raw["transactions"], layout_name, cash=False)
     if "cash_transactions" in raw:
-        moves = moves.unionByName(_movements(raw["cash_transactions"], layout_name, cash=True))
+        moves = moves.unionByName(movements(raw["cash_transactions"], layout_name, cash=True))
     moves = keep_first(moves, ["transaction_id", "is_cash"], [INGEST]).drop(INGEST)
 
     directory = account_directory(accounts, alerts)

@@ -447,7 +447,7 @@ def _(data):
 SELECT is_cash, count(*) AS n, count(destination_account_id) AS with_destination FROM moves GROUP BY is_cash""")
 def _(data):
     parts = [
-        canon._movements(data.raw[name], domain.LAYOUT, cash=cash)
+        canon.movements(data.raw[name], domain.LAYOUT, cash=cash)
         for name, cash in (("transactions", False), ("cash_transactions", True))
     ]
     return quality.union_all(parts).groupBy("is_cash").agg(
