@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm.mixing import mixing_plan
+from riskloom.llm.shards import write_training_order
+from riskloom.llm.simhash import near_duplicates
+from riskloom.llm.warc import read_warc, write_warc
+from riskloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +25,51 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+@register
+def op1_token_shards(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    slots = write_training_order(documents, work_path(spark, "shards"), key="doc_id", text="text")
+    return slots.select("slot", "shard", "shard_slot", "n_tokens", F.col("keys").alias("doc_ids"))
+
+
+@register
+def op3_warc_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
+    pages = table(spark, directory, "pages")
+    records = read_warc(write_warc(pages, work_path(spark, "archives")))
+    return records.select(
+        F.col("key").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+        "verified",
+    )
+
+
+ORACLES["op3_warc_roundtrip"] = """
+WITH digests AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+roles AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS latest FROM digests)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda c:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, 5 * g + 1, 5))::BIGINT >> (15 - 5 * c)) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to, true AS verified
+FROM roles
+"""
+
+
+@register
+def op6_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    rows = near_duplicates(table(spark, directory, "documents"), key="doc_id", text="text")
+    return rows.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @register
 def op7_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents").select("doc_id", "text", "source")
