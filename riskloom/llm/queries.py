@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom.llm.decontamination import contaminated
+from riskloom.llm.extraction import extract_main_text, train_extractor
+from riskloom.llm.language import predict_language, train_language
+from riskloom.llm.metric_tree import top_k
 from riskloom.llm.mixing import mixing_plan
+from riskloom.llm.repeats import without_repeats
 from riskloom.llm.shards import write_training_order
 from riskloom.llm.simhash import near_duplicates
+from riskloom.llm.toxicity import score_toxicity, train_toxicity
 from riskloom.llm.warc import read_warc, write_warc
 from riskloom.session import work_path
 
@@ -32,6 +38,19 @@ def op1_token_shards(spark: SparkSession, directory: str) -> DataFrame:
     return slots.select("slot", "shard", "shard_slot", "n_tokens", F.col("keys").alias("doc_ids"))
 
 
+def fold(folds: int):
+    """The fold that a document's id falls into."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@register
+def op2_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    documents, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
+    model = train_toxicity(documents, labels, key="doc_id", text="text", label="toxic", where=fold(5) != 0)
+    scored = score_toxicity(documents.select("doc_id", "text"), model, key="doc_id", text="text")
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "spans")
+
+
 @register
 def op3_warc_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     pages = table(spark, directory, "pages")
@@ -60,6 +79,20 @@ FROM roles
 """
 
 
+@register
+def op4_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    model = train_language(documents, key="doc_id", text="text", language="lang", where=fold(4) != 2)
+    found = predict_language(documents.select("doc_id", "text"), model, key="doc_id", text="text")
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@register
+def op5_html_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    pages = table(spark, directory, "pages")
+    return extract_main_text(pages, train_extractor(pages)).select("page_id", "url", "text", "n_chars")
+
+
 @register
 def op6_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     rows = near_duplicates(table(spark, directory, "documents"), key="doc_id", text="text")
@@ -112,3 +145,77 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
          + ((upto + 2 * source_size)::DOUBLE / target <= (SELECT last FROM cut))::INT) END::BIGINT AS taken
 FROM queue
 """
+
+
+@register
+def op8_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    rows = without_repeats(table(spark, directory, "documents"), key="doc_id", text="text")
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+              FROM documents),
+windows AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS words
+            FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT words, min(doc_id) AS least FROM windows GROUP BY words),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM windows JOIN firsts USING (words) WHERE least < doc_id),
+kept AS (
+  SELECT p.r, string_agg(p.word, ' ' ORDER BY p.j) AS words, count(*) AS n
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs) p
+  LEFT JOIN gone g ON g.r = p.r AND g.j = p.j WHERE g.r IS NULL GROUP BY p.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
+@register
+def op9_exact_top_k(spark: SparkSession, directory: str) -> DataFrame:
+    embeddings = table(spark, directory, "embeddings")
+    return top_k(embeddings, embeddings.where("vec_id % 100 = 0"), key="vec_id", vector="embedding")
+
+
+ORACLES["op9_exact_top_k"] = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@register
+def op10_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    documents, benchmark = table(spark, directory, "documents"), table(spark, directory, "benchmark")
+    rows = contaminated(documents, benchmark, key="doc_id", text="text")
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
+WORDS_SQL = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLES["op10_benchmark_decontamination"] = f"""
+WITH items AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS words
+  FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+matches AS (
+  SELECT r, i, x.size, x.item_id
+  FROM (SELECT r, i, z.size, array_to_string(w[i:i + z.size - 1], ' ') AS words
+        FROM places, (SELECT DISTINCT size FROM windows) z WHERE i + z.size - 1 <= len(w)) p
+  JOIN windows x ON x.size = p.size AND x.words = p.words),
+hits AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS j FROM matches) GROUP BY r),
+listed AS (SELECT r, count(DISTINCT item_id) AS n_items,
+                  array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM matches GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
+"""

@@ -129,10 +129,13 @@ def bucket_keys(values: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarra
     for family, (exact, name) in enumerate(((a, "b"), (b, "a"), (c, "a"), (c, "b"), (a, "c"), (b, "c"))):
         add(family, exact, name)
     (first, ok), (second, fine) = near["a"], near["b"]
-    packed = (np.uint64(6) << np.uint64(36)) | (first[:, :, None] << np.uint64(12)) | second[:, None, :]
     valid = ok[:, :, None] & fine[:, None, :]
-    keys.append(packed[valid])
-    owners.append(np.broadcast_to(rows[:, None, None], valid.shape)[valid])
+    pairs = ((first[:, :, None] << np.uint64(12)) | second[:, None, :])[valid]
+    owner = np.broadcast_to(rows[:, None, None], valid.shape)[valid]
+    for third in range(3):
+        part = (c >> np.uint64(6 * third)) & np.uint64(63)
+        keys.append((np.uint64(6 + third) << np.uint64(36)) | (pairs << np.uint64(6)) | part[owner])
+        owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
 
