@@ -8,14 +8,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm.files import new_file, open_file
 from riskloom.llm.ordering import part_offsets
-from riskloom.session import materialise
+from riskloom.session import materialise, work_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # the public split pattern of this vocabulary, and one without look-ahead for texts without white-space runs,
@@ -87,21 +86,19 @@ def load_tokenizer(path: str):
 def packed_sequences(docs: DataFrame, key: str, text: str, length: int, tokenizer: str) -> DataFrame:
     """Stored rows (_part, _local, n_tokens, keys, _tokens): every partition packs its documents, each closed by
     the end token, into sequences of ``length`` tokens; only its last sequence is filled up. ``keys`` are the
-    documents that have tokens in the sequence, in order. ``_tokens`` is compressed."""
+    documents that have tokens in the sequence, in order."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode, squeeze = TaskContext.get().partitionId(), load_tokenizer(tokenizer), zstandard.ZstdCompressor(3)
+        part, encode = TaskContext.get().partitionId(), load_tokenizer(tokenizer)
         pieces, keys, held, made = [], [], 0, 0
         end = np.array([END_OF_TEXT], TOKEN)
 
         def sequence(tokens: np.ndarray, count: int) -> dict:
             nonlocal made
             made += 1
-            # low bytes, then high bytes: those compress far better apart
-            planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 2).T).tobytes()
-            return {"_part": part, "_local": made - 1, "n_tokens": count, "keys": keys, "_tokens": squeeze.compress(planes)}
+            return {"_part": part, "_local": made - 1, "n_tokens": count, "keys": keys, "_tokens": tokens.tobytes()}
 
         def table(rows: list[dict]) -> pa.RecordBatch:
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(key_type), pa.binary()]
@@ -132,12 +129,10 @@ def packed_sequences(docs: DataFrame, key: str, text: str, length: int, tokenize
 
     kind = dict(docs.dtypes)[key]
     schema = f"_part int, _local bigint, n_tokens int, keys array<{kind}>, _tokens binary"
-    return materialise(docs.select(key, F.col(text).cast("string")).mapInArrow(pack, schema), "sequences")
-
-
-def plain(blob: bytes, length: int) -> bytes:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, length)
-    return np.ascontiguousarray(planes.T).tobytes()
+    path = work_path(docs.sparkSession, "sequences")
+    packed = docs.select(key, F.col(text).cast("string")).mapInArrow(pack, schema)
+    packed.write.option("compression", "zstd").parquet(path)  # many sequences together compress best
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def write_training_order(
@@ -170,15 +165,20 @@ def write_training_order(
     total = counts.agg(F.sum("_one")).first()[0] or 0
     order = Permutation(total, seed)
 
-    @F.pandas_udf("bigint")
-    def slot_of(index: pd.Series) -> pd.Series:
-        return pd.Series(order.slot(index.to_numpy()))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            slots = pa.array(order.slot(batch.column(0).to_numpy()))
+            small = pa.array([squeeze.compress(t) for t in batch.column("_tokens").to_pylist()], pa.binary())
+            columns = [slots, batch.column("n_tokens"), batch.column("keys"), small]
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "n_tokens", "keys", "_tokens"])
 
     # one row per packing task
     numbered = sequences.join(F.broadcast(part_offsets(counts, ["_one"])), "_part")
-    placed = numbered.select(
-        slot_of(F.col("_local") + F.col("_o__one")).alias("slot"), "n_tokens", "keys", "_tokens"
-    ).withColumn("shard", F.floor(F.col("slot") / per_shard))
+    numbered = numbered.select((F.col("_local") + F.col("_o__one")).alias("_index"), "n_tokens", "keys", "_tokens")
+    kind = dict(numbered.dtypes)["keys"]
+    placed = numbered.mapInArrow(place, f"slot bigint, n_tokens int, keys {kind}, _tokens binary")
+    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
     shards = -(-total // per_shard)
     tasks = max(1, min(shards, 2000))
     # contiguous shard ranges, shard_bytes each: no sampling pass over the tokens
@@ -187,6 +187,7 @@ def write_training_order(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = stream = None
         current = expected = None
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             slots, blobs = batch.column("slot").to_pylist(), batch.column("_tokens")
             files = []
@@ -199,7 +200,7 @@ def write_training_order(
                     current, expected = shard, shard * per_shard
                 if slot != expected:
                     raise ValueError(f"slot {slot} where {expected} was due")
-                stream.write(plain(blobs[number].as_py(), length))
+                stream.write(expand.decompress(blobs[number].as_py()))
                 expected += 1
                 files.append(path)
             kept = batch.select(["slot", "shard", "n_tokens", "keys"])
@@ -207,7 +208,6 @@ def write_training_order(
         if stream is not None:
             stream.close()
 
-    kind = dict(placed.dtypes)["keys"]
     schema = f"slot bigint, shard bigint, n_tokens int, keys {kind}, file string"
     written = ranged.sortWithinPartitions("slot").mapInArrow(write, schema)
     written = written.withColumn("shard_slot", F.col("slot") - F.col("shard") * per_shard)
