@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from riskloom.llm.filters import bit_filter, passes
+from riskloom.llm.prints import content_print
 from riskloom.llm.words import FOLDED, Words, words_of
 from riskloom.session import materialise
 
@@ -125,11 +126,6 @@ def run_shingles(runs: DataFrame, widths: list[int], table=None) -> DataFrame:
     return flat.mapInArrow(pick, f"hash bigint, _key {kind}, _print bigint, at int, first int, around string")
 
 
-def content_print(text: Column) -> Column:
-    """Tells rows of one key with different texts apart."""
-    return F.xxhash64(text.cast("string"))
-
-
 def contaminated(
     alerts: DataFrame,
     benchmark: DataFrame,

@@ -217,6 +217,7 @@ def labelled_pages() -> list[str]:
         f'<div class="banner">{brief}</div><div class="post"><h1 data-main>A pattern</h1><div data-main>{long}</div><p data-main>{some}</p></div><div id="comments">{talk}</div>{related}{foot}',
         f'<article><h1 data-main>One address</h1>{story}<aside><p>{brief}</p></aside>{related}</article><article class="comment"><p>{some}</p></article><article class="comment"><p>{long}</p></article><div class="popup"><p>{brief}</p></div>',
         f'<div class="notice"><p>{brief}</p></div><table><tr><td><ul>{links}</ul></td><td><h1 data-main>The quarter</h1>{story}</td></tr></table><div class="share"><a href="/s">Share this</a></div>{foot}',
+        f'<nav><ul>{links}</ul></nav>{ad}<article><h1 data-main>Short notes</h1><p data-main>First note here<p data-main>{brief}</p><p data-main>A last note, too.</p></article>{foot}',
         f'<div class="alert">{some}</div><main><p data-main>{brief}</p><p data-main>{long}</p><form><p>{brief}</p><label>Name</label></form><p data-main>{some}</p></main><div class="promo"><p>{some}</p></div>{foot}',
     ]
 

@@ -122,10 +122,13 @@ def mixing_plan(
     counts. An empty table gives an empty plan. Existing columns named like the added ones are replaced.
     """
     added = {"size", "source_size", "target", "taken", "repeats", "first_finish"}
-    kept = [c for c in alerts.columns if c not in added]
     if clash := {key, text, source} & added:
         raise ValueError(f"rename the input columns {sorted(clash)}: the plan adds columns of these names")
-    sized = sized_records(alerts.select(*kept), key, text, source, seed)
+    kept = [c for c in alerts.columns if c not in added]
+    # numbered names inside: no column of the input can clash with a working column
+    safe = alerts.select(*kept).toDF(*[f"c{i}" for i in range(len(kept))])
+    key, text, source = (f"c{kept.index(c)}" for c in (key, text, source))
+    sized = sized_records(safe, key, text, source, seed)
     slim = materialise(sized.select(key, "_source", "_size", "_ticket", "_slice"), "sizes")
     targets = source_targets(slim)
     slices = slim.groupBy("_source", "_slice").agg(F.sum("_size").alias("_words"))
@@ -140,7 +143,7 @@ def mixing_plan(
     taken = F.when(F.col("_size") > 0, repeats).otherwise(0)
     # only the columns that the caller keeps travel through the exchange
     return queued(sized, starts, key).select(
-        *kept,
+        *[F.col(f"c{i}").alias(name) for i, name in enumerate(kept)],
         F.col("_size").alias("size"),
         "source_size",
         "target",
@@ -150,8 +153,11 @@ def mixing_plan(
     )
 
 
-def mixed(alerts: DataFrame, **options) -> DataFrame:
-    """The mix itself: the input's columns, each record as often as it is taken. ``options`` as in mixing_plan."""
-    plan = mixing_plan(alerts, **options)
-    copies = plan.where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return copies.select(*alerts.columns)
+def mixed(alerts: DataFrame, *, key: str = "alert_id", text: str = "alert_type", source: str = "layout_name", seed: int = 42) -> DataFrame:
+    """The mix itself: the input's columns, each record as often as mixing_plan takes it."""
+    names = list(alerts.columns)
+    safe = alerts.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text, source = (f"c{names.index(c)}" for c in (key, text, source))
+    plan = mixing_plan(safe, key=key, text=text, source=source, seed=seed)
+    copies = plan.where("repeats > 0").select(*safe.columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return copies.select(*safe.columns).toDF(*names)

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm.decontamination import content_print
 from riskloom.llm.filters import bit_filter, passes
+from riskloom.llm.prints import content_print
 from riskloom.llm.words import UNCHANGED, Words, words_of
 from riskloom.session import materialise
 

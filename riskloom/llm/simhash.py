@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.components import components
+from riskloom.llm.prints import content_print
 from riskloom.session import materialise
 
 SHINGLE = 4
@@ -57,22 +58,26 @@ def majority(hashes: list[int]) -> int:
 
 
 def fingerprints(alerts: DataFrame, *, key: str = "alert_id", text: str = "alert_type") -> DataFrame:
-    """(key, fingerprint bigint), one row per input row. NULL text and text without words: 0."""
+    """(_key, _print, fingerprint bigint), one row per input row; ``_print`` tells texts of one key apart. NULL text
+    and text without words: 0."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, int] = {}
             out = []
-            for value in batch.column(1).to_pylist():
+            for value in batch.column(2).to_pylist():
                 found = seen.get(value)
                 if found is None:
                     found = seen[value] = majority(shingle_hashes(value or ""))
                 out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["_key", "fingerprint"])
+            columns = [batch.column(0), batch.column(1), pa.array(out, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_print", "fingerprint"])
 
-    rows = alerts.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    rows = alerts.select(
+        F.col(key).alias("_key"), content_print(F.col(text)).alias("_print"), F.col(text).cast("string").alias("_text")
+    )
     kind = dict(rows.dtypes)["_key"]
-    return rows.mapInArrow(compute, f"_key {kind}, fingerprint bigint")
+    return rows.mapInArrow(compute, f"_key {kind}, _print bigint, fingerprint bigint")
 
 
 class Golay:
@@ -249,11 +254,12 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(alerts: DataFrame, *, key: str = "alert_id", text: str = "alert_type") -> DataFrame:
-    """(key, fingerprint, component): one row per input row.
+    """(key, fingerprint, component, group, _print): one row per input row.
 
     Texts link if their 64-bit fingerprints over four-word shingles differ in at most four bits; ``component`` is
     the smallest key that links reach, the row's own included. Equal fingerprints are one node, so copies cost
-    one row each and are never paired. NULL and wordless texts have fingerprint 0 and link like others; a NULL key
+    one row each and are never paired. ``group`` identifies the component (its smallest fingerprint) even where
+    rows share keys; ``_print`` is a hash of the text. NULL and wordless texts have fingerprint 0 and link like others; a NULL key
     is never the smallest (NULL only if its component has no other); repeated rows are repeated; an empty table
     gives an empty result. Extra columns are ignored: join on the key to carry them.
     """
@@ -263,5 +269,6 @@ def near_duplicates(alerts: DataFrame, *, key: str = "alert_id", text: str = "al
     rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     rooted = materialise(rooted, "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("_least").alias("component")), "least")
-    named = materialise(rooted.join(least, "root").select("fingerprint", "component"), "named")
-    return rows.join(named, "fingerprint").select(F.col("_key").alias(key), "fingerprint", "component")
+    named = materialise(rooted.join(least, "root").select("fingerprint", "root", "component"), "named")
+    joined = rows.join(named, "fingerprint")
+    return joined.select(F.col("_key").alias(key), "fingerprint", "component", F.col("root").alias("group"), "_print")

@@ -94,7 +94,7 @@ class Words:
         """Hash of the ``length`` words from each word on; meaningless where fewer are left."""
         total = self.hashed.copy()
         factor = 1
-        for step in range(1, length):
+        for step in range(1, min(length, len(total))):
             factor = factor * STEP % 2**64
             total[: len(total) - step] += self.hashed[step:] * np.uint64(factor)
         return finished(total + np.uint64(length))
