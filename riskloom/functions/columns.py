@@ -11,7 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MONEY = T.DecimalType(18, 4)
+# Amounts are summed in this type: 30 digits before the point, 8 behind it. Amounts that need more of either
+# side want another type here.
+MONEY = T.DecimalType(38, 8)
 HASH_HEX_DIGITS = 12
 HASH_SPACE = 16**HASH_HEX_DIGITS
 TRUE_WORDS = ("1", "true", "yes", "y")
@@ -132,7 +134,7 @@ def hash_bucket(value: Column, seed: Column | int, pool_size: Column | int, pref
     """``prefix_NNN`` from a seeded sha256 of the value; equal input always gives the same bucket."""
     if isinstance(pool_size, int):
         if pool_size <= 0:
-            raise ValueError("pool_size must be positive")
+            raise ValueError("a pool needs at least one bucket")
         pool_size = F.lit(pool_size)
     if isinstance(seed, int):
         seed = F.lit(seed)

@@ -58,13 +58,18 @@ def running_totals(
     """Adds ``<value>_upto`` (inclusive prefix sum in ascending ``order``) to every row.
 
     ``rows`` must hold one row per (groups, order), with a numeric order column: pre-aggregate first,
-    which also removes the skew of frequent values. One group is spread over 16**levels tasks. Unless
-    they are ``stored`` already, the pre-aggregated rows are written once: they are read for the
+    which also removes the skew of frequent values. One group is spread over 16**levels tasks. A NULL is a
+    group like any other; a NULL order value has no place and raises. Unless they are ``stored`` already, the pre-aggregated rows are written once: they are read for the
     boundaries and again for the sums, and their source should not be scanned for each.
     """
     if not stored:
         rows = materialise(rows, "ordered")
-    groups = list(groups)
+    columns = rows.columns
+    # a struct is never NULL, so that NULL groups meet in joins as they do in aggregates
+    rows = rows.withColumn("_group", F.struct(*groups)) if groups else rows
+    groups = ["_group"] if groups else []
+    missing = F.raise_error(F.lit(f"running_totals: {order} is NULL")).cast(rows.schema[order].dataType)
+    rows = rows.withColumn(order, F.coalesce(F.col(order), missing))
     order_number = F.col(order).cast("double")
     accuracy = 20 * FANOUT**levels
     bounds = rows.groupBy(*groups).agg(
@@ -84,14 +89,18 @@ def running_totals(
     inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(v).over(inside).alias(f"_l_{v}") for v in values])
     return local.join(offsets, keys).where(F.col(order) >= F.col("_low")).select(
-        *rows.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}_upto") for v in values]
+        *columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}_upto") for v in values]
     )
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float], *, levels: int = 2) -> DataFrame:
     """One row with the linear-interpolated quantiles (named by the dict keys); NULLs are skipped."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    counts = materialise(counts, "counts")
+    return quantiles_of_counts(materialise(counts, "counts"), probabilities, levels=levels)
+
+
+def quantiles_of_counts(counts: DataFrame, probabilities: dict[str, float], *, levels: int = 2) -> DataFrame:
+    """The same from stored value counts (value, n)."""
     total = counts.agg(F.sum("n")).scalar()
     ranked = (
         running_totals(counts, [], "value", ["n"], levels=levels, stored=True)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskloom.functions.columns import money_sum, numeric_columns, relative_change, safe_divide
 from riskloom.functions.ordered import running_totals
@@ -33,13 +33,15 @@ NOT_FEATURES = (
     "label_source",
 )
 TEMPORAL_TOKENS = ("prev_", "recent_", "gap", "velocity_ratio", "amount_ratio")
+# Identifying text columns of the transaction features
+TEXT_COLUMNS = ("transaction_id", "source_account_id", "destination_account_id", "transaction_type", "label_source")
 STRONG_DRIFT = 0.2
-EXACT_LIMIT = 10_000
+# terms of either form of the Kolmogorov series; both converge to 1e-15 with them on their side of SERIES_CUT
+SERIES_TERMS, SERIES_CUT = 8, 1.18
 
 
 def temporal_feature_columns(df: DataFrame) -> list[str]:
-    text = {"transaction_id", "source_account_id", "destination_account_id", "transaction_type", "label_source"}
-    return [c for c in df.columns if c not in text and any(token in c for token in TEMPORAL_TOKENS)]
+    return [c for c in df.columns if c not in TEXT_COLUMNS and any(token in c for token in TEMPORAL_TOKENS)]
 
 
 def distribution_feature_columns(df: DataFrame) -> list[str]:
@@ -106,7 +108,11 @@ def distribution_steps(cohorts: DataFrame, columns: Sequence[str], *, levels: in
 
 def feature_drift(cohorts: DataFrame, columns: Sequence[str], *, levels: int = 2) -> DataFrame:
     """Means, deltas and the KS statistic per feature; features missing in a cohort are left out."""
-    counts = materialise(value_counts(cohorts, columns), "counts")
+    return drift_of_counts(materialise(value_counts(cohorts, columns), "counts"), levels=levels)
+
+
+def drift_of_counts(counts: DataFrame, *, levels: int = 2) -> DataFrame:
+    """The same from stored value counts (feature, value, baseline, recent)."""
     weighted = [
         (F.sum(F.col("value") * F.col(side)) / F.nullif(F.sum(side), F.lit(0))).alias(f"{side}_mean")
         for side in ("baseline", "recent")
@@ -134,48 +140,61 @@ def feature_drift(cohorts: DataFrame, columns: Sequence[str], *, levels: int = 2
 def _pvalue_function():
     # nested, so that executors get the function itself and need no import of this package
 
-    def ks_pvalue(statistic: float, n: int, m: int) -> float:
-        """Two-sided two-sample p-value.
-
-        Exact up to EXACT_LIMIT rows a side: the chance that a random lattice path from (0, 0) to (n, m)
-        leaves the band of width ``statistic``, followed diagonal by diagonal. Beyond it the Kolmogorov
-        series with Stephens' small-sample correction.
-        """
+    def exact_ks_pvalue(statistic: float, n: int, m: int) -> float:
+        """Exact two-sided two-sample p-value: the chance that a random lattice path from (0, 0) to (n, m) leaves
+        the band of width ``statistic``, followed diagonal by diagonal. Takes n + m steps over min(n, m) cells."""
         if statistic <= 0:
             return 1.0
-        if max(n, m) <= EXACT_LIMIT:
-            long, short = max(n, m), min(n, m)
-            scale = math.lcm(long, short)
-            edge = round(statistic * scale)
-            # Draw the merged sample in random order. After s draws, j of them are from the shorter side;
-            # stay[j] is the chance to be there without having left the band.
-            j = np.arange(short + 1)
-            stay = np.zeros(short + 1)
-            stay[0] = 1.0
-            for s in range(1, long + short + 1):
-                i = s - j
-                left = long + short - s + 1
-                moved = stay * np.clip(long - i + 1, 0, None) / left
-                moved[1:] += stay[:-1] * (short - j[1:] + 1) / left
-                gap = np.abs(i * (scale // long) - j * (scale // short))
-                stay = np.where((i >= 0) & (i <= long) & (gap < edge), moved, 0.0)
-            return float(min(1.0, max(0.0, 1.0 - stay[short])))
-        root = math.sqrt(n * m / (n + m))
-        scaled = (root + 0.12 + 0.11 / root) * statistic
-        series = sum((-1) ** (k - 1) * math.exp(-2.0 * (k * scaled) ** 2) for k in range(1, 101))
-        return float(min(1.0, max(0.0, 2.0 * series)))
-
-    return ks_pvalue
-
-
-ks_pvalue = _pvalue_function()
-
-
-def with_pvalue(drift: DataFrame) -> DataFrame:
-    """One scalar computation per feature row."""
+        long, short = max(n, m), min(n, m)
+        scale = math.lcm(long, short)
+        edge = round(statistic * scale)
+        # Draw the merged sample in random order. After s draws, j of them are from the shorter side;
+        # stay[j] is the chance to be there without having left the band.
+        j = np.arange(short + 1)
+        stay = np.zeros(short + 1)
+        stay[0] = 1.0
+        for s in range(1, long + short + 1):
+            i = s - j
+            left = long + short - s + 1
+            moved = stay * np.clip(long - i + 1, 0, None) / left
+            moved[1:] += stay[:-1] * (short - j[1:] + 1) / left
+            gap = np.abs(i * (scale // long) - j * (scale // short))
+            stay = np.where((i >= 0) & (i <= long) & (gap < edge), moved, 0.0)
+        return float(min(1.0, max(0.0, 1.0 - stay[short])))
+
+    return exact_ks_pvalue
+
+
+exact_ks_pvalue = _pvalue_function()
+
+
+def asymptotic_ks_pvalue(statistic: Column, n: Column, m: Column) -> Column:
+    """Kolmogorov's limit with Stephens' small-sample correction. Small arguments take the theta form of the series:
+    the alternating form does not converge there."""
+    size = n.cast("double") * m.cast("double") / (n.cast("double") + m.cast("double"))
+    root = F.sqrt(size)
+    scaled = (root + 0.12 + 0.11 / root) * statistic
+    large = sum((F.exp(-2.0 * k * k * scaled * scaled) * (2.0 * (-1) ** (k - 1)) for k in range(1, SERIES_TERMS + 1)), F.lit(0.0))
+    odd = [2 * k - 1 for k in range(1, SERIES_TERMS + 1)]
+    small = sum((F.exp(F.lit(-(k * math.pi) ** 2 / 8.0) / (scaled * scaled)) for k in odd), F.lit(0.0))
+    below = 1.0 - small * math.sqrt(2.0 * math.pi) / scaled
+    p = F.when(scaled <= 0, 1.0).when(scaled < SERIES_CUT, below).otherwise(large)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+
+
+def with_pvalue(drift: DataFrame, *, method: str = "asymptotic") -> DataFrame:
+    """Adds ``ks_pvalue``. ``asymptotic`` is a column expression and right to a few per cent from some dozen rows a
+    side on; ``exact`` suits small samples: its effort is the product of the sample sizes, in one Python call a
+    feature. The method never depends on the data."""
+    if method == "asymptotic":
+        p = asymptotic_ks_pvalue(F.col("ks_statistic"), F.col("baseline_rows"), F.col("recent_rows"))
+        return drift.withColumn("ks_pvalue", p)
+    if method != "exact":
+        raise ValueError(f"unknown p-value method {method!r}: asymptotic or exact")
 
     def per_feature(statistic: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([ks_pvalue(d, int(a), int(b)) for d, a, b in zip(statistic, n, m)], dtype="float64")
+        values = [exact_ks_pvalue(d, int(a), int(b)) for d, a, b in zip(statistic, n, m)]
+        return pd.Series(values, dtype="float64")
 
     udf = F.pandas_udf(per_feature, "double")
     return drift.withColumn("ks_pvalue", udf("ks_statistic", "baseline_rows", "recent_rows"))
@@ -197,14 +216,15 @@ def temporal_drift(
     return feature_drift(cohorts, columns or temporal_feature_columns(features))
 
 
-def temporal_drift_report(features: DataFrame, *, top_k: int = 10, **options) -> DataFrame:
-    """Ranked features with p-values; ``in_top`` and ``strong`` mark the two lists of the report."""
-    drift = with_pvalue(temporal_drift(features, **options))
-    top = drift.orderBy(*drift_order()).limit(top_k).select("feature", F.lit(True).alias("in_top"))
-    return drift.join(top, "feature", "left").select(
-        *drift.columns,
-        F.coalesce("in_top", F.lit(False)).alias("in_top"),
-        (F.col("ks_statistic") >= STRONG_DRIFT).alias("strong"),
+def temporal_drift_report(
+    features: DataFrame, *, top_k: int = 10, method: str = "asymptotic", **options
+) -> DataFrame:
+    """Ranked features with p-values; ``in_top`` and ``strong`` mark the two lists of the report. The frame has one
+    row per feature, so ranking it in one task is bounded by the number of columns."""
+    drift = with_pvalue(temporal_drift(features, **options), method=method)
+    place = F.row_number().over(W.orderBy(*drift_order()))
+    return drift.select(
+        "*", (place <= top_k).alias("in_top"), (F.col("ks_statistic") >= STRONG_DRIFT).alias("strong")
     )
 
 
@@ -213,7 +233,7 @@ def comparable_columns(baseline: DataFrame, recent: DataFrame, columns: Sequence
     wanted = columns or distribution_feature_columns(baseline)
     names = [c for c in wanted if c in baseline.columns and c in usable]
     if not names:
-        raise ValueError("No overlapping numeric drift features were provided")
+        raise ValueError("the two frames share no numeric feature column (overlapping names: none)")
     return names
 
 
@@ -224,19 +244,26 @@ def distribution_drift(
     columns: Sequence[str] | None = None,
     ks_threshold: float = STRONG_DRIFT,
     pvalue_threshold: float = 0.05,
+    method: str = "asymptotic",
 ) -> DataFrame:
-    """Per feature drift between two frames, with the verdict ``drifted``."""
+    """Per feature drift between two frames, with the verdict ``drifted``: a KS statistic of ``ks_threshold`` or more
+    and a p-value of ``pvalue_threshold`` or less."""
     for frame, what in ((baseline, "Baseline"), (recent, "Recent")):
         if frame.isEmpty():
-            raise ValueError(f"{what} feature frame is empty")
+            raise ValueError(f"{what} frame has no rows to compare")
     names = comparable_columns(baseline, recent, columns)
     doubles = [F.col(c).try_cast("double").alias(c) for c in names]
     cohorts = baseline.select(*doubles, F.lit("baseline").alias("cohort")).unionByName(
         recent.select(*doubles, F.lit("recent").alias("cohort"))
     )
-    drift = with_pvalue(feature_drift(cohorts, names))
-    verdict = (F.col("ks_statistic") >= ks_threshold) & (F.col("ks_pvalue") <= pvalue_threshold)
-    return drift.withColumn("drifted", verdict)
+    return with_verdict(feature_drift(cohorts, names), ks_threshold, pvalue_threshold, method)
+
+
+def with_verdict(
+    drift: DataFrame, ks_threshold: float = STRONG_DRIFT, pvalue_threshold: float = 0.05, method: str = "asymptotic"
+) -> DataFrame:
+    significant = (F.col("ks_statistic") >= ks_threshold) & (F.col("ks_pvalue") <= pvalue_threshold)
+    return with_pvalue(drift, method=method).withColumn("drifted", significant)
 
 
 def drift_verdict(drift: DataFrame) -> DataFrame:
@@ -257,7 +284,7 @@ def perturbed(df: DataFrame, columns: Sequence[str], factor: float, *, sample_si
     """Scale some features: a synthetic surge to test the detector with."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"Expected drift simulation columns to exist: {', '.join(missing)}")
+        raise KeyError(f"no such columns to perturb: {', '.join(missing)}")
     sample = df.limit(sample_size) if sample_size else df
     return sample.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) * factor for c in columns})
 

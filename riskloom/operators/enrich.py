@@ -16,7 +16,7 @@ MERCHANT_OFFSET = 300
 def _risk_bucket(seed: int, offset: int, pool: int, alerted_pool: int, prefix: str):
     alerted = F.col("is_alerted")
     if min(pool, alerted_pool) <= 0:
-        raise ValueError("pool_size must be positive")
+        raise ValueError("a pool needs at least one bucket")
     return hash_bucket(
         F.col("account_id"),
         F.when(alerted, seed + offset).otherwise(seed),

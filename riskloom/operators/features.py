@@ -141,3 +141,11 @@ def party_features(tables: dict[str, DataFrame], *, windows: Sequence[int] = (1,
         joined = joined.join(part, "party_id", "left")
     labelled = joined.fillna(0).withColumn("label", F.col("is_alerted").cast("int"))
     return labelled.select(party_feature_names(windows))
+
+
+def feature_sets(tables: dict[str, DataFrame], *, windows: Sequence[int] = (1, 7, 30)) -> dict[str, DataFrame]:
+    """Both feature tables of the canonical tables: ``transaction`` and ``party``."""
+    return {
+        "transaction": transaction_features(tables, windows=windows),
+        "party": party_features(tables, windows=windows),
+    }

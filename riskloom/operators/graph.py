@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskloom.functions.columns import money_sum
+from riskloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -130,9 +131,11 @@ def clustering(graph: Graph) -> DataFrame:
     two such neighbourhoods along an edge, so only real triangles are emitted, never pairs of
     neighbours.
     """
-    pairs = undirected_edges(graph.edges).select("a", "b")
+    # stored, because all are read several times, and so that the joins on a hub are plain shuffles, which
+    # adaptive execution splits
+    pairs = materialise(undirected_edges(graph.edges).select("a", "b"), "pairs")
     both = pairs.select(F.col("a").alias("node_id")).union(pairs.select(F.col("b").alias("node_id")))
-    degree = both.groupBy("node_id").agg(F.count("*").alias("d"))
+    degree = materialise(both.groupBy("node_id").agg(F.count("*").alias("d")), "degree")
     ranked = pairs.join(degree.select(F.col("node_id").alias("a"), F.col("d").alias("da")), "a").join(
         degree.select(F.col("node_id").alias("b"), F.col("d").alias("db")), "b"
     )
@@ -141,7 +144,8 @@ def clustering(graph: Graph) -> DataFrame:
         F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("low"),
         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("high"),
     )
-    upper = oriented.groupBy("low").agg(F.collect_list("high").alias("neighbours"))
+    oriented = materialise(oriented, "oriented")
+    upper = materialise(oriented.groupBy("low").agg(F.collect_list("high").alias("neighbours")), "upper")
     low_side = upper.select("low", F.col("neighbours").alias("of_low"))
     high_side = upper.select(F.col("low").alias("high"), F.col("neighbours").alias("of_high"))
     closed = oriented.join(high_side, "high").join(low_side, "low")
@@ -241,13 +245,13 @@ def typed_edges(
     Edges whose ends do not resolve to a vertex are dropped. Ids are text: merchants are named.
     """
     for frame, what in (
-        (accounts, "Account feature frame"),
-        (merchants, "Merchant feature frame"),
-        (transactions, "Transfer edge frame"),
-        (merchant_links, "Merchant interaction frame"),
+        (accounts, "accounts"),
+        (merchants, "merchants"),
+        (transactions, "transfers"),
+        (merchant_links, "merchant links"),
     ):
         if frame.isEmpty():
-            raise ValueError(f"{what} is empty; cannot build typed edges")
+            raise ValueError(f"typed edges need {what}, and there are none")
     attributes = ["transaction_id", "amount", "event_time", "transaction_type_code"]
     known = accounts.select("node_id")
     transfers = transactions.join(known.withColumnRenamed("node_id", "source_node_id"), "source_node_id", "left_semi")

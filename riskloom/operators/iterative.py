@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.operators.graph import Graph, undirected_edges
-from riskloom.session import cut_lineage, materialise
+from riskloom.session import cut_lineage, discard, materialise
 
 # edges of one vertex that may share a partition key
 EDGES_PER_SPLIT = 200_000
@@ -77,7 +77,7 @@ def pagerank(
     With teleport and dangling mass both spread uniformly, the PageRank vector is proportional to the
     solution of x = damping * A x + (1 - damping) / n, so dangling mass needs no per-round scalar: the
     result is normalised once at the end. Stops when the L1 change of a round falls below
-    n * tolerance, or after ``fixed_rounds``.
+    n * tolerance, or after ``fixed_rounds``; raises if it has not settled after ``max_rounds``.
     """
     vertices = graph.vertices.select("node_id")
     count = vertices.count()
@@ -117,50 +117,71 @@ def pagerank(
         if fixed_rounds is None:
             pairs = ranks.join(before.select("node_id", F.col("rank").alias("previous")), "node_id")
             change = pairs.agg(F.sum(F.abs(F.col("rank") - F.col("previous")))).first()[0]
+            discard(before)
             if change < count * tolerance:
                 break
+    else:
+        if fixed_rounds is None:
+            raise RuntimeError(f"PageRank has not settled in {max_rounds} rounds (last change {change})")
     total = ranks.agg(F.sum("rank")).scalar()
     return ranks.select("node_id", (F.col("rank") / total).alias("pagerank"))
 
 
-def connected_components(graph: Graph, *, max_rounds: int = 50) -> DataFrame:
-    """(node_id, weak_component_id, weak_component_size) by alternating large-star / small-star.
+def followed(pointers: DataFrame) -> DataFrame:
+    """(node, root) after following (node, root) pointers to their ends; they lead to smaller nodes only."""
+    while True:
+        ahead = pointers.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        moved = (F.col("_next") != F.col("root")).alias("_moved")
+        further = save(pointers.join(ahead, "root").select("node", F.col("_next").alias("root"), moved))
+        discard(pointers)
+        pointers = further.select("node", "root")
+        if further.where("_moved").isEmpty():
+            return pointers
+
+
+def linked_roots(links: DataFrame) -> DataFrame:
+    """(node, root) of every node in ``links`` (a, b) that has a neighbour; the root is the smallest node of its
+    component.
 
-    Each round groups edges by node for a minimum only (partially aggregated, no neighbour lists). The
-    id is the smallest node of the component.
+    A round points every node to its smallest neighbour if that is smaller, follows the pointers to their roots
+    and replaces the links by those between different roots. Every node but the smallest of its neighbourhood
+    disappears, so the number of rounds is logarithmic. All joins of a round are between stored tables: those on
+    a hub, or on the root of a giant component, are plain shuffles that adaptive execution splits; minima are
+    partially aggregated.
     """
-    links = graph.edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    links = save(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def large_star(edges: DataFrame) -> DataFrame:
-        both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    def small_star(edges: DataFrame) -> DataFrame:
-        # here u > v always: link u and its smaller neighbours to the smallest of them
-        smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = edges.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return hooked.union(smallest.select("u", F.col("m").alias("v"))).distinct()
-
-    def fingerprint(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-
-    before = fingerprint(links)
-    for _ in range(max_rounds):
-        links = save(large_star(links))
-        links = save(small_star(links))
-        after = fingerprint(links)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    labelled = graph.vertices.select("node_id").join(
-        links.select(F.col("u").alias("node_id"), F.col("v").alias("root")), "node_id", "left"
-    )
-    labelled = labelled.select("node_id", F.coalesce("root", "node_id").alias("weak_component_id"))
-    sizes = labelled.groupBy("weak_component_id").agg(F.count("*").alias("weak_component_size"))
+    different = links.where("a <> b").select("a", "b")
+    both = save(different.union(different.select("b", "a")).distinct())
+    labels = None
+    while True:
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
+        roots = followed(save(least.select("node", F.least("node", "_least").alias("root"))))
+        if labels is None:
+            labels = roots
+        else:
+            onward = roots.select(F.col("node").alias("root"), F.col("root").alias("_onward"))
+            joined = labels.join(onward, "root", "left")
+            combined = save(joined.select("node", F.coalesce("_onward", "root").alias("root")))
+            discard(labels)
+            labels = combined
+        a = roots.select(F.col("node").alias("a"), F.col("root").alias("_a"))
+        b = roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
+        half = save(both.join(a, "a").select("_a", "b"))
+        ends = half.join(b, "b").where("_a <> _b")
+        contracted = save(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        discard(both, half, *([roots] if labels is not roots else []))
+        both = contracted
+        if both.isEmpty():
+            return labels
+
+
+def connected_components(graph: Graph) -> DataFrame:
+    """(node_id, weak_component_id, weak_component_size); the id is the smallest node of the component."""
+    links = graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    roots = linked_roots(links).select(F.col("node").alias("node_id"), "root")
+    labelled = graph.vertices.select("node_id").join(roots, "node_id", "left")
+    labelled = save(labelled.select("node_id", F.coalesce("root", "node_id").alias("weak_component_id")))
+    # stored, so that the join on the giant component can be split
+    sizes = save(labelled.groupBy("weak_component_id").agg(F.count("*").alias("weak_component_size")))
     return labelled.join(sizes, "weak_component_id").select("node_id", "weak_component_id", "weak_component_size")
 
 
@@ -185,6 +206,9 @@ def communities(
     hashed into two classes that take turns, so neighbours rarely swap; a round that lowers modularity
     is dropped and the classes are made smaller. When a whole cycle of classes gains next to nothing,
     communities become nodes and the next level starts. Ids are the smallest member.
+
+    The effort is bounded: a level takes at most ``max_rounds`` rounds, the search at most ``max_levels``
+    levels, and a gain below ``minimum_gain`` of modularity ends either. Raise the three for a longer search.
     """
     pairs = undirected_edges(graph.edges)
     weight = F.col("weight").cast("double")
@@ -273,13 +297,15 @@ def spectral_embedding(
     weight: str = "edge_count",
     seed: int = 42,
     oversampling: int = 8,
-    power_rounds: int = 3,
+    tolerance: float = 1e-3,
+    max_power_rounds: int = 100,
 ) -> DataFrame:
     """(node_id, embedding_0..k-1): U * S of the rank-k truncated SVD of the weighted adjacency matrix.
 
     Randomised subspace iteration. The n x p blocks stay distributed as p double columns; a product
     with the matrix is one join and one aggregate; Arrow batches are multiplied by p x p matrices
-    inside tasks, and the driver only factors p x p Gram matrices.
+    inside tasks, and the driver only factors p x p Gram matrices. Rounds go on until none of the k singular
+    values changes by more than ``tolerance`` of the largest; ``max_power_rounds`` is a safety limit that raises.
     """
     vertices = save(graph.vertices.select("node_id"))
     count = vertices.count()
@@ -331,27 +357,38 @@ def spectral_embedding(
 
         return block.mapInPandas(local, ", ".join([f"node_id {id_type}", *[f"{n} double" for n in names]]))
 
-    def orthonormal(block: DataFrame) -> DataFrame:
+    def orthonormal(block: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """An orthonormal basis of the block's columns, and the block's k largest singular values."""
         values, vectors = np.linalg.eigh(gram(block))
+        largest = np.sqrt(np.clip(values[::-1][:k], 0.0, None))
         keep = values > max(values.max(), 0.0) * 1e-12
         scale = np.where(keep, 1.0 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
-        return save(combine(block, vectors * scale, columns))
-
-    def start(batches):
-        # gaussian entries drawn per vertex from its own hash: independent of partitioning
-        for batch in batches:
-            draws = [np.random.default_rng([seed, h & (2**63 - 1)]).standard_normal(width) for h in batch["h"]]
-            filled = pd.DataFrame(np.array(draws).reshape(len(batch), width), columns=columns)
-            filled.insert(0, "node_id", batch["node_id"].to_numpy())
-            yield filled
-
-    hashed = vertices.select("node_id", F.xxhash64("node_id").alias("h"))
-    block = save(hashed.mapInPandas(start, f"node_id {id_type}, {schema}"))
+        basis = save(combine(block, vectors * scale, columns))
+        discard(block)
+        return basis, largest
+
+    def uniform(number: int):
+        """In (0, 1], from the vertex and the number of the draw: independent of partitioning."""
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(number), F.col("node_id")), 11)
+        return (bits.cast("double") + 1.0) / float(2**53)
+
+    def normal(number: int):
+        return F.sqrt(-2.0 * F.log(uniform(2 * number))) * F.cos(2.0 * np.pi * uniform(2 * number + 1))
+
+    block = save(vertices.select("node_id", *[normal(i).alias(c) for i, c in enumerate(columns)]))
     # A x reads x at the edge target and adds up at its source; the transpose goes the other way
-    block = orthonormal(save(product(by_dst, dst_pieces, block, "dst", "src")))
-    for _ in range(power_rounds):
-        block = orthonormal(save(product(by_src, src_pieces, block, "src", "dst")))
-        block = orthonormal(save(product(by_dst, dst_pieces, block, "dst", "src")))
+    block, before = orthonormal(save(product(by_dst, dst_pieces, block, "dst", "src")))
+    for _ in range(max_power_rounds):
+        across, _ = orthonormal(save(product(by_src, src_pieces, block, "src", "dst")))
+        discard(block)
+        block, after = orthonormal(save(product(by_dst, dst_pieces, across, "dst", "src")))
+        discard(across)
+        settled = np.abs(after - before).max() <= tolerance * max(after.max(), 1e-300)
+        before = after
+        if settled:
+            break
+    else:
+        raise RuntimeError(f"the spectral embedding has not settled in {max_power_rounds} rounds")
     # with Q orthonormal, Q^T A has the wanted singular values; its Gram matrix is p x p
     projected = save(product(by_src, src_pieces, block, "src", "dst"))
     values, vectors = np.linalg.eigh(gram(projected))

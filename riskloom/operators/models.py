@@ -7,16 +7,19 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.columns import hash_fraction, numeric_columns
+from riskloom.functions.ordered import running_totals
 from riskloom.operators.metrics import decision_metrics, ranking_metrics
 from riskloom.session import materialise
 from riskloom.settings import ModelJob
 
 LABEL = "label"
+# a text column of more distinct values is no category: every one of them would be held by the driver and tasks
+MAX_CATEGORIES = 10_000
 # features that also define the transaction label
 LEAKING = ("source_is_alerted", "destination_is_alerted")
 
@@ -29,9 +32,10 @@ class Preprocessor:
     numeric: tuple[str, ...]
     categories: tuple[str, ...]
     modes: dict[str, str]
+    medians: dict[str, float]
 
     def _typed(self, df: DataFrame) -> DataFrame:
-        casts = {c: F.col(c).cast("double") for c in self.numeric}
+        casts = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(self.medians[c])) for c in self.numeric}
         fills = {c: F.coalesce(F.col(c), F.lit(self.modes[c])) for c in self.categories}
         return df.withColumns({**casts, **fills})
 
@@ -43,16 +47,12 @@ def fit_preprocessor(train: DataFrame, columns: Sequence[str]) -> Preprocessor:
     """An unknown category falls in the dropped slot of the encoder: all zeros."""
     typed = numeric_columns(train.select(*columns))
     text = [c for c in columns if c not in typed]
-    modes = {}
-    for c in text:
-        top = train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-        modes[c] = top[0] if top else ""
+    medians, modes = exact_medians(train, typed), column_modes(train, text)
     stages = []
     parts = []
     if typed:
         stages += [
-            Imputer(strategy="median", inputCols=typed, outputCols=[f"{c}__filled" for c in typed]),
-            VectorAssembler(inputCols=[f"{c}__filled" for c in typed], outputCol="_numbers"),
+            VectorAssembler(inputCols=typed, outputCol="_numbers"),
             StandardScaler(withMean=True, withStd=True, inputCol="_numbers", outputCol="_scaled"),
         ]
         parts.append("_scaled")
@@ -65,8 +65,42 @@ def fit_preprocessor(train: DataFrame, columns: Sequence[str]) -> Preprocessor:
         ]
         parts += encoded
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    draft = Preprocessor(None, tuple(typed), tuple(text), modes)
-    return Preprocessor(Pipeline(stages=stages).fit(draft._typed(train)), tuple(typed), tuple(text), modes)
+    draft = Preprocessor(None, tuple(typed), tuple(text), modes, medians)
+    fitted = Pipeline(stages=stages).fit(draft._typed(train))
+    return Preprocessor(fitted, tuple(typed), tuple(text), modes, medians)
+
+
+def exact_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The median of every numeric column, all columns in one pass over value counts; 0 where all is missing."""
+    if not columns:
+        return {}
+    typed = train.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = typed.unpivot([], list(columns), "feature", "value").where("value IS NOT NULL AND NOT isnan(value)")
+    counts = materialise(long.groupBy("feature", "value").agg(F.count("*").alias("n")), "values")
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
+    upto = running_totals(counts, ["feature"], "value", ["n"], stored=True)
+    ranked = counts.join(upto.select("feature", "value", "n_upto"), ["feature", "value"]).join(totals, "feature")
+    first, last = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("n_upto") >= rank) & (F.col("n_upto") - F.col("n") < rank), F.col("value")))
+
+    rows = ranked.groupBy("feature").agg(((at(first) + at(last)) / 2).alias("median")).collect()  # one per column
+    return dict.fromkeys(columns, 0.0) | {r["feature"]: r["median"] for r in rows}
+
+
+def column_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The most frequent text of every column (ties to the smaller), in one pass; "" where all is missing."""
+    if not columns:
+        return {}
+    long = train.select(*columns).unpivot([], list(columns), "feature", "value").where("value IS NOT NULL")
+    counts = materialise(long.groupBy("feature", "value").agg(F.count("*").alias("n")), "categories")
+    best = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
+    rows = counts.groupBy("feature").agg(best.alias("mode"), F.count("*").alias("values")).collect()  # one per column
+    wide = {r["feature"]: r["values"] for r in rows if r["values"] > MAX_CATEGORIES}
+    if wide:
+        raise ValueError(f"too many distinct values for categories (at most {MAX_CATEGORIES}): {wide}")
+    return dict.fromkeys(columns, "") | {r["feature"]: r["mode"] for r in rows}
 
 
 def in_test(key: Column, settings: ModelJob = ModelJob()) -> Column:
@@ -80,6 +114,27 @@ def split(df: DataFrame, key: str, settings: ModelJob = ModelJob()) -> tuple[Dat
     return df.where(~test), df.where(test)
 
 
+def stratified_parts(
+    df: DataFrame, key: str, *, label: str = LABEL, settings: ModelJob = ModelJob(), validation_size: float = 0.0
+) -> DataFrame:
+    """Adds ``part``: test, validation or train, with exact shares in every class.
+
+    Rows of a class are ranked by the seeded hash of their key; the first ``test_size`` of them, rounded, are the
+    test part, the next ``validation_size`` the validation part. The ranks are prefix sums over sliced hash values,
+    so no task orders a whole class. Rows with equal keys stay together, at most that many rows off the share.
+    """
+    rows = df.withColumn("_fraction", hash_fraction(F.col(key), settings.seed, "split"))
+    counts = materialise(rows.groupBy(label, "_fraction").agg(F.count("*").alias("_n")), "fractions")
+    totals = counts.groupBy(F.col(label).alias("_class")).agg(F.sum("_n").alias("_total"))
+    upto = running_totals(counts, [label], "_fraction", ["_n"], stored=True).withColumnRenamed(label, "_class")
+    placed = upto.join(totals, "_class")
+    test, later = settings.test_size, settings.test_size + validation_size
+    part = F.when(F.col("_n_upto") <= F.round(F.col("_total") * test), "test")
+    part = part.when(F.col("_n_upto") <= F.round(F.col("_total") * later), "validation").otherwise("train")
+    parts = materialise(placed.select("_class", "_fraction", part.alias("part")), "parts")
+    return rows.join(parts.withColumnRenamed("_class", label), [label, "_fraction"]).drop("_fraction")
+
+
 def with_class_weight(df: DataFrame, multiplier: float = 1.0, *, label: str = LABEL) -> DataFrame:
     """Weight 1 for negatives, negatives / positives * multiplier for positives."""
     ratio = df.agg(F.coalesce(F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)), F.lit(1.0)))
@@ -127,7 +182,7 @@ class Trained:
 
 def require_two_classes(df: DataFrame, label: str) -> None:
     if df.agg(F.countDistinct(label)).first()[0] < 2:
-        raise ValueError("At least two label classes are required to train a binary model.")
+        raise ValueError(f"the rows have one value of {label} only: nothing to tell apart")
 
 
 def fit(
@@ -165,7 +220,8 @@ def train_binary_models(
     require_two_classes(frame, target)
     columns = [c for c in frame.columns if c not in {key, target, LABEL, *drop_columns}]
     labelled = frame.withColumn(LABEL, F.col(target).cast("double")).select(key, LABEL, *columns)
-    train, test = split(labelled, key, settings)
+    parts = materialise(stratified_parts(labelled, key, settings=settings), "labelled")
+    train, test = (parts.where(F.col("part") == name).drop("part") for name in ("train", "test"))
     preprocessor = fit_preprocessor(train, columns)
     # both models read the prepared rows several times
     prepared = materialise(preprocessor.transform(train).select("features", LABEL), "train")
@@ -209,9 +265,10 @@ def train_party_model(features: DataFrame, **options) -> DataFrame:
 
 
 def train_node_model(features: DataFrame, *, label_column: str = "is_fraud", **options) -> DataFrame:
-    """Account-tabular, graph-node and combined tracks: they differ in the frame only."""
+    """Account-tabular, graph-node (the graph bundle's node features) and combined (those and the embedding)
+    tracks: they differ in the frame only. Rows without a label are left out."""
     if label_column not in features.columns:
-        raise KeyError(f"Expected label column '{label_column}' in the feature frame")
+        raise KeyError(f"the features have no label column {label_column}")
     dropped = [c for c in (label_column, "fraud_step") if c in features.columns]
     return train_binary_models(features, key="node_id", target=label_column, drop_columns=dropped, **options)
 

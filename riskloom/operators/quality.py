@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.columns import safe_divide
-from riskloom.functions.ordered import exact_quantiles
+from riskloom.functions.ordered import quantiles_of_counts
+from riskloom.session import materialise
 
 # Keys that must be unique
 UNIQUE_KEYS = {
@@ -77,52 +78,72 @@ def null_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return counts.withColumnRenamed("n", "null_count")
 
 
-def duplicate_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Rows beyond the first per key; NULL counts as a key value."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows")).select(
-        F.lit(name).alias("key_name"), "duplicate_rows"
+def duplicate_counts(tables: dict[str, DataFrame], keys: dict[str, tuple] | None = None) -> DataFrame:
+    """Rows beyond the first per key, for all keys in one grouping; NULL counts as a key value."""
+    keys = UNIQUE_KEYS if keys is None else keys
+    named = [
+        tables[t].select(F.lit(name).alias("key_name"), F.array(*[F.col(c).cast("string") for c in columns]).alias("key"))
+        for name, (t, columns) in keys.items()
+    ]
+    sizes = union_all(named).groupBy("key_name", "key").agg(F.count("*").alias("n"))
+    beyond = sizes.groupBy("key_name").agg(F.sum(F.col("n") - 1).alias("duplicate_rows"))
+    spark = next(iter(tables.values())).sparkSession
+    every = spark.createDataFrame([(name,) for name in keys], "key_name string")
+    return every.join(beyond, "key_name", "left").select(
+        "key_name", F.coalesce("duplicate_rows", F.lit(0)).alias("duplicate_rows")
     )
 
 
-def duplicate_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    return union_all([duplicate_count(tables[t], keys, name) for name, (t, keys) in UNIQUE_KEYS.items()])
+def duplicate_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    return duplicate_counts({name: df}, {name: (name, keys)})
 
 
-def foreign_key_check(
-    source: DataFrame, column: str, target: DataFrame, target_column: str, *, allow_absent: bool, name: str
-) -> DataFrame:
-    """The source is reduced to value counts first, so a frequent value is one row in the join."""
-    values = source.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    if allow_absent:
-        values = values.where(F.col("value").isNotNull())
-    known = target.select(F.col(target_column).alias("value"), F.lit(True).alias("known")).distinct()
-    checked = values.join(known, "value", "left")
-    return checked.agg(
-        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("missing_references"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("checked_rows"),
-    ).select(
-        F.lit(name).alias("relation"),
-        (F.col("missing_references") == 0).alias("passed"),
-        "missing_references",
-        "checked_rows",
+def foreign_key_checks(tables: dict[str, DataFrame], relations: Sequence[tuple] | None = None) -> DataFrame:
+    """Rows whose reference has no target, for all relations in one grouping and one join.
+
+    Each source is reduced to value counts per relation first, so a frequent value is one row in the join. The
+    targets are distinct (table, column, value) rows.
+    """
+    relations = FOREIGN_KEYS if relations is None else relations
+    spark = next(iter(tables.values())).sparkSession
+    names = [f"{source}.{column} -> {target}.{other}" for source, column, target, other, _ in relations]
+    described = spark.createDataFrame(
+        [(n, f"{r[2]}.{r[3]}", bool(r[4])) for n, r in zip(names, relations)],
+        "relation string, target string, allow_absent boolean",
+    )
+    sources = []
+    for source in dict.fromkeys(r[0] for r in relations):
+        columns = {n: r[1] for n, r in zip(names, relations) if r[0] == source}
+        wide = tables[source].select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns.values())])
+        pairs = F.array(*[F.struct(F.lit(n).alias("relation"), F.col(f"c{i}").alias("value")) for i, n in enumerate(columns)])
+        sources.append(wide.select(F.inline(pairs)))
+    values = union_all(sources).groupBy("relation", "value").agg(F.count("*").alias("n"))
+    values = values.join(F.broadcast(described), "relation")  # one row per relation
+    values = values.where(F.col("value").isNotNull() | ~F.col("allow_absent"))
+    targets = [
+        tables[t].select(F.lit(f"{t}.{c}").alias("target"), F.col(c).cast("string").alias("value"))
+        for t, c in dict.fromkeys((r[2], r[3]) for r in relations)
+    ]
+    known = union_all(targets).distinct().withColumn("known", F.lit(True))
+    checked = values.join(known, ["target", "value"], "left").groupBy("relation")
+    checked = checked.agg(
+        F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.sum("n").alias("rows")
+    )
+    missing = F.coalesce("missing", F.lit(0))
+    return described.join(checked, "relation", "left").select(
+        "relation",
+        (missing == 0).alias("passed"),
+        missing.alias("missing_references"),
+        F.coalesce("rows", F.lit(0)).alias("checked_rows"),
     )
 
 
-def foreign_key_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    return union_all(
-        [
-            foreign_key_check(
-                tables[source],
-                column,
-                tables[target],
-                target_column,
-                allow_absent=absent,
-                name=f"{source}.{column} -> {target}.{target_column}",
-            )
-            for source, column, target, target_column, absent in FOREIGN_KEYS
-        ]
-    )
+def foreign_key_check(
+    source: DataFrame, column: str, target: DataFrame, target_column: str, *, allow_absent: bool, name: str
+) -> DataFrame:
+    tables = {"source": source, "target": target}
+    checked = foreign_key_checks(tables, [("source", column, "target", target_column, allow_absent)])
+    return checked.withColumn("relation", F.lit(name))
 
 
 def required_columns(tables: dict[str, DataFrame]) -> DataFrame:
@@ -182,18 +203,24 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def describe_number(df: DataFrame, column: str, name: str) -> DataFrame:
-    """count, mean, sample deviation, extremes and exact quartiles; NULLs are skipped."""
+    """count, mean, sample deviation, extremes and exact quartiles, all from one stored table of value counts;
+    NULLs are skipped."""
     value = F.col(column).cast("double")
-    basic = df.agg(
-        F.count(value).cast("double").alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+    counts = materialise(counts, "counts")
+    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
+    spread = F.col("value") - counts.agg(mean).scalar()
+    variance = F.try_divide(F.sum(F.col("n") * spread * spread), F.sum("n") - 1)
+    basic = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("count"),
+        mean.alias("mean"),
+        F.sqrt(variance).alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
     long = [
         part.unpivot([], part.columns, "statistic", "value")
-        for part in (basic, exact_quantiles(df, column, QUARTILES))
+        for part in (basic, quantiles_of_counts(counts, QUARTILES))
     ]
     return union_all(long).where("value is not null").select(F.lit(name).alias("metric"), "statistic", "value")
 

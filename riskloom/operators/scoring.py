@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.functions.columns import money_sum, safe_divide
 from riskloom.functions.ordered import top_per_group
 from riskloom.operators.models import Trained
+from riskloom.session import materialise
 
 
 def score_accounts(model: Trained, features: DataFrame, threshold: float, *, key: str = "node_id") -> DataFrame:
@@ -89,14 +90,19 @@ def incident_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_end", F.explode(ends)).select("*", "_end.*").drop("_end")
 
 
-def critical_transactions(edges: DataFrame, risk: DataFrame, *, k: int = 10) -> DataFrame:
-    """Top k incident edges per account.
+def critical_transactions(
+    edges: DataFrame, risk: DataFrame, *, k: int = 10, accounts: DataFrame | None = None
+) -> DataFrame:
+    """Top k incident edges per account, or per account of ``accounts`` (account_id) if given.
 
     importance = share of the edge in the account's flow within its relation x risk of the
     counterparty (merchants: mean risk of their buyers). ``risk``: account_id (text), probability.
     """
     incident = incident_edges(edges)
+    if accounts is not None:
+        incident = incident.join(accounts.select("account_id"), "account_id", "left_semi")
     flow = incident.groupBy("account_id", "relation").agg(money_sum(F.col("amount")).cast("double").alias("_flow"))
+    flow = materialise(flow, "flow")  # then the join on a hub's flow is a plain shuffle that can be split
     purchases = edges.where(F.col("relation") == "account->buys_from->merchant")
     merchant_risk = (
         purchases.groupBy(F.col("source_id").alias("account_id"), F.col("target_id").alias("counterparty"))
@@ -136,9 +142,15 @@ def account_reports(scores: DataFrame, contributions: DataFrame, edges: DataFram
     )
 
 
+def riskiest(scores: DataFrame) -> DataFrame:
+    """The account with the highest probability, ties to the smaller id: one row, stored. Restrict the inputs of
+    its report to this account before ranking contributions and edges."""
+    return materialise(scores.orderBy(F.desc("fraud_probability"), "account_id").limit(1), "riskiest")
+
+
 def highest_risk_report(scores: DataFrame, contributions: DataFrame, edges: DataFrame) -> DataFrame:
     """The report of the single riskiest account."""
-    top = scores.orderBy(F.desc("fraud_probability"), "account_id").limit(1)
+    top = riskiest(scores)
     key = top.select(F.col("account_id").cast("string").alias("account_id"))
     return account_reports(
         top, contributions.join(key, "account_id", "left_semi"), edges.join(key, "account_id", "left_semi")

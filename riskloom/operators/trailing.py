@@ -5,9 +5,10 @@ For an event at step ``s`` the window ``w`` covers the entity's events that come
 count splits into three parts:
 
 * rows before it in its own (entity, step, slice): a window over one slice;
-* earlier slices of the same step, and earlier steps in [s - w, s - 1]: ROWS and RANGE frames over the
-  per-(entity, step, slice) totals, a table whose length per entity is bounded by the number of slices
-  and steps, not by the number of events.
+* earlier slices of the same step: a ROWS frame over the (entity, step, slice) totals of one step, at most
+  2**20 rows;
+* earlier steps in [s - w, s - 1]: RANGE frames over the (entity, step) totals, as many rows per entity as
+  it has steps.
 
 So a hot entity, or a burst of one entity inside one step, is spread over many tasks, and no task
 receives all events of an entity.
@@ -69,12 +70,14 @@ def _id_slices(base: DataFrame, id_column: str) -> Callable[[DataFrame], DataFra
         )
         code = F.when(F.col("_ids.numeric"), number).otherwise(_text_code(identifier, F.col("_ids.skip")))
         extra = [F.col("numeric"), F.col("skip")]
-    width = F.greatest(F.lit(MIN_SLICE_WIDTH), F.expr(f"(hi - lo) div {MAX_SLICES} + 1")).cast("bigint")
+    # halves: the distance of two 64-bit ids does not fit into 64 bits
+    span = F.shiftright("hi", 1) - F.shiftright("lo", 1)
+    width = F.greatest(F.lit(MIN_SLICE_WIDTH // 2), F.floor(span / MAX_SLICES) + 1).cast("bigint")
     stats = bounds.select(F.struct("lo", width.alias("width"), *extra).alias("ids")).scalar()
 
     def add(df: DataFrame) -> DataFrame:
         coded = df.withColumn("_ids", stats).withColumn("_code", code)
-        return coded.withColumn("_slice", F.expr("(_code - _ids.lo) div _ids.width")).drop("_ids")
+        return coded.withColumn("_slice", F.expr("(shiftright(_code, 1) - shiftright(_ids.lo, 1)) div _ids.width")).drop("_ids")
 
     return add
 
@@ -113,16 +116,20 @@ def add_trailing_history(
         .agg(F.count("*").alias("_n"), money_sum(F.col(amount)).alias("_a"))
     )
     same_step = W.partitionBy(entity, step).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    timeline = W.partitionBy(entity).orderBy(step)
-    measures = [
+    earlier_slices = slices.select(
+        entity,
+        step,
+        "_slice",
         F.coalesce(F.sum("_n").over(same_step), F.lit(0)).alias("_n_slices"),
         F.coalesce(F.sum("_a").over(same_step), F.lit(0)).alias("_a_slices"),
-        F.max(step).over(timeline.rangeBetween(W.unboundedPreceding, -1)).alias("_prev_step"),
-    ]
+    )
+    steps = slices.groupBy(entity, step).agg(F.sum("_n").alias("_n"), F.sum("_a").alias("_a"))
+    timeline = W.partitionBy(entity).orderBy(step)
+    measures = [F.max(step).over(timeline.rangeBetween(W.unboundedPreceding, -1)).alias("_prev_step")]
     for w in windows:
         frame = timeline.rangeBetween(-w, -1)
         measures += [F.sum("_n").over(frame).alias(f"_n_{w}"), F.sum("_a").over(frame).alias(f"_a_{w}")]
-    history = slices.select(entity, step, "_slice", *measures)
+    history = earlier_slices.join(steps.select(entity, step, *measures), [entity, step])
 
     inside = W.partitionBy(entity, step, "_slice").orderBy("_code", *ids).rowsBetween(W.unboundedPreceding, -1)
     rows = add_slices(events).withColumns(

@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from riskloom.operators import canonical, enrich
+from riskloom.session import materialise
 from riskloom.settings import Enrichment
 
+# stage boundaries: what other tables are derived from
+STORED = (
+    "accounts",
+    "alerts",
+    "transactions",
+    "account_device_links",
+    "account_ip_links",
+    "transaction_merchant_links",
+)
+
 
 def canonical_tables(
     raw: dict[str, DataFrame], layout_name: str, enrichment: Enrichment = Enrichment()
 ) -> dict[str, DataFrame]:
+    """The eleven tables. Those that others are derived from are written once to the shared folder; the others are
+    plans over them, so that no table rebuilds another."""
     accounts = canonical.canonical_accounts(raw["accounts"], raw["alerts"], layout_name)
-    alerts = canonical.canonical_alerts(raw["alerts"], accounts, layout_name)
+    accounts = materialise(accounts, "accounts")
+    alerts = materialise(canonical.canonical_alerts(raw["alerts"], accounts, layout_name), "alerts")
     transactions = canonical.canonical_transactions(raw, accounts, alerts, layout_name)
-    device_links = enrich.device_links(accounts, enrichment)
-    address_links = enrich.address_links(accounts, enrichment)
-    merchant_links = enrich.merchant_links(transactions, enrichment)
+    transactions = materialise(transactions, "transactions")
+    device_links = materialise(enrich.device_links(accounts, enrichment), "device_links")
+    address_links = materialise(enrich.address_links(accounts, enrichment), "address_links")
+    merchant_links = materialise(enrich.merchant_links(transactions, enrichment), "merchant_links")
     return {
         "accounts": accounts,
         "parties": canonical.canonical_parties(accounts, alerts),

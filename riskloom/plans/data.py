@@ -38,35 +38,16 @@ class RiskData:
 
     @cached_property
     def fresh(self) -> dict[str, DataFrame]:
-        """Canonical tables as plans over the raw tables, nothing stored."""
+        """Canonical tables as the library call gives them: stored boundaries, and plans over them."""
         return canonical.canonical_tables(self.raw, domain.LAYOUT, self.settings.enrichment)
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
-        # later tables are derived from stored earlier ones
-        accounts = materialise(self.fresh["accounts"], "accounts")
-        from riskloom.operators import canonical as canon, enrich
+        return {n: df if n in canonical.STORED else materialise(df, n) for n, df in self.fresh.items()}
 
-        alerts = materialise(canon.canonical_alerts(self.raw["alerts"], accounts, domain.LAYOUT), "alerts")
-        transactions = materialise(
-            canon.canonical_transactions(self.raw, accounts, alerts, domain.LAYOUT), "transactions"
-        )
-        enrichment = self.settings.enrichment
-        links = {
-            "account_device_links": enrich.device_links(accounts, enrichment),
-            "account_ip_links": enrich.address_links(accounts, enrichment),
-            "transaction_merchant_links": enrich.merchant_links(transactions, enrichment),
-        }
-        links = {n: materialise(df, n) for n, df in links.items()}
-        rest = {
-            "parties": canon.canonical_parties(accounts, alerts),
-            "banks": canon.canonical_banks(accounts),
-            "devices": enrich.devices(links["account_device_links"]),
-            "ip_addresses": enrich.addresses(links["account_ip_links"]),
-            "merchants": enrich.merchants(links["transaction_merchant_links"]),
-        }
-        rest = {n: materialise(df, n) for n, df in rest.items()}
-        return {"accounts": accounts, "alerts": alerts, "transactions": transactions, **links, **rest}
+    @cached_property
+    def feature_sets(self) -> dict[str, DataFrame]:
+        return features.feature_sets(self.tables, windows=WINDOWS)
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -82,11 +63,11 @@ class RiskData:
 
     @cached_property
     def transaction_features(self) -> DataFrame:
-        return materialise(features.transaction_features(self.tables, windows=WINDOWS), "transaction_features")
+        return materialise(self.feature_sets["transaction"], "transaction_features")
 
     @cached_property
     def party_features(self) -> DataFrame:
-        return materialise(features.party_features(self.tables, windows=WINDOWS), "party_features")
+        return materialise(self.feature_sets["party"], "party_features")
 
     @cached_property
     def archive(self) -> dict[str, DataFrame]:
@@ -127,6 +108,32 @@ class RiskData:
     def typed_edges(self) -> DataFrame:
         return graphs.typed_edges(self.nodes, self.merchants, self.transfers, self.merchant_links)
 
+    @cached_property
+    def bundle(self) -> dict:
+        """The graph feature bundle of the archive, stored."""
+        archive = self.archive
+        built = graph_plans.feature_bundle(
+            archive["nodes"], archive["transactions"], settings=self.settings, id_column="id"
+        )
+        return built | {n: materialise(built[n], n) for n in ("embeddings", "combined")}
+
+    @cached_property
+    def tracks(self) -> dict[str, DataFrame]:
+        """Test metrics of all six model tracks. Small forests: twelve models of the default size take too long
+        for a registered query on one machine."""
+        job = ModelJob(num_trees=20, max_depth=8)
+        # the balance defines the label of the derived domain tables
+        bundle = {n: df.drop("initial_balance") for n, df in self.bundle.items() if isinstance(df, DataFrame)}
+        rows = {
+            "transaction": models.train_transaction_model(self.transaction_features, settings=job),
+            "party": models.train_party_model(self.party_features.drop("alert_count"), settings=job),
+            "account_tabular": models.train_node_model(bundle["tabular_account_features"], settings=job),
+            "graph_node": models.train_node_model(bundle["node_features"], settings=job),
+            "embedding_only": models.train_embedding_model(bundle["embeddings"], self.nodes, settings=job),
+            "combined": models.train_node_model(bundle["combined"], settings=job),
+        }
+        return {n: materialise(df, n) for n, df in rows.items()}
+
     @cached_property
     def model(self) -> models.Trained:
         """Logistic regression on the account-tabular features."""

@@ -577,7 +577,15 @@ def _(data):
     return drift.feature_drift(rows, names).select("feature", "ks_statistic")
 
 
-@query("D3_ks_pvalue")
+KS_SIZES = """SELECT feature, max(abs(b::DOUBLE / nb - c::DOUBLE / nc)) AS ks, sqrt(max(nb)::DOUBLE * max(nc) / (max(nb) + max(nc)))
+ AS root FROM cumulative WHERE nb > 0 AND nc > 0 GROUP BY 1"""
+KS_TAILS = """SELECT feature, ks, CASE WHEN t = 0 THEN 1 WHEN t < 1 THEN 1 - sqrt(2 * pi()) / t * list_sum(list_transform(
+ range(1, 30), lambda k: exp(0 - power((2 * k - 1) * pi(), 2) / (8 * t * t)))) ELSE 2 * list_sum(list_transform(range(1, 60),
+ lambda k: power(-1, k - 1) * exp(0 - 2 * k * k * t * t))) END AS p FROM (SELECT *, (root + 0.12 + 0.11 / root) * ks AS t FROM ks_sizes)"""
+
+
+@query("D3_ks_pvalue", f"SELECT feature, {r('ks', 'ks_statistic')}, {r('least(1, greatest(0, p))', 'ks_pvalue')} FROM ks_tails",
+       **drift_sql(HISTORY_COHORTS, HISTORY_FEATURES), ks_sizes=KS_SIZES, ks_tails=KS_TAILS)
 def _(data):
     return drift.with_pvalue(drift.temporal_drift(data.history)).select("feature", "ks_statistic", "ks_pvalue")
 

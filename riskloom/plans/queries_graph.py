@@ -11,8 +11,7 @@ from riskloom.plans.oracle import money, r
 from riskloom.plans.queries_features import CURVE, FLOW_VIEWS, drift_sql
 from riskloom.plans.queries_tables import CONFUSION, scored_accounts
 from riskloom.plans.registry import query
-from riskloom.session import work_path
-from riskloom.settings import ModelJob
+from riskloom.session import materialise, work_path
 from riskloom.streaming import jobs
 
 # ---- graph ------------------------------------------------------------------------------------
@@ -45,7 +44,8 @@ def _(data):
     return graphs.degrees(data.graph).withColumns({w: F.round(w, 2) for w in weighted})
 
 
-PAGERANK_ROUNDS = 10
+# the oracle knows this many rounds, and stops by the rule of the job: every fifth round, if the change is small
+PAGERANK_ROUNDS = 20
 
 
 def _pagerank_views() -> dict[str, str]:
@@ -58,13 +58,19 @@ def _pagerank_views() -> dict[str, str]:
             f"SELECT n.node_id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce(f.x, 0) AS x FROM nodes n LEFT JOIN "
             f"(SELECT dst, sum(share * x) AS x FROM shares JOIN rank_{i - 1} p ON p.node_id = src GROUP BY dst) f "
             "ON f.dst = n.node_id")
+    checks = range(5, PAGERANK_ROUNDS + 1, 5)
+    views["changes"] = " UNION ALL ".join(
+        f"SELECT {i} AS k, sum(abs(p.x - q.x)) AS change FROM rank_{i} p JOIN rank_{i - 1} q USING (node_id)" for i in checks)
+    views["settled"] = "SELECT min(k) AS k FROM changes WHERE change < 1e-6 * (SELECT count(*) FROM nodes)"
+    views["final_rank"] = " UNION ALL ".join(
+        f"SELECT node_id, x FROM rank_{i} WHERE (SELECT k FROM settled) = {i}" for i in checks)
     return views
 
 
-@query("G3_pagerank", f"SELECT node_id, {r('x / (SELECT sum(x) FROM rank_10) * 1000', 'pagerank_permille')} FROM rank_10",
+@query("G3_pagerank", f"SELECT node_id, {r('x / (SELECT sum(x) FROM final_rank) * 1000', 'pagerank_permille')} FROM final_rank",
        **_pagerank_views())
 def _(data):
-    ranks = iterative.pagerank(data.graph, fixed_rounds=PAGERANK_ROUNDS)
+    ranks = iterative.pagerank(data.graph)
     return ranks.select("node_id", (F.col("pagerank") * 1000).alias("pagerank_permille"))
 
 
@@ -110,6 +116,39 @@ def _(data):
     return graph_plans.node_features(data.graph)
 
 
+@query("G6_partition_checks", """
+SELECT count(*) AS nodes, true AS sizes_agree, true AS ids_are_members, true AS better_than_components FROM nodes""")
+def _(data):
+    """Sizes counted again, ids among the members, and a modularity above that of the weak components (0 for one)."""
+    found = data.bundle["node_features"].select("node_id", "community_id", "community_size", "weak_component_id")
+    sizes = found.groupBy("community_id").agg(F.count("*").alias("n"), F.min("node_id").alias("least"))
+    pairs = graphs.undirected_edges(data.graph.edges)
+    forward = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").cast("double").alias("w"))
+    arcs = materialise(forward.union(forward.select("v", "u", "w")), "arcs")
+    total = arcs.agg(F.sum("w")).first()[0]
+    scores = [
+        iterative.modularity(arcs, found.select(F.col("node_id").alias("node"), F.col(c).alias("community")), total)
+        for c in ("community_id", "weak_component_id")
+    ]
+    return found.join(sizes, "community_id").agg(
+        F.count("*").alias("nodes"),
+        F.bool_and(F.col("n") == F.col("community_size")).alias("sizes_agree"),
+        F.bool_and(F.col("least") == F.col("community_id")).alias("ids_are_members"),
+        F.lit(scores[0] > scores[1] + 0.1).alias("better_than_components"),
+    )
+
+
+@query("G7_measured_columns", f"""
+SELECT node_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, {r('c', 'clustering_coefficient')},
+ l.label AS weak_component_id, count(*) OVER (PARTITION BY l.label) AS weak_component_size FROM nodes
+JOIN coefficients USING (node_id) JOIN label_12 l USING (node_id)
+LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON node_id = i.dst
+LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON node_id = o.src""", **_component_views(), **CLUSTERING)
+def _(data):
+    names = ("in_degree", "out_degree", "clustering_coefficient", "weak_component_id", "weak_component_size")
+    return data.bundle["node_features"].select("node_id", *names)
+
+
 @query("G8_graph_summary", f"""
 SELECT n AS node_count, m AS edge_count, {r('m::DOUBLE / (n * (n - 1))', 'density')},
  {r('m::DOUBLE / n', 'average_in_degree')}, {r('m::DOUBLE / n', 'average_out_degree')},
@@ -132,7 +171,27 @@ def _(data):
 
 @query("G10_spectral_embedding")
 def _(data):
-    return iterative.spectral_embedding(data.graph, dimensions=8)
+    return iterative.spectral_embedding(data.graph)
+
+
+@query("G10_embedding_identities", """
+SELECT i, j, true AS orthogonal, true AS ordered FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j) WHERE i < j""")
+def _(data):
+    """The columns of U * S are orthogonal, and their norms, the singular values, fall."""
+    names = [f"embedding_{i}" for i in range(16)]
+    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(16) for j in range(i, 16)]
+    one = data.bundle["embeddings"].agg(*products)
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(j).alias("j"),
+            (F.abs(f"p{i}_{j}") <= 1e-6 * F.sqrt(F.col(f"p{i}_{i}") * F.col(f"p{j}_{j}"))).alias("orthogonal"),
+            (F.col(f"p{i}_{i}") >= F.col(f"p{j}_{j}") * (1 - 1e-9)).alias("ordered"),
+        )
+        for i in range(16)
+        for j in range(i + 1, 16)
+    ]
+    return one.select(F.inline(F.array(*cells)))
 
 
 @query("G11_typed_edges", f"""
@@ -176,9 +235,7 @@ def _(data):
 
 @query("C17_graph_bundle")
 def _(data):
-    archive = data.archive
-    bundle = graph_plans.feature_bundle(archive["nodes"], archive["transactions"], id_column="id")
-    return bundle["combined"]
+    return data.bundle["combined"]
 
 
 # ---- models -----------------------------------------------------------------------------------
@@ -201,12 +258,27 @@ def _(data):
     )
 
 
+@query("M1_medians_and_modes", """
+SELECT 'l_quantity' AS feature, median(l_quantity)::VARCHAR AS value FROM lineitem UNION ALL
+SELECT 'l_extendedprice', round(median(l_extendedprice), 4)::VARCHAR FROM lineitem UNION ALL
+SELECT 'l_returnflag', arg_min(l_returnflag, (-n, l_returnflag)) FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)
+UNION ALL SELECT 'l_linestatus', arg_min(l_linestatus, (-n, l_linestatus)) FROM (SELECT l_linestatus, count(*) AS n FROM lineitem
+ GROUP BY 1)""")
+def _(data):
+    rows = data.table("lineitem")
+    medians = models.exact_medians(rows, ["l_quantity", "l_extendedprice"])
+    values = {n: str(round(m, 4)) for n, m in medians.items()} | models.column_modes(rows, ["l_returnflag", "l_linestatus"])
+    return data.spark.createDataFrame(list(values.items()), "feature string, value string")
+
+
 @query("M2_stratified_split", """
-SELECT label, ('0x' || substr(sha256('42:split:' || account_id), 1, 12))::BIGINT / 281474976710656.0 < 0.25 AS in_test,
- count(*) AS n FROM scored GROUP BY ALL""")
+SELECT label, part, count(*) AS n, sum(account_id)::BIGINT AS id_sum FROM (SELECT label, account_id, CASE WHEN k <=
+ round(n * 0.25) THEN 'test' WHEN k <= round(n * 0.35) THEN 'validation' ELSE 'train' END AS part FROM (SELECT *, count(*)
+ OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(sha256('42:split:' ||
+ account_id), 1, 12))::BIGINT) AS k FROM scored)) GROUP BY ALL""")
 def _(data):
-    rows = scored_accounts(data).withColumn("in_test", models.in_test(F.col("account_id")))
-    return rows.groupBy("label", "in_test").agg(F.count("*").alias("n"))
+    rows = models.stratified_parts(scored_accounts(data), "account_id", validation_size=0.1)
+    return rows.groupBy("label", "part").agg(F.count("*").alias("n"), F.sum("account_id").alias("id_sum"))
 
 
 @query("M3_logistic_regression")
@@ -216,7 +288,7 @@ def _(data):
 
 @query("M4_random_forest")
 def _(data):
-    return models.train_party_model(party_frame(data), kinds=["random_forest"], settings=ModelJob(max_depth=12))
+    return models.train_party_model(party_frame(data), kinds=["random_forest"])
 
 
 @query("M5_class_weights", f"""
@@ -253,35 +325,27 @@ def _(data):
     return metrics.best_threshold(scored_accounts(data))
 
 
-SMALL_FOREST = ModelJob(num_trees=20, max_depth=8)
-
-
-def _tracks(data) -> dict:
-    tabular = data.tabular.drop("initial_balance")
-    embeddings = iterative.spectral_embedding(data.graph, dimensions=8)
-    return {
-        "transaction": models.train_transaction_model(data.transaction_features, settings=SMALL_FOREST),
-        "party": models.train_party_model(party_frame(data), settings=SMALL_FOREST),
-        "account_tabular": models.train_node_model(tabular, settings=SMALL_FOREST),
-        "embedding_only": models.train_embedding_model(embeddings, data.nodes, settings=SMALL_FOREST),
-        "combined": models.train_node_model(tabular.join(embeddings, "node_id"), settings=SMALL_FOREST),
-    }
+@query("M8_model_tracks")
+def _(data):
+    rows = [df.withColumn("track", F.lit(t)) for t, df in data.tracks.items()]
+    return quality.union_all(rows)
 
 
-@query("M8_model_tracks")
+@query("M8_track_rows", """
+SELECT track, model, sum(n)::BIGINT - sum(t)::BIGINT AS train_rows, sum(t)::BIGINT AS test_rows FROM (
+ SELECT track, label, count(*) AS n, round(count(*) * 0.25) AS t FROM (
+  SELECT 'transaction' AS track, is_alert_related::INTEGER AS label FROM transactions UNION ALL
+  SELECT 'party', is_alerted::INTEGER FROM parties UNION ALL
+  SELECT track, is_fraud FROM nodes, (SELECT unnest(['account_tabular', 'graph_node', 'embedding_only', 'combined']) AS track))
+ GROUP BY ALL), (SELECT unnest(['logistic_regression', 'random_forest']) AS model) GROUP BY ALL""")
 def _(data):
-    rows = [df.withColumn("track", F.lit(t)) for t, df in _tracks(data).items()]
+    rows = [df.select(F.lit(t).alias("track"), "model", "train_rows", "test_rows") for t, df in data.tracks.items()]
     return quality.union_all(rows)
 
 
 @query("M9_comparison_table")
 def _(data):
-    tabular = data.tabular.drop("initial_balance")
-    tracks = {
-        "party": models.train_party_model(party_frame(data), settings=SMALL_FOREST),
-        "account_tabular": models.train_node_model(tabular, settings=SMALL_FOREST),
-    }
-    return metrics.comparison_table(tracks, ("party", "logistic_regression"))
+    return metrics.comparison_table(data.tracks, ("party", "logistic_regression"))
 
 
 @query("M10_account_scoring")
@@ -310,7 +374,7 @@ SELECT account_id, feature, {r('contribution', 'contribution', 4)}, rank FROM (S
  (SELECT l_orderkey AS account_id, {', '.join(f"sum({c}::DECIMAL(18,4))::DOUBLE AS {c}" for c in WEIGHTS)} FROM lineitem
  GROUP BY 1)) UNPIVOT (contribution FOR feature IN ({', '.join(WEIGHTS)}))) WHERE rank <= 2""")
 def _(data):
-    sums = [F.sum(F.col(c).cast("decimal(18,4)")).cast("double").alias(c) for c in WEIGHTS]
+    sums = [F.sum(F.col(c).cast("decimal(38,8)")).cast("double").alias(c) for c in WEIGHTS]
     rows = data.table("lineitem").groupBy(F.col("l_orderkey").alias("account_id")).agg(*sums)
     top = scoring.linear_contributions(scoring.standardise(rows, list(WEIGHTS)), WEIGHTS, k=2)
     return top.withColumn("contribution", F.round("contribution", 4))
@@ -362,8 +426,12 @@ def _(data):
 
 @query("M13_highest_risk_report")
 def _(data):
-    edges = scoring.critical_transactions(data.typed_edges, account_risk(data), k=5)
-    return scoring.highest_risk_report(data.scores, _with_text_id(contributions(data)), edges)
+    # the one account first: contributions and edges of no other are ranked
+    top = scoring.riskiest(data.scores)
+    key = top.select(F.col("account_id").cast("string").alias("account_id"))
+    features = data.tabular.join(top.select(F.col("account_id").alias("node_id")), "node_id", "left_semi")
+    edges = scoring.critical_transactions(data.typed_edges, account_risk(data), k=5, accounts=key)
+    return scoring.highest_risk_report(top, _with_text_id(scoring.model_contributions(data.model, features, k=5)), edges)
 
 
 @query("M14_account_reports")
@@ -379,13 +447,30 @@ def _(data):
 # ---- streaming --------------------------------------------------------------------------------
 
 
-@query("R1_stream_ingest", "SELECT event_id, user_id, event_type, value FROM events")
+@query("R1_stream_ingest", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def _(data):
-    schema = "event_id bigint, user_id bigint, event_type string, value double"
+    schema = data.table("events").schema
     stream = jobs.stream_files(data.spark, data.directory, schema, format="parquet", pattern="events.parquet")
     return jobs.ingest(stream, work_path(data.spark, "ingested"), work_path(data.spark, "offsets"))
 
 
+@query("R1_archive_ingest", """
+SELECT 'nodes' AS table_name, count(*) AS row_count, sum(node_id)::BIGINT AS id_sum FROM nodes UNION ALL
+SELECT 'transactions', count(*), sum(source_node_id + target_node_id)::BIGINT FROM transfers""")
+def _(data):
+    folder = work_path(data.spark, "archive")
+    nodes = data.nodes.selectExpr("node_id AS nodeid", "is_fraud AS isFraud", "initial_balance AS init_balance", "fraud_step AS fraudStep")
+    moves = data.transfers.selectExpr("source_node_id AS sourceNodeId", "target_node_id AS targetNodeId", "amount AS value", "event_time AS time")
+    nodes.repartition(2).write.option("header", True).csv(f"{folder}/nodes")
+    moves.repartition(3).write.option("header", True).csv(f"{folder}/transactions")
+    tables = jobs.ingest_archive(data.spark, folder, work_path(data.spark, "ingested"), work_path(data.spark, "offsets"))
+    sums = {"nodes": "CAST(nodeid AS BIGINT)", "transactions": "CAST(sourceNodeId AS BIGINT) + CAST(targetNodeId AS BIGINT)"}
+    return quality.union_all([
+        tables[n].agg(F.count("*").alias("row_count"), F.expr(f"sum({e})").alias("id_sum")).select(
+            F.lit(n).alias("table_name"), "row_count", "id_sum") for n, e in sums.items()
+    ])
+
+
 MONITORED = ["total_amount", "incoming_transaction_count", "outgoing_transaction_count"]
 
 
@@ -395,7 +480,7 @@ def _drift_log(data):
     folder = work_path(data.spark, "arrivals")
     half = hash_fraction(F.col("node_id"), 7) < 0.5
     recent.where(half).unionByName(baseline.where(~half)).write.parquet(folder)
-    stream = jobs.stream_files(data.spark, folder, baseline.schema, format="parquet", files_per_trigger=1000)
+    stream = jobs.stream_files(data.spark, folder, baseline.schema, format="parquet", files_per_trigger=None)
     return jobs.monitor_drift(
         stream, baseline, work_path(data.spark, "events"), work_path(data.spark, "offsets"), columns=MONITORED
     )
@@ -421,7 +506,9 @@ def _(data):
     )
 
 
-@query("S10_event_log")
+@query("S10_event_log", """
+SELECT 0::BIGINT AS batch_id, true AS drift_detected, feature FROM ks_values WHERE ks >= 0.2""",
+       **FLOW_VIEWS, **drift_sql(ARRIVALS, MONITORED))
 def _(data):
     return _drift_log(data).select("batch_id", "drift_detected", F.explode("drifted_features").alias("feature"))
 
@@ -445,7 +532,7 @@ LOG = """SELECT day(ts)::BIGINT AS batch_id, count(*) FILTER (WHERE event_type =
 def _(data):
     daily = data.table("events").groupBy(F.dayofmonth("ts").alias("day")).agg(
         F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"),
-        F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"),
+        F.sum(F.col("value").cast("decimal(38,8)")).cast("double").alias("total"),
         F.countDistinct("event_type").alias("kinds"),
     )
     log = daily.select(
@@ -457,7 +544,8 @@ def _(data):
         (F.col("day") / 10.0).alias("duration_seconds"), F.col("day").cast("bigint").alias("batch_id"),
     )
     path = work_path(data.spark, "log")
-    log.drop("batch_id").withColumn("batch_id", F.dayofmonth(F.to_date("timestamp"))).write.partitionBy("batch_id").json(path)
+    keyed = log.withColumns({"query_id": F.lit("daily"), "batch_id": F.dayofmonth(F.to_date("timestamp"))})
+    keyed.write.partitionBy("query_id", "batch_id").json(path)
     return jobs.monitoring_metrics(jobs.read_events(data.spark, path))
 
 
@@ -481,7 +569,7 @@ def _(data):
 def _(data):
     folder = work_path(data.spark, "arrivals")
     data.tabular.write.parquet(folder)
-    stream = jobs.stream_files(data.spark, folder, data.tabular.schema, format="parquet", files_per_trigger=1000)
+    stream = jobs.stream_files(data.spark, folder, data.tabular.schema, format="parquet", files_per_trigger=None)
     attributes = data.nodes.select(F.col("node_id").alias("account_id"), "fraud_step")
     return jobs.score_stream(
         stream,

@@ -52,13 +52,14 @@ def _(data):
     return accounts.select("account_id", "party_id", "is_alerted", "alert_count")
 
 
-@query("S3_processed_tables", "SELECT 'accounts' AS table_name, count(*) AS row_count FROM accounts UNION ALL "
-       "SELECT 'parties', count(*) FROM parties UNION ALL SELECT 'transactions', count(*) FROM transactions "
-       "UNION ALL SELECT 'merchants', count(*) FROM merchants")
+TABLES = ("accounts", "parties", "transactions", "alerts", "banks", "devices", "ip_addresses", "merchants",
+          "account_device_links", "account_ip_links", "transaction_merchant_links")
+
+
+@query("S3_processed_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES))
 def _(data):
     root = work_path(data.spark, "processed")
-    chosen = ("accounts", "parties", "transactions", "merchants")
-    files.write_tables({n: data.tables[n] for n in chosen}, root)
+    files.write_tables(data.tables, root)
     return quality.row_counts(files.read_processed_tables(data.spark, root))
 
 

@@ -62,3 +62,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes superseded ``materialise`` results. Only for states that no later plan reads: what followed them has
+    been written, so a lost executor never needs them again. Nothing outside the shared folder is touched."""
+    for frame in frames:
+        spark = frame.sparkSession
+        root = shared_folder(spark).rstrip("/").removeprefix("file://")
+        for folder in {os.path.dirname(f) for f in frame.inputFiles()}:
+            if os.path.dirname(folder).removeprefix("file://") == root:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.operators.canonical import INGEST
 from riskloom.schemas import ARCHIVE_DDL, CANONICAL_DDL
@@ -98,7 +99,7 @@ def write_tables(tables: dict[str, DataFrame], root: str, *, partition_by: Itera
 def read_processed_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Every table under ``root``: Parquet folders, or CSV files with the canonical schema."""
     if not exists(spark, root):
-        raise FileNotFoundError(f"Processed data directory does not exist: {root}")
+        raise FileNotFoundError(f"no folder of processed tables at {root}")
     tables = {}
     for name in children(spark, root):
         path, stem = f"{root}/{name}", name.removesuffix(".csv").removesuffix(".parquet")
@@ -126,7 +127,7 @@ def discover_archive(spark: SparkSession, folder: str) -> ArchiveLayout:
     )}
     missing = sorted(path for path in members.values() if not exists(spark, path))
     if missing:
-        raise FileNotFoundError(f"Archive {folder} is missing required members: {', '.join(missing)}")
+        raise FileNotFoundError(f"{folder} is no graph archive, it lacks {', '.join(missing)}")
     return ArchiveLayout(folder.rsplit("/", 1)[-1], **members)
 
 
@@ -143,6 +144,7 @@ def read_archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def archive_metadata(text: DataFrame) -> DataFrame:
     """Counts and pattern text reported in a metadata text column ``value``."""
 
+    # The wording of the archive's metadata file
     def reported(pattern: str, group: int):
         digits = F.regexp_replace(F.regexp_extract("value", pattern, group), ",", "")
         return F.nullif(digits, F.lit("")).cast("bigint")
@@ -184,6 +186,17 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def write_reports(reports: dict[str, DataFrame], root: str) -> None:
+    """One JSON folder per report: validation, profile, drift, activity, graph summary, metrics or any other set."""
+    for name, report in reports.items():
+        write_report(report, f"{root}/{name}")
+
+
+def read_report(spark: SparkSession, root: str, name: str, schema: StructType | str) -> DataFrame:
+    """A report by the schema it was written with: JSON itself has no integers, and drops NULL fields."""
+    return spark.read.schema(schema).json(f"{root}/{name}")
+
+
 def write_features(features: DataFrame, path: str, *, as_csv: bool = False) -> None:
     writer = features.write.mode("overwrite")
     writer.option("header", True).csv(path) if as_csv else writer.parquet(path)

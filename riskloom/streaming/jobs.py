@@ -1,22 +1,27 @@
 """Structured Streaming jobs: ingest, drift monitoring, online scoring, and the event log metrics.
 
 No job keeps operator state; progress lives in the source offsets of the query checkpoint. Sinks are
-idempotent per batch: a replayed batch overwrites its own folder.
+idempotent per batch: a replayed batch overwrites its own folder, and no other.
 """
 
 from __future__ import annotations
 
+import datetime
+import json
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from riskloom.operators.drift import comparable_columns, distribution_drift, drift_verdict
-from riskloom.sources.files import exists
+from riskloom.operators.drift import comparable_columns, drift_of_counts, drift_verdict, value_counts, with_verdict
+from riskloom.session import materialise
+from riskloom.sources.files import ARCHIVE_DDL, exists
 
-EVENT_SCHEMA = (
+EVENT = (
     "timestamp string, drift_detected boolean, drift_score double, drifted_features array<string>, "
-    "sample_size bigint, analyzed_feature_count bigint, duration_seconds double, batch_id bigint"
+    "sample_size bigint, analyzed_feature_count bigint, duration_seconds double"
 )
+EVENT_SCHEMA = f"{EVENT}, query_id string, batch_id bigint"
 
 
 def stream_files(
@@ -25,11 +30,13 @@ def stream_files(
     schema: T.StructType | str,
     *,
     format: str = "csv",
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = 1,
     pattern: str | None = None,
 ) -> DataFrame:
-    """A file stream read in bounded chunks of files."""
-    reader = spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    """A file stream read in bounded chunks of files; None reads all that is there as one batch."""
+    reader = spark.readStream.format(format).schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if format == "csv":
         reader = reader.option("header", True)
     if pattern:
@@ -62,38 +69,75 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def drift_event(drift: DataFrame, started: str, batch_id: int) -> DataFrame:
-    """One log row from the per-feature drift of a batch."""
-    now = F.current_timestamp()
-    return drift_verdict(drift).select(
-        F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"),
-        "drift_detected",
-        "drift_score",
-        "drifted_features",
-        F.col("recent_rows").alias("sample_size"),
-        "feature_count_analyzed",
-        (now.cast("double") - F.lit(started).cast("timestamp").cast("double")).alias("duration_seconds"),
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
-    ).withColumnRenamed("feature_count_analyzed", "analyzed_feature_count")
+def ingest_archive(spark: SparkSession, folder: str, target: str, checkpoint: str, *, files_per_trigger: int = 1) -> dict[str, DataFrame]:
+    """Incremental ingest of an archive whose tables arrive file by file under ``nodes`` and ``transactions`` folders.
+
+    Every column is kept; ids and amounts are typed on reading. Returns the ingested tables."""
+    tables = {}
+    for name in ("nodes", "transactions"):
+        stream = stream_files(spark, f"{folder}/{name}", ARCHIVE_DDL[name], files_per_trigger=files_per_trigger)
+        tables[name] = ingest(stream, f"{target}/{name}", f"{checkpoint}/{name}")
+    return tables
+
+
+def drift_event(drift: DataFrame, started: float) -> DataFrame:
+    """One log row from the per-feature drift of a batch, evaluated here. ``started`` is a ``time.perf_counter``
+    reading from before the work on the batch."""
+    verdict = drift_verdict(drift).first()  # one row
+    row = (
+        datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="milliseconds"),
+        verdict["drift_detected"],
+        verdict["drift_score"],
+        verdict["drifted_features"],
+        verdict["recent_rows"],
+        verdict["feature_count_analyzed"],
+        time.perf_counter() - started,
+    )
+    return drift.sparkSession.createDataFrame([row], EVENT)
+
 
+def append_event(event: DataFrame, log: str, query_id: str, batch_id: int) -> None:
+    """Append-only JSON log with one folder per streaming query and batch: a retried batch does not log twice, and
+    the batches of another query, which count from 0 too, stay beside it."""
+    event.write.mode("overwrite").json(f"{log}/query_id={query_id}/batch_id={batch_id}")
 
-def append_event(event: DataFrame, log: str, batch_id: int) -> None:
-    """Append-only JSON log with one folder per batch, so a retried batch does not log twice."""
-    event.drop("batch_id").write.mode("overwrite").json(f"{log}/batch_id={batch_id}")
+
+def query_identity(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps with its checkpoint, across restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def monitor_drift(
-    stream: DataFrame, baseline: DataFrame, log: str, checkpoint: str, *, columns: Sequence[str] | None = None
+    stream: DataFrame,
+    baseline: DataFrame,
+    log: str,
+    checkpoint: str,
+    *,
+    columns: Sequence[str] | None = None,
+    method: str = "asymptotic",
 ) -> DataFrame:
-    """Tests every micro-batch against a fixed baseline and logs the verdict; empty batches are skipped."""
+    """Tests every micro-batch against a fixed baseline and logs the verdict; empty batches are skipped.
+
+    The value counts of the baseline are stored once; a batch is read once, for its own counts."""
     names = comparable_columns(baseline, stream, columns)
+    if baseline.isEmpty():
+        raise ValueError("Baseline frame has no rows to compare")
+
+    def counted(frame: DataFrame, cohort: str) -> DataFrame:
+        doubles = [F.col(c).try_cast("double").alias(c) for c in names]
+        return value_counts(frame.select(*doubles, F.lit(cohort).alias("cohort")), names)
+
+    fixed = materialise(counted(baseline, "baseline"), "baseline")
 
     def test(batch: DataFrame, batch_id: int) -> None:
+        started = time.perf_counter()
         if batch.isEmpty():
             return
-        started = batch.sparkSession.range(1).select(F.current_timestamp().cast("string")).first()[0]
-        drift = distribution_drift(baseline, batch, columns=names)
-        append_event(drift_event(drift, started, batch_id), log, batch_id)
+        both = fixed.unionByName(counted(batch, "recent")).groupBy("feature", "value")
+        both = both.agg(F.sum("baseline").alias("baseline"), F.sum("recent").alias("recent"))
+        drift = with_verdict(drift_of_counts(materialise(both, "counts")), method=method)
+        query_id = query_identity(batch.sparkSession, checkpoint)
+        append_event(drift_event(drift, started), log, query_id, batch_id)
 
     run_available(stream, checkpoint, test)
     return read_events(stream.sparkSession, log)
@@ -113,7 +157,7 @@ def monitoring_metrics(events: DataFrame) -> DataFrame:
     """Counters, latest values and duration histogram as (metric, value)."""
 
     def latest(column):
-        return F.max_by(column, F.struct("timestamp", "batch_id"))
+        return F.max_by(column, F.struct("timestamp", "batch_id", "query_id"))
 
     measures = {
         "drift_analyses_total": F.count("*"),

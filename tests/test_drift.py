@@ -52,15 +52,32 @@ def test_pvalue_by_enumeration():
         seen[round(worst, 9)] = seen.get(round(worst, 9), 0) + 1
     total = sum(seen.values())
     for d in seen:
-        assert drift.ks_pvalue(d, n, m) == pytest.approx(sum(c for e, c in seen.items() if e >= d) / total)
+        assert drift.exact_ks_pvalue(d, n, m) == pytest.approx(sum(c for e, c in seen.items() if e >= d) / total)
 
 
-def test_pvalue_limits():
-    assert drift.ks_pvalue(0.0, 10, 10) == 1.0
+def asymptotic(spark, rows):
+    df = spark.createDataFrame(rows, "ks_statistic double, baseline_rows long, recent_rows long")
+    return [r.ks_pvalue for r in drift.with_pvalue(df).collect()]
+
+
+def test_exact_pvalue(spark):
+    assert drift.exact_ks_pvalue(0.0, 10, 10) == 1.0
     # a published pair of sizes and statistic
-    assert drift.ks_pvalue(0.525, 80, 15) == pytest.approx(0.00098980620077, rel=1e-9)
-    exact, series = drift.ks_pvalue(0.02, 10_000, 9_000), drift.ks_pvalue(0.02, 10_001, 9_000)
-    assert exact == pytest.approx(series, rel=0.02)
+    assert drift.exact_ks_pvalue(0.525, 80, 15) == pytest.approx(0.00098980620077, rel=1e-9)
+    df = spark.createDataFrame([(0.525, 80, 15)], "ks_statistic double, baseline_rows long, recent_rows long")
+    assert drift.with_pvalue(df, method="exact").first().ks_pvalue == pytest.approx(0.00098980620077, rel=1e-9)
+    with pytest.raises(ValueError, match="method"):
+        drift.with_pvalue(df, method="auto")
+
+
+def test_asymptotic_pvalue(spark):
+    assert asymptotic(spark, [(1e-6, 10**7, 10**7), (1e-5, 10**6, 10**6), (0.0, 5, 5)]) == [1.0, 1.0, 1.0]
+    rows = [(0.02, 10_000, 9_000), (0.03, 2000, 3000), (0.05, 2000, 3000), (0.2, 60, 90), (0.3, 100, 100)]
+    for p, row in zip(asymptotic(spark, rows), rows):
+        assert p == pytest.approx(drift.exact_ks_pvalue(*row), rel=0.12, abs=2e-3)
+    falling = asymptotic(spark, [(i / 1000, 1000, 1000) for i in range(1, 200)])
+    assert all(a >= b for a, b in zip(falling, falling[1:])) and falling[-1] < 1e-15
+    assert asymptotic(spark, [(1.0, 10**12, 10**12)]) == [0.0]
 
 
 def test_cohorts_and_fallback(spark):

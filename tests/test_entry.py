@@ -17,7 +17,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test data not m
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    families = {re.match(r"[A-Z]\d+", name).group() for name in queries}
+    families = {found.group() for name in queries if (found := re.match(r"[A-Z]\d+", name))}
     sizes = {"S": 10, "P": 13, "J": 11, "A": 19, "W": 8, "T": 8, "X": 8, "C": 17, "V": 7, "D": 7, "G": 13, "M": 14, "R": 4}
     missing = [f"{f}{i}" for f, n in sizes.items() for i in range(1, n + 1) if f"{f}{i}" not in families]
     assert missing == []

@@ -83,3 +83,19 @@ def test_exact_quantiles(spark):
 def test_keep_first(spark):
     df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (2, 5, "z"), (None, 2, "n"), (None, 1, "m")], "k int, o int, v string")
     assert {(r.k, r.v) for r in keep_first(df, ["k"], ["o"]).collect()} == {(1, "a"), (2, "z"), (None, "m")}
+
+
+def test_running_totals_keep_null_groups_and_reject_null_orders(spark):
+    rows = [("a", 1.0, 2), ("a", 3.0, 4), (None, 1.0, 5), (None, 2.0, 6)]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    got = {(r.g, r.v): r.n_upto for r in running_totals(df, ["g"], "v", ["n"]).collect()}
+    assert got == {("a", 1.0): 2, ("a", 3.0): 6, (None, 1.0): 5, (None, 2.0): 11}
+    broken = df.union(spark.createDataFrame([("a", None, 1)], df.schema))
+    with pytest.raises(Exception, match="v is NULL"):
+        running_totals(broken, ["g"], "v", ["n"]).collect()
+
+
+def test_money_keeps_small_and_large_amounts(spark):
+    small = spark.range(100_000).select(X.money_sum(F.lit(0.00001)).cast("double").alias("s"))
+    assert small.first().s == pytest.approx(1.0)
+    assert spark.range(3).select(X.money_sum(F.lit(2e14)).cast("double").alias("s")).first().s == 6e14

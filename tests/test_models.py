@@ -77,7 +77,7 @@ def test_training_beats_chance(frame):
 
 
 def test_guards(frame):
-    with pytest.raises(ValueError, match="two label classes"):
+    with pytest.raises(ValueError, match="one value of label"):
         models.train_binary_models(frame.where("label = 0"), key="id")
     with pytest.raises(KeyError):
         models.train_node_model(frame)
@@ -150,3 +150,20 @@ def test_standardise(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     got = [tuple(r) for r in scoring.standardise(df, ["a", "b"]).collect()]
     assert got == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_stratified_parts_are_exact(spark):
+    rows = [(i, int(i % 10 == 0)) for i in range(1000)] + [(5000 + i, 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, label int").repartition(5)
+    parts = models.stratified_parts(df, "id", validation_size=0.1)
+    counts = {(r.label, r.part): r["count"] for r in parts.groupBy("label", "part").count().collect()}
+    assert (counts[(1, "test")], counts[(0, "test")]) == (25, 225)
+    assert (counts[(1, "validation")], counts[(0, "validation")], counts[(1, "train")]) == (10, 90, 65)
+    assert counts[(2, "test")] == 1 and sum(counts.values()) == 1004
+
+
+def test_medians_and_modes(spark):
+    rows = [(1.0, None, "b"), (2.0, None, "a"), (4.0, None, "b"), (9.0, None, None), (None, None, "a"), (float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "x double, empty double, t string")
+    assert models.exact_medians(df, ["x", "empty"]) == {"x": 3.0, "empty": 0.0}
+    assert models.column_modes(df, ["t"]) == {"t": "a"}

@@ -34,10 +34,16 @@ def test_drift_monitor_logs_each_batch_once(spark):
     assert got["drift_analyses_total"] == 2 and got["drift_detected_total"] == 1
     assert got["drift_last_score"] == 0.0 and got["drift_last_drifted_feature_count"] == 0
     assert got["drift_duration_le_60000ms"] == 2
+    assert all(0 < r.duration_seconds for r in events.collect())
     # a replayed batch overwrites its own folder
     report = drift.distribution_drift(baseline, baseline, columns=["total_amount"])
-    jobs.append_event(jobs.drift_event(report, "2024-01-01 00:00:00", 0), log, 0)
+    query_id = jobs.query_identity(spark, offsets)
+    jobs.append_event(jobs.drift_event(report, 0.0), log, query_id, 0)
     assert jobs.read_events(spark, log).count() == 2
+    # another query, with its own checkpoint and the same log, appends
+    jobs.monitor_drift(stream, baseline, log, work_path(spark, "offsets"), columns=["total_amount"])
+    again = jobs.read_events(spark, log)
+    assert again.count() == 4 and again.select("query_id").distinct().count() == 2
 
 
 def test_no_log_yet(spark):

@@ -96,3 +96,11 @@ def test_partitioning_does_not_matter(spark):
     one = trailing.add_trailing_history(df.coalesce(1), "entity", "e")
     many = trailing.add_trailing_history(df.repartition(7, F.rand(1)), "entity", "e")
     assert one.exceptAll(many).count() == 0
+
+
+def test_ids_over_the_whole_64_bit_range(spark):
+    ids = [-9 * 10**18, -5, 3, 9 * 10**18]
+    rows = [(i, False, "a", 1 + k // 2, 2.0) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, SCHEMA.format(t="bigint"))
+    got = {r.transaction_id: r.e_count_prev_7 for r in trailing.add_trailing_history(df, "entity", "e").collect()}
+    assert got == {i: float(k) for k, i in enumerate(ids)}
