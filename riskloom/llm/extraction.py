@@ -19,8 +19,17 @@ from riskloom.llm.toxicity import Chains, forward_backward
 
 FEATURE_BITS = 16
 ROUNDS, RATE, PENALTY = 80, 0.5, 1e-3
-# the text of these elements is never content
-RAW = "script style template noscript textarea iframe svg title select object head"
+# these elements hold text, no tags, up to their end tag or the end of the page; it is never content
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title")}
+# what stands in these elements is not content either; one that is never closed hides nothing
+HIDDEN = {"template", "noscript", "iframe", "svg", "select", "object"}
+# all else ends an open head
+HEAD = {"head", "base", "basefont", "bgsound", "link", "meta", *RAW, "noscript", "template"} - {"textarea"}
+# these tags end an open svg, unless it has an element open that holds HTML
+LEAVES_SVG = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th "
@@ -30,8 +39,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 # an opening tag ends the open element of these kinds, unless one of the fences lies between
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
+ENDS = {tag: (kinds, fences | HIDDEN) for tag, (kinds, fences) in ENDS.items()}
 NO_PARAGRAPH = BLOCKS - {"button", "label", "legend", "option", "body", "html", "tbody", "td", "th", "thead", "tfoot", "tr"}
-FENCES = {"button", "table", "td", "th", "article", "section", "div", "body", "li", "blockquote"}
+FENCES = {"button", "table", "td", "th", "article", "section", "div", "body", "li", "blockquote"} | HIDDEN
 # what publishers call the parts around an article, and the article itself
 MARKS = set(
     "ad ads advert advertisement sponsored promo banner sidebar aside widget menu nav navigation navbar breadcrumb "
@@ -41,9 +51,8 @@ MARKS = set(
     "copyright legal disclaimer skip hidden article content main post entry story body text".split()
 )
 TAG = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(" ", "|").replace("|head", "")})\b(?P<ra>(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^"'>])*)(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"""
-    r"""|</(?P<end>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)"""
-    r"""|<(?P<start>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^"'>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
+    r"""|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^"'>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -81,31 +90,34 @@ class Pages:
         return found
 
     def blocks(self, html: str) -> list[Block]:
-        out: list[Block] = []
+        # texts as (text, part inside links), ends of blocks as (tag, marks)
+        parts: list[tuple] = []
         stack: list[tuple[str, frozenset]] = [("", frozenset())]
         count: Counter = Counter()
-        pieces: list[str] = []
-        linked = at = 0
+        # open hidden elements: their depth in the stack, and the parts before them
+        hidden: list[tuple[int, int]] = []
+        at, filled = 0, False
 
         def flush() -> None:
-            nonlocal linked
-            if pieces:
-                words = " ".join("".join(pieces).split())
-                if words:
-                    tag, marks = next(((t, m) for t, m in reversed(stack) if t in BLOCKS), ("", stack[-1][1]))
-                    out.append(Block(words, tag, marks, linked))
-                pieces.clear()
-                linked = 0
+            nonlocal filled
+            if filled:
+                parts.append(next(((t, m) for t, m in reversed(stack) if t in BLOCKS), ("", stack[-1][1])))
+                filled = False
+
+        def add(value: str, linked: int) -> None:
+            nonlocal filled
+            parts.append((value, linked))
+            filled = True
 
         def text(value: str) -> None:
-            nonlocal linked
             if value:
                 value = unescape(value)
-                pieces.append(value)
-                if count["a"]:
-                    linked += len(value)
+                if count["head"] and not hidden and not value.isspace():
+                    close({"head"}, set())
+                add(value, len(value) if count["a"] else 0)
 
-        def close(kinds: set, fences: set) -> None:
+        def close(kinds: set, fences: set, whole: bool = False) -> None:
+            """Ends the innermost open element of these kinds; ``whole``: by its own end tag."""
             if not any(count[k] for k in kinds):
                 return
             for depth in range(len(stack) - 1, 0, -1):
@@ -113,15 +125,29 @@ class Pages:
                     for tag, _ in stack[depth:]:
                         count[tag] -= 1
                     del stack[depth:]
+                    while hidden and hidden[-1][0] >= depth:
+                        opened, before = hidden.pop()
+                        if whole and opened == depth:
+                            del parts[before:]
+                            add(" ", 0)
                     return
                 if stack[depth][0] in fences:
                     return
 
-        for found in TAG.finditer(html):
+        while found := TAG.search(html, at):
             text(html[at : found.start()])
             at = found.end()
             if start := found["start"]:
-                tag = start.lower()
+                tag, alone = start.lower(), found["attrs"].endswith("/")
+                if count["svg"] and tag in LEAVES_SVG and not (count["foreignobject"] or count["desc"]):
+                    close({"svg"}, set())
+                if count["head"] and not hidden and tag not in HEAD:
+                    close({"head"}, set())
+                if tag in RAW and not (alone and count["svg"]):
+                    last = RAW[tag].search(html, at)
+                    at = last.end() if last else len(html)
+                    add(" ", 0)
+                    continue
                 if tag in BLOCKS:
                     flush()
                     if tag in NO_PARAGRAPH:
@@ -129,20 +155,33 @@ class Pages:
                     if tag in ENDS:
                         close(*ENDS[tag])
                 elif tag == "br":
-                    pieces.append(" ")
-                if tag not in VOID and not found["attrs"].endswith("/"):
+                    add(" ", 0)
+                if tag not in VOID and not alone:
+                    if tag in HIDDEN:
+                        hidden.append((len(stack), len(parts)))
+                        add(" ", 0)
                     stack.append((tag, self.marks(stack[-1][1], tag, found["attrs"])))
                     count[tag] += 1
             elif end := found["end"]:
                 tag = end.lower()
                 if tag in BLOCKS:
                     flush()
-                close({tag}, set())
-            elif found["raw"]:
-                pieces.append(" ")
+                close({tag}, set(), whole=True)
         text(html[at:])
         flush()
-        return [b for b in out if "<head>" not in b.marks or "<body>" in b.marks]
+        out: list[Block] = []
+        pieces: list[str] = []
+        linked = 0
+        for first, second in parts:
+            if isinstance(second, int):
+                pieces.append(first)
+                linked += second
+            else:
+                if words := " ".join("".join(pieces).split()):
+                    out.append(Block(words, first, second, linked))
+                pieces.clear()
+                linked = 0
+        return out
 
 
 def number(name: str) -> int:
@@ -323,8 +362,9 @@ def extract_main_text(pages: DataFrame, model: bytes, *, html: str = "html") ->
 
     The project has no web pages: this works on any table with a column of HTML. References are decoded, white
     space inside a block becomes one blank; nothing else is dropped or cut. NULL and empty pages, and pages
-    without content, give an empty text; broken markup is read as far as it goes; repeated rows are repeated;
-    input columns named text or n_chars are replaced.
+    without content, give an empty text; broken markup is read as far as it goes: an open head ends at the first
+    text or tag that belongs to the body, a template, noscript, iframe, svg, select or object without its end tag
+    hides nothing. Repeated rows are repeated; input columns named text or n_chars are replaced.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kept = pages.select(*[c for c in pages.columns if c not in ("text", "n_chars")])

@@ -58,6 +58,34 @@ def test_blocks():
     assert marked_labels(Pages().blocks("<main><p>a</p><aside>b</aside></main>c")) == [1, 0, 0]
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ('<article><svg class="i"/><p>one</p><p>two</p></article>', ["one", "two"]),
+        ("<article><svg-icon></svg-icon><p>story</p></article>", ["story"]),
+        ("<article><script_x></script_x><title-bar>a</title-bar><p>story</p></article>", ["a", "story"]),
+        ('<p>a</p><object data="x"><p>rest</p>', ["a", "rest"]),
+        ('<p>a</p><object data="x"><p>other</p></object><p>rest</p>', ["a", "rest"]),
+        ("<p>a <select><option>x<option>y</select> b</p><select><option>z</option></select>", ["a b"]),
+        ("<div><select><option>x</div><p>story</p>", ["x", "story"]),
+        ("<p>a</p><noscript><p>b</p></noscript><template><div>c</div></template><iframe>d</iframe><p>e</p>", ["a", "e"]),
+        ("<p>a</p><noscript><p>b</p>", ["a", "b"]),
+        ("<p>a</p><iframe src=x /><p>b</p><template><p>c", ["a", "b", "c"]),
+        ("<p>a<svg><title/><style/><text>x</text></svg>b</p>", ["a b"]),
+        ("<p>a <svg><foreignObject><div>x</div></foreignObject></svg> b</p>", ["a b"]),
+        ("<div><svg><path></div><p>one</p><svg></svg><p>two</p>", ["one", "two"]),
+        ("<svg><path><p>one</p></svg><p>two</p>", ["one", "two"]),
+        ("<html><head><title>t</title><meta name=x><p>one</p><p>two</p>", ["one", "two"]),
+        ("<head><title>t</title><noscript><img></noscript>one<b>two</b><p>three</p>", ["onetwo", "three"]),
+        ("<head><title>t</title><style>s</style><script>p</script></head><body><p>one</p></body>", ["one"]),
+        ("<head><title>t</title><body><p>one</p></body>", ["one"]),
+        ("<p>a</p><SCRIPT>x</p></SCRIPT ><p>b</p><textarea>c", ["a", "b"]),
+    ],
+)
+def test_hidden_and_open_elements(html, texts):
+    assert [b.text for b in Pages().blocks(html)] == texts
+
+
 def test_empty(spark, model):
     assert extract_main_text(made(spark, []), model).count() == 0
     alone = train_extractor(made(spark, [(1, "u", None)]))
