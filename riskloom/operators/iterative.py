@@ -16,7 +16,7 @@ from riskloom.session import cut_lineage, discard, materialise
 
 # edges of one vertex that may share a partition key
 EDGES_PER_SPLIT = 200_000
-# finest division of the nodes into classes that move in turn
+# finest division of the nodes into classes that move in turn; below it, moves that share no community are chosen
 MAX_CLASSES = 8
 
 
@@ -198,17 +198,18 @@ def modularity(arcs: DataFrame, assignment: DataFrame, total: float) -> float:
 
 
 def communities(
-    graph: Graph, *, seed: int = 42, max_levels: int = 10, max_rounds: int = 12, minimum_gain: float = 1e-3
+    graph: Graph, *, seed: int = 42, max_levels: int = 100, max_rounds: int = 2000, minimum_gain: float = 1e-7
 ) -> DataFrame:
     """(node_id, community_id, community_size): multi-level modularity optimisation.
 
     Nodes move in synchronous rounds to the neighbouring community with the best gain. The nodes are
-    hashed into two classes that take turns, so neighbours rarely swap; a round that lowers modularity
-    is dropped and the classes are made smaller. When a whole cycle of classes gains next to nothing,
-    communities become nodes and the next level starts. Ids are the smallest member.
+    hashed into two classes that take turns, so neighbours rarely swap. A round whose moves together gain
+    less than ``minimum_gain`` is replaced by those of its moves that share no community, which gain what
+    they gain alone, and the classes are made smaller. When every class in turn has gained less than
+    ``minimum_gain`` that way, communities become nodes and the next level starts; a level that gains less
+    ends the search. Ids are the smallest member.
 
-    The effort is bounded: a level takes at most ``max_rounds`` rounds, the search at most ``max_levels``
-    levels, and a gain below ``minimum_gain`` of modularity ends either. Raise the three for a longer search.
+    ``max_rounds`` a level and ``max_levels`` are safety limits: they raise.
     """
     pairs = undirected_edges(graph.edges)
     weight = F.col("weight").cast("double")
@@ -235,6 +236,8 @@ def communities(
             arcs = save(
                 ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
             )
+        else:
+            raise RuntimeError(f"the community search has not settled in {max_levels} levels")
     sizes = membership.groupBy("node").agg(
         F.count("*").alias("community_size"), F.min("node_id").alias("community_id")
     )
@@ -248,7 +251,7 @@ def _local_moves(
     state = save(nodes.withColumn("community", F.col("node")))
     score = modularity(arcs, state, total)
     links = arcs.where("u <> v")
-    classes, gains = 2, []
+    classes, idle = 2, 0
     for round_number in range(max_rounds):
         sums = state.groupBy("community").agg(F.sum("k").alias("volume"))
         target = state.select(F.col("node").alias("v"), F.col("community").alias("to"))
@@ -274,20 +277,40 @@ def _local_moves(
                 "node",
                 "k",
                 F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"),
+                F.col("community").alias("previous"),
+                (F.col("best_gain") - F.col("stay_gain")).alias("better"),
                 F.coalesce(moves, F.lit(False)).alias("moved"),
             )
         )
-        gain = 0.0
+        gain, finer = 0.0, classes
         if not proposal.where("moved").isEmpty():
-            gain = max(modularity(arcs, proposal, total) - score, 0.0)
-            if gain:
-                state, score = proposal.drop("moved"), score + gain
-            else:
-                classes = min(2 * classes, MAX_CLASSES)
-        gains.append(gain)
-        if len(gains) >= classes and sum(gains[-classes:]) < minimum_gain:
-            break
-    return state.select("node", "community"), score
+            gain = modularity(arcs, proposal, total) - score
+            if gain < minimum_gain:
+                apart = save(_moves_apart(proposal))
+                discard(proposal)
+                proposal, finer = apart, min(2 * classes, MAX_CLASSES)
+                gain = modularity(arcs, proposal, total) - score
+        if gain > 0.0:
+            discard(state)
+            state, score = proposal.select("node", "k", "community"), score + gain
+        else:
+            discard(proposal)
+        idle = 0 if gain >= minimum_gain or finer > classes else idle + 1
+        classes = finer
+        if idle >= classes:
+            return state.select("node", "community"), score
+    raise RuntimeError(f"the community search has not settled in {max_rounds} rounds of a level (last gain {gain})")
+
+
+def _moves_apart(proposal: DataFrame) -> DataFrame:
+    """Keeps the moves that are the best of both communities they touch. No two of them share a community, so
+    their gains add up exactly, and the best move of all is among them."""
+    moved = proposal.where("moved")
+    ends = moved.select("node", "better", F.explode(F.array("previous", "community")).alias("end"))
+    best = ends.groupBy("end").agg(F.min_by("node", F.struct(-F.col("better"), F.col("node"))).alias("node"))
+    kept = best.groupBy("node").agg(F.count("*").alias("_ends")).where("_ends = 2")
+    community = F.when(F.col("_ends").isNotNull(), F.col("community")).otherwise(F.col("previous"))
+    return proposal.join(kept, "node", "left").select("node", "k", community.alias("community"))
 
 
 def spectral_embedding(

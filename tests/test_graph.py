@@ -146,6 +146,15 @@ def test_communities_find_planted_groups(spark):
     assert all(r.community_size == len(groups[r.community_id]) for r in rows)
 
 
+def test_communities_run_until_nothing_gains(spark):
+    # merging parts of the light path gains less than 1e-3 of modularity, but more than 1e-7
+    g = edge_graph(spark, [(0, 1, 1)] * 20_000 + [(10 + i, 11 + i, 1) for i in range(12)])
+    rows = {r.node_id: (r.community_id, r.community_size) for r in iterative.communities(g).collect()}
+    assert rows == {0: (0, 2), 1: (0, 2)} | {10 + i: (10, 13) for i in range(13)}
+    with pytest.raises(RuntimeError, match="not settled"):
+        iterative.communities(g, max_rounds=1)
+
+
 def test_modularity(spark):
     arcs = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "u long, v long, w double")
     split = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2)], "node long, community long")
