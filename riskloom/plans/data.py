@@ -119,9 +119,8 @@ class RiskData:
 
     @cached_property
     def tracks(self) -> dict[str, DataFrame]:
-        """Test metrics of all six model tracks. Small forests: twelve models of the default size take too long
-        for a registered query on one machine."""
-        job = ModelJob(num_trees=20, max_depth=8)
+        """Test metrics of all six model tracks, by the models of the settings: trained once, shared by the queries."""
+        job = self.settings.model
         # the balance defines the label of the derived domain tables
         bundle = {n: df.drop("initial_balance") for n, df in self.bundle.items() if isinstance(df, DataFrame)}
         rows = {

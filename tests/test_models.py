@@ -167,3 +167,16 @@ def test_medians_and_modes(spark):
     df = spark.createDataFrame(rows, "x double, empty double, t string")
     assert models.exact_medians(df, ["x", "empty"]) == {"x": 3.0, "empty": 0.0}
     assert models.column_modes(df, ["t"]) == {"t": "a"}
+
+
+def test_tracks_use_the_models_of_the_settings(spark, monkeypatch):
+    from riskloom.plans import data as plans
+
+    used = []
+    monkeypatch.setattr(models, "train_binary_models", lambda frame, **o: used.append(o["settings"]) or frame)
+    monkeypatch.setattr(plans, "materialise", lambda df, name: df)
+    df = spark.range(1).selectExpr("id AS node_id", "0 AS is_fraud", "1.0 AS initial_balance", "0 AS alert_count")
+    data = plans.RiskData(spark, "none")
+    bundle = dict.fromkeys(("tabular_account_features", "node_features", "embeddings", "combined"), df)
+    data.__dict__.update(bundle=bundle, transaction_features=df, party_features=df, nodes=df)
+    assert len(data.tracks) == 6 and used == [ModelJob()] * 6
