@@ -121,18 +121,20 @@ def stratified_parts(
 
     Rows of a class are ranked by the seeded hash of their key; the first ``test_size`` of them, rounded, are the
     test part, the next ``validation_size`` the validation part. The ranks are prefix sums over sliced hash values,
-    so no task orders a whole class. Rows with equal keys stay together, at most that many rows off the share.
+    so no task orders a whole class. Rows with equal keys stay together, at most that many rows off the share. Rows
+    without a label are a class of their own.
     """
     rows = df.withColumn("_fraction", hash_fraction(F.col(key), settings.seed, "split"))
     counts = materialise(rows.groupBy(label, "_fraction").agg(F.count("*").alias("_n")), "fractions")
-    totals = counts.groupBy(F.col(label).alias("_class")).agg(F.sum("_n").alias("_total"))
+    totals = counts.groupBy(F.col(label).alias("_of")).agg(F.sum("_n").alias("_total"))
     upto = running_totals(counts, [label], "_fraction", ["_n"], stored=True).withColumnRenamed(label, "_class")
-    placed = upto.join(totals, "_class")
+    placed = upto.join(totals, F.col("_class").eqNullSafe(F.col("_of")))
     test, later = settings.test_size, settings.test_size + validation_size
     part = F.when(F.col("_n_upto") <= F.round(F.col("_total") * test), "test")
     part = part.when(F.col("_n_upto") <= F.round(F.col("_total") * later), "validation").otherwise("train")
-    parts = materialise(placed.select("_class", "_fraction", part.alias("part")), "parts")
-    return rows.join(parts.withColumnRenamed("_class", label), [label, "_fraction"]).drop("_fraction")
+    parts = materialise(placed.select("_class", F.col("_fraction").alias("_place"), part.alias("part")), "parts")
+    same = F.col(label).eqNullSafe(F.col("_class")) & (F.col("_fraction") == F.col("_place"))
+    return rows.join(parts, same).drop("_fraction", "_class", "_place")
 
 
 def with_class_weight(df: DataFrame, multiplier: float = 1.0, *, label: str = LABEL) -> DataFrame:
@@ -216,10 +218,11 @@ def train_binary_models(
     settings: ModelJob = ModelJob(),
     kinds: Sequence[str] = ("logistic_regression", "random_forest"),
 ) -> DataFrame:
-    """One row of test metrics per model. ``key`` identifies rows for the split."""
+    """One row of test metrics per model. ``key`` identifies rows for the split. Rows without a label are left out."""
     require_two_classes(frame, target)
     columns = [c for c in frame.columns if c not in {key, target, LABEL, *drop_columns}]
     labelled = frame.withColumn(LABEL, F.col(target).cast("double")).select(key, LABEL, *columns)
+    labelled = labelled.where(F.col(LABEL).isNotNull())
     parts = materialise(stratified_parts(labelled, key, settings=settings), "labelled")
     train, test = (parts.where(F.col("part") == name).drop("part") for name in ("train", "test"))
     preprocessor = fit_preprocessor(train, columns)

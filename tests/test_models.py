@@ -180,3 +180,12 @@ def test_tracks_use_the_models_of_the_settings(spark, monkeypatch):
     bundle = dict.fromkeys(("tabular_account_features", "node_features", "embeddings", "combined"), df)
     data.__dict__.update(bundle=bundle, transaction_features=df, party_features=df, nodes=df)
     assert len(data.tracks) == 6 and used == [ModelJob()] * 6
+
+
+def test_stratified_parts_keep_rows_without_a_label(spark):
+    df = spark.createDataFrame([(i, i % 2 if i < 60 else None) for i in range(100)], "id long, label int").repartition(3)
+    parts = models.stratified_parts(df, "id", validation_size=0.1)
+    assert parts.columns == ["id", "label", "part"]
+    counts = {(r.label, r.part): r["count"] for r in parts.groupBy("label", "part").count().collect()}
+    assert sum(counts.values()) == 100
+    assert (counts[(None, "test")], counts[(None, "validation")], counts[(None, "train")]) == (10, 4, 26)
