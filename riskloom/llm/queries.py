@@ -16,6 +16,7 @@ from riskloom.llm.shards import write_training_order
 from riskloom.llm.simhash import near_duplicates
 from riskloom.llm.toxicity import score_toxicity, train_toxicity
 from riskloom.llm.warc import read_warc, write_warc
+from riskloom.llm.whitening import whitened_embeddings
 from riskloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +220,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
 """
+
+
+@register
+def op13_embedding_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    embeddings = table(spark, directory, "embeddings")
+    rows = whitened_embeddings(embeddings, key="vec_id", vector="embedding", components=32, scale=64, offset=1_000_000)
+    listed = rows.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("_at", "whitened"))
+    return listed.select(
+        "vec_id",
+        (F.col("_at") + 1).cast("int").alias("component"),
+        "n",
+        F.col("deviation").cast("bigint").alias("deviation"),
+        "whitened",
+        F.get("explained", F.col("_at")).alias("explained"),
+        "identity_error",
+    )
