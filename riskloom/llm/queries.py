@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom.llm.alignment import align_tokenizers
 from riskloom.llm.decontamination import contaminated
 from riskloom.llm.extraction import extract_main_text, train_extractor
 from riskloom.llm.language import predict_language, train_language
@@ -222,6 +223,24 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
 """
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+@register
+def op11_cross_tokenizer_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    found = align_tokenizers(
+        table(spark, directory, "documents"),
+        tokenizer_a=f"{TOKENIZERS}/byte_bpe_50k.json",
+        tokenizer_b=f"{TOKENIZERS}/piece_bpe_32k.model",
+        key="doc_id",
+        text="text",
+    )
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    texts = found.texts.select("_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest)
+    sums = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_best", "count_sum")]
+    return texts.join(found.links, "_row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
+
+
 @register
 def op13_embedding_whitening(spark: SparkSession, directory: str) -> DataFrame:
     embeddings = table(spark, directory, "embeddings")
