@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -14,12 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.session import work_path
+from riskloom.session import materialise, work_path
 
-# bytes of text that are aligned at once
-SLICE = 6 << 20
-# texts are cut before single blanks into parts; so many distinct parts are remembered by a task
-REMEMBERED = 1 << 17
+# bytes of text that are worked on, and of new parts that are given to the tokenizers, at once
+SLICE, ENCODED = 2 << 20, 1 << 16
+# texts are cut before single blanks into parts; so many distinct parts, and groups, are remembered by a task
+REMEMBERED = 1 << 18
 # links that are expanded, and pair counts that are held by a task, at once
 LINKS, HELD = 1 << 21, 1 << 20
 # groups with more links than this are expanded from distinct ids with multiplicities
@@ -255,53 +256,121 @@ def aligned(parts: list[str], tokenizers: Tokenizers) -> Aligned:
     return out
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "") + 32
-        if held >= SLICE:
-            yield begin, i + 1
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(texts: pa.Array, held: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes together."""
+    filled = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(texts) + 1]
+    sizes = offsets + 32 * np.arange(len(texts) + 1)
+    begin = 0
+    while begin < len(texts):
+        stop = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + held, side="right")) - 1)
+        yield begin, stop
+        begin = stop
 
 
-class Memory:
-    """Alignments of the parts met so far by a task: every distinct part is aligned once, or again after the memory
-    was full and emptied."""
+class Places(dict):
+    """Numbers strings in the order in which they are met; ``new`` collects those not met before."""
 
-    def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers = tokenizers
-        self.clear()
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.new: list[str] = []
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
+    def __missing__(self, name: str) -> int:
+        self.new.append(name)
+        self[name] = number = len(self)
+        return number
+
+    def numbers(self, names: list[str]) -> tuple[np.ndarray, list[str]]:
+        """(number of each name, names not met before)."""
+        self.new = []
+        return np.fromiter(map(self.__getitem__, names), np.int64, len(names)), self.new
+
+
+class Memory:
+    """Alignments of the parts met so far by a task: every part is aligned when it is met first. When there are over
+    REMEMBERED, those in use least are forgotten; met again, they are aligned again."""
+
+    def __init__(self, tokenizers: Tokenizers, remembered: int):
+        self.tokenizers, self.remembered = tokenizers, remembered
         zero = np.zeros(0, np.int64)
-        self.all = Aligned(np.zeros(0, bool), zero, zero, zero, zero)
+        self.place = Places()
+        self.all, self.uses = Aligned(np.zeros(0, bool), zero, zero, zero, zero), zero
+
+    def forget(self) -> None:
+        least = 1
+        while (kept := np.flatnonzero(self.uses > least)).size > self.remembered // 2:
+            least *= 2
+        old, names = self.all, list(self.place)
+        _, entry = expanded(old.at, kept)
+        sizes = (old.at[1:] - old.at[:-1])[kept]
+        columns = {n: getattr(old, n)[kept] for n in ("good", "n_a", "n_b", "n_groups", "n_links")}
+        self.all = Aligned(**columns, text=[old.text[i] for i in kept], at=np.r_[0, np.cumsum(sizes)], pair=old.pair[entry], times=old.times[entry])
+        self.place, self.uses = Places({names[i]: k for k, i in enumerate(kept.tolist())}), self.uses[kept] // 2
 
     def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(place of each part, parts per text)."""
-        if len(self.place) > REMEMBERED:
-            self.clear()
+        if len(self.place) > self.remembered:
+            self.forget()
         split = [self.tokenizers.parts(t) for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         parts = list(chain.from_iterable(split))
-        new = list(dict.fromkeys(p for p in parts if p not in self.place))
+        places, new = self.place.numbers(parts)
         at = 0
         while at < len(new):  # a bounded number of bytes at once
             held, stop = 0, at
-            while stop < len(new) and (held < SLICE // 4 or stop == at):
+            while stop < len(new) and (held < ENCODED or stop == at):
                 held += len(new[stop]) + 8
                 stop += 1
             self.add(new[at:stop])
             at = stop
-        return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts)), counts
+        self.uses += np.bincount(places, minlength=len(self.uses))
+        return places, counts
 
     def add(self, parts: list[str]) -> None:
         more, old = aligned(parts, self.tokenizers), self.all
-        self.place.update(zip(parts, range(len(old.good), len(old.good) + len(parts))))
         joined = {n: np.concatenate([getattr(old, n), getattr(more, n)]) for n in ("good", "n_a", "n_b", "n_groups", "n_links", "pair", "times")}
-        self.all = Aligned(**joined, text=old.text + more.text, at=np.r_[old.at, more.at[1:] + old.at[-1]])
+        old.text.extend(more.text)
+        self.all = Aligned(**joined, text=old.text, at=np.r_[old.at, more.at[1:] + old.at[-1]])
+        self.uses = np.r_[self.uses, np.zeros(len(parts), np.int64)]
+
+
+class Links:
+    """The linked pairs of the groups met so far by a task, with their counts if they are known (else 0)."""
+
+    def __init__(self, lookup: "PairTable", highest: np.ndarray, size_b: int):
+        self.lookup, self.highest, self.size_b = lookup, highest, size_b
+        self.clear()
+
+    def clear(self) -> None:
+        zero = np.zeros(0, np.int64)
+        self.place = Places()
+        self.sums, self.bests, self.pair, self.times, self.at = zero, zero, zero, zero, np.zeros(1, np.int64)
+
+    def find(self, groups: list[str], remembered: int) -> np.ndarray:
+        """Place of each group, given as a1,a2|b1. ``sums`` and ``bests`` hold what its pairs of known count add up to,
+        ``pair`` and ``times`` the others, from at[place] on."""
+        if len(self.place) > remembered:
+            self.clear()
+        places, new = self.place.numbers(groups)
+        pairs, times, sizes = [], [], []
+        for group in new:
+            a, b = (Counter(map(int, ids.split(","))) for ids in group.split("|"))
+            sizes.append(len(a) * len(b))
+            pairs.append((np.fromiter(a, np.int64, len(a))[:, None] * self.size_b + np.fromiter(b, np.int64, len(b))).ravel())
+            times.append((np.fromiter(a.values(), np.int64, len(a))[:, None] * np.fromiter(b.values(), np.int64, len(b))).ravel())
+        if new:
+            pair, times = np.concatenate(pairs), np.concatenate(times)
+            owner = np.repeat(np.arange(len(new)), sizes)
+            counts = self.lookup.find(pair)
+            best = (counts > 0) & (counts == self.highest[pair // self.size_b])
+            for name, values in (("sums", counts * times), ("bests", np.where(best, times, 0))):
+                total = np.zeros(len(new), np.int64)
+                np.add.at(total, owner, values)
+                setattr(self, name, np.r_[getattr(self, name), total])
+            rest = counts == 0
+            self.pair, self.times = np.r_[self.pair, pair[rest]], np.r_[self.times, times[rest]]
+            self.at = np.r_[self.at, self.at[-1] + np.cumsum(np.bincount(owner[rest], minlength=len(new)))]
+        return places
 
 
 def expanded(at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,7 +462,7 @@ def align_tokenizers(
     like others, very long texts are aligned whole, other columns are ignored, an empty table gives empty results.
 
     Texts are cut into parts where no token of either side can reach across (if both vocabularies allow it), and a
-    task aligns a part that it remembers only once. Pair counts are added up per task before they are shuffled. The
+    task aligns a part that it remembers only once. Texts are tokenized once; the second pass reads the stored groups. Pair counts are added up per task before they are shuffled. The
     most frequent pairs, at most 2**19, are looked up while scanning; links of all others are joined with their counts,
     none of which is frequent enough to be a hot key. Best counts are broadcast: one number per id of A.
     """
@@ -405,31 +474,48 @@ def align_tokenizers(
     del whole
     rows = alerts.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     kind = alerts.schema[key].dataType.simpleString()
+    numbers = ("n_a", "n_b", "n_groups", "n_links")
+    names = ["_key", *numbers, "groups", "pair", "count"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(Tokenizers(*files.value))
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory(Tokenizers(*files.value), REMEMBERED)
+        pairs, counts, key_type = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "count"])
+        def added_up() -> pa.RecordBatch:
+            none = [pa.nulls(len(pairs), t) for t in (key_type, *[pa.int64()] * len(numbers), pa.string())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(pairs), pa.array(counts)], names)
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for begin, stop in slices(texts):
-                given = [t or "" for t in texts[begin:stop]]
+            key_type = batch.schema.field(0).type
+            for begin, stop in slices(batch.column(1), SLICE):
+                given = [t or "" for t in batch.column(1).slice(begin, stop - begin).to_pylist()]
                 places, parts = memory.find(given)
                 text_of, good = good_texts(memory, places, parts, np.array([bool(t) for t in given]))
+                shown, stops, every = places.tolist(), np.cumsum(parts).tolist(), memory.all
+                groups = [";".join([every.text[p] for p in shown[x:y]]) if ok else "" for x, y, ok in zip([0, *stops], stops, good)]
+                columns = [batch.column(0).slice(begin, stop - begin)]
+                for name in numbers:
+                    total = np.zeros(len(given), np.int64)
+                    np.add.at(total, text_of, getattr(every, name)[places])
+                    columns.append(pa.array(np.where(good, total, 0)))
+                none = [pa.nulls(len(given), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(groups, pa.string()), *none], names)
                 found, times = np.unique(slice_pairs(memory, places, text_of, good), return_counts=True)
                 pairs, counts = summed(np.concatenate([pairs, found]), np.concatenate([counts, times]))
                 if len(pairs) > HELD:
-                    yield out()
+                    yield added_up()
                     pairs, counts = pairs[:0], counts[:0]
-        yield out()
+        if len(pairs):
+            yield added_up()
 
-    pairs_at = work_path(spark, "pairs")
-    added = rows.select("_text").mapInArrow(count, "pair bigint, count bigint").groupBy("pair").agg(F.sum("count").alias("count"))
-    added.write.parquet(pairs_at)
-    counted = spark.read.schema("pair bigint, count bigint").parquet(pairs_at)
+    schema = f"_key {kind}, {', '.join(f'{n} bigint' for n in numbers)}, groups string, pair bigint, count bigint"
+    texts_at = work_path(spark, "alignments")
+    # row numbers are stored with the rows, so that they are drawn once
+    numbered = rows.mapInArrow(align, schema).withColumn("_row", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(texts_at)
+    stored = spark.read.schema(f"{schema}, _row bigint").parquet(texts_at)
+    texts = stored.where("pair IS NULL")
+    counted = materialise(stored.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("count").alias("count")), "pairs")
     size = F.floor(F.log2("count") * 8)
     best = np.zeros(size_a, np.int64)
     for a, most in counted.groupBy(F.expr(f"pair div {size_b}").alias("a")).agg(F.max("count")).collect():
@@ -446,51 +532,31 @@ def align_tokenizers(
     head = spark.sparkContext.broadcast((frequent["pair"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64), best))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(Tokenizers(*files.value))
         *known, highest = head.value
-        lookup, seen = PairTable(*known), None
+        links = Links(PairTable(*known), highest, size_b)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for begin, stop in slices(texts):
-                given = [t or "" for t in texts[begin:stop]]
-                places, parts = memory.find(given)
-                text_of, good = good_texts(memory, places, parts, np.array([bool(t) for t in given]))
-                every = memory.all
-                if seen is not every:  # the sums of each remembered part
-                    seen = every
-                    counts = lookup.find(every.pair)
-                    part = np.repeat(np.arange(len(every.good)), np.diff(every.at))
-                    sums, bests = np.zeros(len(every.good), np.int64), np.zeros(len(every.good), np.int64)
-                    np.add.at(sums, part, counts * every.times)
-                    np.add.at(bests, part, np.where((counts > 0) & (counts == highest[every.pair // size_b]), every.times, 0))
-                    rest = np.flatnonzero(counts == 0)
-                    rest_at = np.searchsorted(part[rest], np.arange(len(every.good) + 1))
-                numbers = []
-                for values in (every.n_a, every.n_b, every.n_groups, every.n_links, bests, sums):
-                    total = np.zeros(len(given), np.int64)
+            for begin, stop in slices(batch.column(1), SLICE):
+                split = [g.split(";") for g in batch.column(1).slice(begin, stop - begin).to_pylist()]
+                text_of = np.repeat(np.arange(len(split)), [len(s) for s in split])
+                places = links.find(list(chain.from_iterable(split)), REMEMBERED)
+                sums = []
+                for values in (links.bests, links.sums):
+                    total = np.zeros(len(split), np.int64)
                     np.add.at(total, text_of, values[places])
-                    numbers.append(pa.array(np.where(good, total, 0)))
-                used = good[text_of] & (rest_at[places + 1] > rest_at[places])
-                owner, entry = expanded(rest_at, places[used])
+                    sums.append(pa.array(total))
+                open_ = links.at[places + 1] > links.at[places]
+                owner, entry = expanded(links.at, places[open_])
                 total = size_a * size_b
-                keys, times = summed(text_of[used][owner] * total + every.pair[rest[entry]], every.times[rest[entry]])
-                ends = np.searchsorted(keys, np.arange(len(given) + 1) * total).astype(np.int32)
+                keys, times = summed(text_of[open_][owner] * total + links.pair[entry], links.times[entry])
+                ends = np.searchsorted(keys, np.arange(len(split) + 1) * total).astype(np.int32)
                 tail = pa.StructArray.from_arrays([pa.array(keys % total), pa.array(times)], ["pair", "times"])
-                shown = places.tolist()
-                stops = np.cumsum(parts).tolist()
-                groups = [";".join([every.text[p] for p in shown[x:y]]) if ok else "" for x, y, ok in zip([0, *stops], stops, good)]
-                columns = [batch.column(0).slice(begin, stop - begin), *numbers, pa.array(groups, pa.large_string()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), tail)]
-                yield pa.RecordBatch.from_arrays(columns, ["_key", "n_a", "n_b", "n_groups", "n_links", "best", "sums", "groups", "tail"])
+                columns = [batch.column(0).slice(begin, stop - begin), *sums, pa.ListArray.from_arrays(pa.array(ends), tail)]
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "n_best", "count_sum", "tail"])
 
-    numbers = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, best bigint, sums bigint"
-    schema = f"_key {kind}, {numbers}, groups string, tail array<struct<pair: bigint, times: bigint>>"
-    texts_at = work_path(spark, "alignments")
-    # row numbers are stored with the rows, so that they are drawn once
-    numbered = rows.mapInArrow(score, schema).withColumn("_row", F.monotonically_increasing_id())
-    numbered.write.option("compression", "zstd").parquet(texts_at)
-    stored = spark.read.schema(f"{schema}, _row bigint").parquet(texts_at)
-    direct = stored.where("n_links > 0").select("_row", F.col("best").alias("n_best"), F.col("sums").alias("count_sum"))
-    tails = stored.select("_row", F.explode("tail").alias("_t")).select("_row", "_t.pair", "_t.times")
+    aligned_texts = texts.where("n_links > 0").select("_row", "groups")
+    scored = "_row bigint, n_best bigint, count_sum bigint, tail array<struct<pair: bigint, times: bigint>>"
+    scores = materialise(aligned_texts.mapInArrow(score, scored), "scores")
+    tails = scores.select("_row", F.explode("tail").alias("_t")).select("_row", "_t.pair", "_t.times")
     marks = counted.where(size < least) if least is not None else counted
     marks = marks.join(F.broadcast(best_table(spark, best)), F.expr(f"pair div {size_b}") == F.col("_a"), "left")
     joined = tails.join(marks, "pair").select(
@@ -498,9 +564,10 @@ def align_tokenizers(
         F.when(F.col("count") == F.col("_most"), F.col("times")).otherwise(F.lit(0)).alias("n_best"),
         (F.col("count") * F.col("times")).alias("count_sum"),
     )
-    links = direct.union(joined).groupBy("_row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    every = scores.select("_row", "n_best", "count_sum").union(joined)
+    links = every.groupBy("_row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     shown = counted.select(F.expr(f"pair div {size_b}").alias("pair_a"), F.expr(f"pair % {size_b}").alias("pair_b"), "count")
-    return Alignment(stored.select("_row", F.col("_key").alias(key), "n_a", "n_b", "n_groups", "n_links", "groups"), links, shown)
+    return Alignment(texts.select("_row", F.col("_key").alias(key), *numbers, "groups"), links, shown)
 
 
 def best_table(spark, best: np.ndarray) -> DataFrame:

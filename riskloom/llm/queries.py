@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskloom.llm.alignment import align_tokenizers
 from riskloom.llm.decontamination import contaminated
 from riskloom.llm.extraction import extract_main_text, train_extractor
+from riskloom.llm.jaccard import jaccard_components
 from riskloom.llm.language import predict_language, train_language
 from riskloom.llm.metric_tree import top_k
 from riskloom.llm.mixing import mixing_plan
@@ -241,6 +242,12 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, directory: str) -> DataF
     return texts.join(found.links, "_row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
 
 
+@register
+def op12_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    rows = jaccard_components(table(spark, directory, "documents"), key="doc_id", text="text")
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 @register
 def op13_embedding_whitening(spark: SparkSession, directory: str) -> DataFrame:
     embeddings = table(spark, directory, "embeddings")

@@ -93,7 +93,7 @@ def test_random_texts(tokenizers):
         assert groups is None or ";".join(found.text) == shown(groups), text
 
 
-@pytest.mark.parametrize("head, slice_bytes, remembered", [(1 << 19, 6 << 20, 1 << 17), (40, 3000, 50), (0, 200, 0)])
+@pytest.mark.parametrize("head, slice_bytes, remembered", [(1 << 19, 2 << 20, 1 << 18), (40, 3000, 50), (0, 200, 1)])
 def test_against_plain_version(spark, alerts_of, tokenizers, monkeypatch, head, slice_bytes, remembered):
     monkeypatch.setattr(alignment, "HEAD", head)
     for name, value in (("SLICE", slice_bytes), ("REMEMBERED", remembered), ("LINKS", 64 if head == 0 else 1 << 21), ("HELD", 30 if head == 0 else 1 << 20)):
