@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.llm.words import slices
 from riskloom.session import materialise, work_path
 
 # bytes of text that are worked on, and of new parts that are given to the tokenizers, at once
@@ -114,10 +115,11 @@ class Tokenizers:
         """The same by the byte spans of B's protocol messages; they do not count the blank that B puts in front."""
         found = [m.pieces for m in self.b.encode(parts, num_threads=1, return_type="proto")]
         counts = np.array([len(p) for p in found], np.int64)
-        flat = np.fromiter((x for p in found for q in p for x in (q.id, q.begin, q.end)), np.int64, 3 * counts.sum()).reshape(-1, 3)
+        ids = np.array([q.id for p in found for q in p], np.int64)
+        low, high = np.array([q.begin for p in found for q in p], np.int64), np.array([q.end for p in found for q in p], np.int64)
         first, base = firsts(counts), np.repeat(starts[:-1], counts)
-        begin = base + np.where(first, 0, flat[:, 1] + 1)
-        return flat[:, 0], spans(self.b_bytes.width[flat[:, 0]], begin, base + flat[:, 2] + 1, first), counts
+        begin = base + np.where(first, 0, low + 1)
+        return ids, spans(self.b_bytes.width[ids], begin, base + high + 1, first), counts
 
 
 def firsts(counts: np.ndarray) -> np.ndarray:
@@ -256,18 +258,6 @@ def aligned(parts: list[str], tokenizers: Tokenizers) -> Aligned:
     return out
 
 
-def slices(texts: pa.Array, held: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about so many bytes together."""
-    filled = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(texts) + 1]
-    sizes = offsets + 32 * np.arange(len(texts) + 1)
-    begin = 0
-    while begin < len(texts):
-        stop = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + held, side="right")) - 1)
-        yield begin, stop
-        begin = stop
-
-
 class Places(dict):
     """Numbers strings in the order in which they are met; ``new`` collects those not met before."""
 

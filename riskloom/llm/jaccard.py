@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.llm.filters import bit_filter, passes
 from riskloom.llm.prints import content_print
-from riskloom.llm.words import WHITE_FOLDED, finished, words_of
+from riskloom.llm.words import WHITE_FOLDED, finished, slices, words_of
 from riskloom.operators.iterative import linked_roots
 from riskloom.session import materialise
 
@@ -20,14 +20,14 @@ SHINGLE = 3
 LEVEL = (90, 100)
 # shingles are ordered by how often those of the same bucket of hashes occur in the table
 BUCKETS = 1 << 16
-# bits of a set's parity sketch
-BITS = 1024
+# counters of a set's sketch; of sets with over LARGE elements they count modulo 16, of others modulo 2
+COUNTERS, LARGE = 1024, 2000
 # bytes of text that are worked on at once
 SLICE = 4 << 20
 # classes that a task compares at once; a larger bucket is compared block by block, each pair of blocks by itself
 BLOCK = 20_000
-# buckets up to this size are compared by diagonals
-SMALL = 8
+# buckets up to this size are compared by diagonals, when candidates are chosen and when prefixes are
+SMALL, SMALL_TOKENS = 8, 64
 # groups whose prefix tokens a task remembers to have sent
 SENT = 1 << 20
 # hashes of texts whose sets are needed; more texts than bits only let more sets pass
@@ -45,16 +45,6 @@ def least_size(size):
     return -(-LEVEL[0] * size // LEVEL[1])
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    sizes = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
-    begin = 0
-    while begin < len(texts):
-        stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE, side="right")) - 1)
-        yield texts.slice(begin, stop - begin)
-        begin = stop
-
-
 def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first hash of each text and the total): all shingles, repeats included; of a text with fewer words
     than SHINGLE, the whole sequence."""
@@ -77,8 +67,8 @@ def bucket_ranks(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part in slices(batch.column(0)):
-                total += np.bincount((shingles_of(part)[0] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            for begin, stop in slices(batch.column(0), SLICE):
+                total += np.bincount((shingles_of(batch.column(0).slice(begin, stop - begin))[0] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -123,16 +113,58 @@ def class_ids(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(">u8").view(np.uint8).reshape(len(sets), 16)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parities of the elements by their last bits. Two sketches differ in at most as many bits as the sets have
-    elements that are not common."""
-    out = np.zeros((len(sets), BITS // 8), np.uint8)
-    for i, s in enumerate(sets):
-        counts = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
-        out[i] = np.packbits((counts & 1).astype(np.uint8))
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Elements counted by their last bits. However two sets differ, the counts differ by no more in all than the sets
+    have elements that are not common; modulo 2 or 16, they can only differ by less."""
+    out = []
+    for s in sets:
+        counts = np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        if len(s) > LARGE:
+            half = (counts & 15).astype(np.uint8)
+            out.append((half[0::2] | half[1::2] << 4).tobytes())
+        else:
+            out.append(np.packbits((counts & 1).astype(np.uint8)).tobytes())
     return out
 
 
+class Sketches:
+    """Sketches of many sets: parities of all, counts of the large ones."""
+
+    def __init__(self, parity: np.ndarray, large: np.ndarray, counts: np.ndarray):
+        self.parity, self.large, self.counts = parity, large, counts
+        self.place = np.cumsum(large) - 1
+
+    @classmethod
+    def read(cls, column: pa.Array) -> "Sketches":
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+        large = np.diff(offsets) > COUNTERS // 8
+        inside = np.repeat(large, np.diff(offsets))
+        packed = raw[inside].reshape(-1, COUNTERS // 2)
+        counts = np.empty((len(packed), COUNTERS), np.uint8)
+        counts[:, 0::2], counts[:, 1::2] = packed & 15, packed >> 4
+        parity = np.empty((len(large), COUNTERS // 8), np.uint8)
+        parity[~large], parity[large] = raw[~inside].reshape(-1, COUNTERS // 8), np.packbits(counts & 1, axis=1)
+        return cls(parity.view(np.uint64), large, counts)
+
+    def __getitem__(self, rows: slice) -> "Sketches":
+        before, upto = (int(self.large[:at].sum()) for at in (rows.start or 0, len(self.large) if rows.stop is None else rows.stop))
+        return Sketches(self.parity[rows], self.large[rows], self.counts[before:upto])
+
+    def followed_by(self, more: "Sketches") -> "Sketches":
+        return Sketches(*(np.concatenate([getattr(self, n), getattr(more, n)]) for n in ("parity", "large", "counts")))
+
+    def apart(self, a: np.ndarray, b: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Whether the rows a and b differ by ``allowed`` elements at most, as far as the sketches tell."""
+        out = np.bitwise_count(self.parity[a] ^ self.parity[b]).sum(axis=1, dtype=np.int64) <= allowed
+        deeper = np.flatnonzero(out & self.large[a] & self.large[b])
+        for at in range(0, len(deeper), 4096):
+            rows = deeper[at : at + 4096]
+            turn = (self.counts[self.place[a[rows]]] - self.counts[self.place[b[rows]]]) & 15
+            out[rows] = np.minimum(turn, 16 - turn).sum(axis=1, dtype=np.int64) <= allowed[rows]
+        return out
+
+
 def described(rows: DataFrame, ranks, key_type: str) -> DataFrame:
     """(_key, _print, n, class, group, bits, prefix) of every row. The prefix holds the rarest elements, as many as a
     link must touch; rows with equal prefix and size are one group, those with equal sets one class. A row without
@@ -140,27 +172,25 @@ def described(rows: DataFrame, ranks, key_type: str) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for part in slices(batch.column(2)):
-                sets = ordered_sets(part, ranks.value)
+            for begin, stop in slices(batch.column(2), SLICE):
+                sets = ordered_sets(batch.column(2).slice(begin, stop - begin), ranks.value)
                 n = np.array([len(s) for s in sets], np.int32)
                 filled = n > 0
                 prefixes = [s[: len(s) - least_size(len(s)) + 1] for s in sets]
                 groups = np.array([(finished(p) * np.uint64(3)).sum(dtype=np.uint64) for p in prefixes], np.uint64)
                 groups = finished(groups + finished(n.astype(np.uint64)))
                 empty = pa.array(~filled)
-                found = (fixed_binary(class_ids(sets)), pa.array(groups.view(np.int64)), fixed_binary(sketches(sets)))
+                found = (fixed_binary(class_ids(sets)), pa.array(groups.view(np.int64)), pa.array(sketches(sets), pa.binary()))
                 flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
                 ends = pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32))
                 columns = [
-                    batch.column(0).slice(at, len(part)),
-                    batch.column(1).slice(at, len(part)),
+                    batch.column(0).slice(begin, stop - begin),
+                    batch.column(1).slice(begin, stop - begin),
                     pa.array(n),
                     *[pc.if_else(empty, pa.scalar(None, c.type), c) for c in found],
                     pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["_key", "_print", "n", "class", "group", "bits", "prefix"])
-                at += len(part)
 
     schema = f"_key {key_type}, _print bigint, n int, class binary, `group` bigint, bits binary, prefix array<bigint>"
     return rows.mapInArrow(describe, schema)
@@ -259,13 +289,13 @@ def group_buckets(rows: DataFrame) -> DataFrame:
                 huge = None
             last = int(np.searchsorted(rest[0], rest[0][-1]))
             if last:
-                yield out(*surviving(*[r[:last] for r in rest], SMALL))
+                yield out(*surviving(*[r[:last] for r in rest], SMALL_TOKENS))
                 rest = [r[last:] for r in rest]
             if len(rest[0]) > BLOCK:
                 huge = rest[0][0]
                 yield out(np.full(len(rest[0]), huge, np.int64), rest[1])
                 rest = [r[:0] for r in rest]
-        yield out(*surviving(*rest, SMALL))
+        yield out(*surviving(*rest, SMALL_TOKENS))
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.where("n > 0").select("group", "n", "prefix").mapInArrow(tokens, "token bigint, `group` bigint, size int, place int")
@@ -273,20 +303,18 @@ def group_buckets(rows: DataFrame) -> DataFrame:
     return materialise(dealt.mapInArrow(share, "bucket bigint, `group` bigint").distinct(), "buckets")
 
 
-def close(n: np.ndarray, bits: np.ndarray, a: np.ndarray, b) -> np.ndarray:
+def close(n: np.ndarray, bits: Sketches, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the sizes and sketches of the rows a and b allow a link."""
     one, two = n[a], n[b]
     low, high = np.minimum(one, two), np.maximum(one, two)
     out = low >= least_size(high)
     at = np.flatnonzero(out)
-    other = bits[b[at]] if isinstance(b, np.ndarray) else bits[b]
-    apart = np.bitwise_count(bits[a[at]] ^ other).sum(axis=1, dtype=np.int64)
     total = (one + two)[at]
-    out[at] = apart <= total - 2 * least_overlap(total)
+    out[at] = bits.apart(a[at], b[at], total - 2 * least_overlap(total))
     return out
 
 
-def spanning(n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(n: np.ndarray, bits: Sketches) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect whatever close pairs connect: fewer than there are rows."""
     label = np.arange(len(n))
     left, right = [], []
@@ -295,7 +323,7 @@ def spanning(n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(others):
             break
         others = others[others > i]
-        others = others[close(n, bits, others, i)]
+        others = others[close(n, bits, others, np.full(len(others), i))]
         if len(others):
             others = others[np.unique(label[others], return_index=True)[1]]
             left.append(np.full(len(others), i))
@@ -304,13 +332,13 @@ def spanning(n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left or [label[:0]]), np.concatenate(right or [label[:0]])
 
 
-def crossing(n: np.ndarray, bits: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def crossing(n: np.ndarray, bits: Sketches, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All close pairs of different labels."""
     left, right = [], []
     for i in range(len(n)):
         others = np.flatnonzero(label != label[i])
         others = others[others > i]
-        others = others[close(n, bits, others, i)]
+        others = others[close(n, bits, others, np.full(len(others), i))]
         left.append(np.full(len(others), i))
         right.append(others)
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
@@ -342,8 +370,9 @@ def candidates(cells: DataFrame, labelled: bool) -> DataFrame:
         for batch in batches:
             now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             now += [bytes_of(batch.column(3), 16), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)]
-            now += [bytes_of(batch.column(5), BITS // 8).view(np.uint64), batch.column(6).to_numpy(zero_copy_only=False)]
-            held = now if held is None else [np.concatenate([h, x]) for h, x in zip(held, now)]
+            now += [Sketches.read(batch.column(5)), batch.column(6).to_numpy(zero_copy_only=False)]
+            joined = zip(held or [], now)
+            held = now if held is None else [h.followed_by(x) if isinstance(x, Sketches) else np.concatenate([h, x]) for h, x in joined]
             if len(held[0]):
                 last = int(starts_of(*held[:3])[-1])
                 if last:
@@ -366,8 +395,8 @@ def sets_of(rows: DataFrame, wanted: np.ndarray, ranks) -> DataFrame:
         for batch in batches:
             prints = batch.column(0).to_numpy().view(np.uint64)
             chosen = batch.column(1).filter(pa.array(passes(shared.value, prints)))
-            for part in slices(chosen):
-                sets = [s for s in ordered_sets(part, ranks.value) if len(s)]
+            for begin, stop in slices(chosen, SLICE):
+                sets = [s for s in ordered_sets(chosen.slice(begin, stop - begin), ranks.value) if len(s)]
                 ids = class_ids(sets)
                 new = []
                 for i, name in enumerate(ids):

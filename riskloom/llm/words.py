@@ -113,6 +113,18 @@ def ends_of_pieces(inside: np.ndarray, size: int) -> Iterator[int]:
         yield size
 
 
+def slices(texts: pa.Array, held: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes together, one row at least."""
+    filled = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(texts) + 1]
+    sizes = offsets + 32 * np.arange(len(texts) + 1)
+    begin = 0
+    while begin < len(texts):
+        stop = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + held, side="right")) - 1)
+        yield begin, stop
+        begin = stop
+
+
 def words_of(texts: pa.Array, letters: Alphabet, affixes: tuple[int, ...] = ()) -> Words:
     """NULL and empty texts have no words."""
     if texts.null_count:

@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import narrative, odd_rows
 
 from riskloom.llm import jaccard
-from riskloom.llm.jaccard import close, crossing, jaccard_components, least_overlap, least_size, sketches, spanning
+from riskloom.llm.jaccard import Sketches, close, crossing, jaccard_components, least_overlap, least_size, sketches, spanning
 
 
 def shingles(text):
@@ -67,7 +68,7 @@ def test_components_of_all_pairs(spark, alerts_of, monkeypatch, small, block, se
 
 def test_pairs_refuted_between_components(spark, alerts_of, monkeypatch):
     """Sketches without information: every pair of like sizes is a candidate, most are refuted."""
-    monkeypatch.setattr(jaccard, "sketches", lambda sets: np.zeros((len(sets), jaccard.BITS // 8), np.uint8))
+    monkeypatch.setattr(jaccard, "sketches", lambda sets: [bytes(jaccard.COUNTERS // 8)] * len(sets))
     rows = near_copies()[:60]
     assert sorted([tuple(r) for r in jaccard_components(alerts_of(rows)).collect()], key=repr) == expected(rows)
 
@@ -81,17 +82,26 @@ def test_bounds_are_those_of_the_threshold():
             assert not overlaps or min(overlaps) == least_overlap(s + t) >= least_size(s)
 
 
-def test_sketches_never_rule_out_a_link():
+@pytest.mark.parametrize("size", [300, 1990, 2600, 9000])
+def test_sketches_never_rule_out_a_link(size):
     chooser = np.random.default_rng(3)
     sets = []
-    for _ in range(40):
-        base = np.unique(chooser.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64))
-        sets += [base, np.unique(np.r_[base[chooser.integers(0, 14) :], chooser.integers(0, 2**63, 12, dtype=np.int64).astype(np.uint64)])]
-    bits, n = sketches(sets).view(np.uint64), np.array([len(s) for s in sets])
-    linked = [(i, j) for i in range(80) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
-    assert linked and all(close(n, bits, np.array([i]), j)[0] for i, j in linked)
+
+    def fresh(count):
+        return chooser.integers(0, 2**63, count, dtype=np.int64).astype(np.uint64)
+
+    for _ in range(12):
+        base = np.unique(fresh(size))
+        sets += [base, np.unique(np.r_[base[chooser.integers(0, size // 20) :], fresh(size // 25)])]
+    column = pa.array(sketches(sets), pa.binary())
+    bits = Sketches.read(column.slice(0, 5)).followed_by(Sketches.read(column.slice(5)))
+    n, every = np.array([len(s) for s in sets]), range(len(sets))
+    linked = [(i, j) for i in every for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+    assert len(linked) == 12 and all(close(n, bits, np.array([i]), np.array([j]))[0] for i, j in linked)
     a, b = spanning(n, bits)
-    assert len(a) < 80 and len(crossing(n, bits, np.arange(80))[0]) >= len(linked)
+    assert sorted(zip(b, a)) == linked and len(crossing(n, bits, np.arange(len(sets)))[0]) == len(linked)
+    a, b = spanning(n[3:9], bits[3:9])
+    assert sorted(zip(b, a)) == [(2, 1), (4, 3)]
 
 
 def test_empty(alerts_of):
