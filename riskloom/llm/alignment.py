@@ -305,23 +305,26 @@ class Memory:
         counts = np.array([len(s) for s in split], np.int64)
         parts = list(chain.from_iterable(split))
         places, new = self.place.numbers(parts)
-        at = 0
+        at, more = 0, []
         while at < len(new):  # a bounded number of bytes at once
             held, stop = 0, at
             while stop < len(new) and (held < ENCODED or stop == at):
                 held += len(new[stop]) + 8
                 stop += 1
-            self.add(new[at:stop])
+            more.append(aligned(new[at:stop], self.tokenizers))
             at = stop
+        if more:
+            self.add(more)
         self.uses += np.bincount(places, minlength=len(self.uses))
         return places, counts
 
-    def add(self, parts: list[str]) -> None:
-        more, old = aligned(parts, self.tokenizers), self.all
-        joined = {n: np.concatenate([getattr(old, n), getattr(more, n)]) for n in ("good", "n_a", "n_b", "n_groups", "n_links", "pair", "times")}
-        old.text.extend(more.text)
-        self.all = Aligned(**joined, text=old.text, at=np.r_[old.at, more.at[1:] + old.at[-1]])
-        self.uses = np.r_[self.uses, np.zeros(len(parts), np.int64)]
+    def add(self, more: list[Aligned]) -> None:
+        every = [self.all, *more]
+        joined = {n: np.concatenate([getattr(x, n) for x in every]) for n in ("good", "n_a", "n_b", "n_groups", "n_links", "pair", "times")}
+        ends = np.cumsum([x.at[-1] for x in every])
+        at = np.concatenate([self.all.at, *[x.at[1:] + before for x, before in zip(more, ends)]])
+        self.all = Aligned(**joined, text=list(chain.from_iterable(x.text for x in every)), at=at)
+        self.uses = np.r_[self.uses, np.zeros(len(joined["good"]) - len(self.uses), np.int64)]
 
 
 class Links:

@@ -10,16 +10,28 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.llm.words import FOLDED, Words, words_of
+from riskloom.llm.words import FOLDED, Words, slices, words_of
 
-FEATURE_BITS = 18
+FEATURE_BITS = 21
 # first and last bytes of a word that are features beside the word itself
 AFFIXES = (3, 4, 5, 6, 8, -3, -5)
 # cells of a padded block of chains
 CELLS = 1 << 20
-# a word form is evidence if it is so many times as frequent in texts of label 1, and stands in so many of them
-MIN_RATIO, MIN_TEXTS = 8.0, 4
+# a word form is evidence if so many times as many texts of label 1 hold it
+MIN_RATIO = 8.0
 ROUNDS, RATE, PENALTY = 40, 0.5, 1e-5
+# a word is toxic from this marginal on; the surest so many forms decide about their text
+SPAN, FORMS = 0.5, 3
+# of the labelled texts, every so-manieth calibrates the document score and takes no part in the fit of the words
+CALIBRATION = 4
+# weights of the document score before calibration: constant, log-odds of the surest forms, which count up to SUREST
+DOCUMENT, SUREST = np.array([-1.5, 0.8, 0.4, 0.2]), 8.0
+# one form of these log-odds is enough for a text
+ENOUGH = 4.0
+# how clear a form's evidence must be, in logarithms of the forms that are looked at; the calibrating texts choose
+CLEAR = (0.5, 1.2)
+# bytes of text that are scored at once
+SLICE = 6 << 20
 
 
 def features(found: Words) -> np.ndarray:
@@ -69,11 +81,13 @@ class Field:
         self.weight = np.zeros(1 << FEATURE_BITS, np.float32)
         self.bias = np.array([-5.0])
         self.move = np.zeros((2, 2))
-        self.document = np.zeros(4)
+        self.document = DOCUMENT.copy()
+        # whether words were learnt, and the score of every text if not
+        self.evidence = np.zeros(2)
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, weight=self.weight, bias=self.bias, move=self.move, document=self.document)
+        np.savez_compressed(out, weight=self.weight, bias=self.bias, move=self.move, document=self.document, evidence=self.evidence)
         return out.getvalue()
 
     @classmethod
@@ -104,49 +118,115 @@ class Field:
                 moves += joint.sum(axis=1).reshape(2, 2)
         return out, moves
 
-    def document_inputs(self, marginals: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Per text: 1, the expected toxic words (log), their share (log), the surest word."""
-        sums = np.r_[0.0, np.cumsum(marginals)]
-        expected = sums[first[1:]] - sums[first[:-1]]
-        lengths = np.diff(first)
+    def document_inputs(self, marginals: np.ndarray, found: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, surest marginal) per text. The inputs: 1, the log-odds of its surest distinct forms that are
+        toxic words. Words that are not toxic, and repeats of a form, add nothing."""
+        lengths = np.diff(found.first)
         surest = np.zeros(len(lengths))
         full = np.flatnonzero(lengths)
         if len(full):
-            surest[full] = np.maximum.reduceat(marginals, first[:-1][full])
-        share = np.log1p(1000 * np.maximum(expected, 0) / (lengths + 20))
-        return np.stack([np.ones(len(lengths)), np.log1p(np.maximum(expected, 0)), share, surest], axis=1)
-
-    def document_scores(self, marginals: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.document_inputs(marginals, first) @ self.document, -30, 30)))
-
-
-def word_labels(found: Words, places: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Labels of the words from those of their texts: in a text of label 1, the words with a form that is
-    MIN_RATIO times as frequent in such texts and stands in MIN_TEXTS of them at least."""
+            surest[full] = np.maximum.reduceat(marginals, found.first[:-1][full])
+        inputs = np.zeros((len(lengths), len(DOCUMENT)))
+        inputs[:, 0] = 1
+        hot = np.flatnonzero(marginals >= SPAN)
+        owner = np.searchsorted(found.first, hot, side="right") - 1
+        # each form at its surest place
+        order = np.lexsort((-marginals[hot], found.hashed[hot], owner))
+        hot, owner = hot[order], owner[order]
+        new = np.ones(len(hot), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (found.hashed[hot[1:]] != found.hashed[hot[:-1]])
+        hot, owner = hot[new], owner[new]
+        order = np.lexsort((-marginals[hot], owner))
+        hot, owner = hot[order], owner[order]
+        rank = np.arange(len(hot)) - np.searchsorted(owner, owner)
+        used = rank < FORMS
+        chance = np.minimum(marginals[hot[used]], 1 - 1e-12)
+        inputs[owner[used], 1 + rank[used]] = np.minimum(np.log(chance / (1 - chance)), SUREST)
+        return inputs, surest
+
+    def document_scores(self, marginals: np.ndarray, found: Words) -> np.ndarray:
+        """A text without a toxic word scores below one half, the higher the surer its surest word."""
+        if not self.evidence[0]:
+            return np.full(len(found.first) - 1, self.evidence[1])
+        inputs, surest = self.document_inputs(marginals, found)
+        scores = 1 / (1 + np.exp(-np.clip(inputs @ self.document, -30, 30)))
+        return np.where(surest >= SPAN, scores, 0.98 * np.minimum(surest, 0.5))
+
+
+def word_labels(found: Words, places: np.ndarray, label: np.ndarray, clear: float) -> np.ndarray:
+    """Labels of the words from those of their texts: in a text of label 1, the words with a form that MIN_RATIO times
+    as many such texts hold, and so many more than chance gives that the log-likelihood ratio reaches ``clear`` logarithms of the forms looked at."""
     text = found.text_of()
     toxic = label[text] == 1
     size = 1 << FEATURE_BITS
+    both = np.array([(label == 0).sum(), (label == 1).sum()], np.float64)
+    share = both[1] / max(1.0, both.sum())
     evident = np.zeros(len(places), bool)
+    looked_at = max(2, len(np.unique(places)))
     for column in range(places.shape[1]):
         place = places[:, column]
-        in_toxic = np.bincount(place[toxic], minlength=size) / max(1, toxic.sum())
-        in_clean = (np.bincount(place[~toxic], minlength=size) + 0.5) / max(1, (~toxic).sum())
-        pairs = np.unique(place[toxic].astype(np.int64) * len(label) + text[toxic])
-        texts = np.bincount(pairs // max(1, len(label)), minlength=size)
-        evident |= ((in_toxic >= MIN_RATIO * in_clean) & (texts >= MIN_TEXTS))[place]
+        pairs = np.unique(place.astype(np.int64) * len(label) + text)
+        form, owner = pairs // max(1, len(label)), pairs % max(1, len(label))
+        clean, bad = (np.bincount(form[label[owner] == k], minlength=size).astype(np.float64) for k in (0, 1))
+        total = np.maximum(clean + bad, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(bad > 0, bad * np.log(bad / (total * share)), 0) + np.where(clean > 0, clean * np.log(clean / (total * (1 - share))), 0)
+        frequent = bad / max(1, both[1]) >= MIN_RATIO * (clean + 0.5) / max(1, both[0])
+        evident |= (frequent & (gain >= clear * np.log(looked_at)))[place]
     return (toxic & evident).astype(np.float64)
 
 
+def calibrated(inputs: np.ndarray, label: np.ndarray, share: float) -> np.ndarray:
+    """Logistic regression near DOCUMENT, weighted to ``share``; log-odds never count against label 1, and one
+    form of ENOUGH is enough for it."""
+    positive = label == 1
+    weight = DOCUMENT.copy()
+    if not len(label):
+        return weight
+    rows = np.where(positive, share / max(1, positive.sum()), (1 - share) / max(1, (~positive).sum()))
+    for _ in range(50):
+        score = 1 / (1 + np.exp(-np.clip(inputs @ weight, -30, 30)))
+        gradient = inputs.T @ (rows * (positive - score)) - 1e-2 * (weight - DOCUMENT)
+        curve = (inputs * (rows * score * (1 - score))[:, None]).T @ inputs + 1e-2 * np.eye(len(weight))
+        weight += np.clip(np.linalg.solve(curve, gradient), -1, 1)
+        weight[1:] = np.maximum(weight[1:], 0)
+    weight[1] = max(weight[1], -weight[0] / ENOUGH)
+    return weight
+
+
 def fitted(texts: list[str | None], label: np.ndarray, share: float) -> Field:
-    """Maximum likelihood by adaptive gradient steps over all given texts; then the document calibration, weighted
-    to ``share``, the part of label 1 among all labelled texts."""
+    """Words by maximum likelihood (adaptive gradient steps over all texts but every CALIBRATION-th), then the
+    document score on the texts left out, weighted to ``share``, the part of label 1 among all labelled texts; of the
+    levels in CLEAR, the one that the texts left out find likelier."""
     field = Field()
-    field.document[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
+    field.evidence = np.array([0.0, share])
     if len(set(label.tolist())) < 2:
         return field
+    # counted by label, so that both parts have both
+    number = np.zeros(len(label), np.int64)
+    for value in (0, 1):
+        number[label == value] = np.arange((label == value).sum())
+    aside = number % CALIBRATION == CALIBRATION - 1
+    found = words_of(pa.array([t for t, a in zip(texts, aside) if a], pa.string()), FOLDED, AFFIXES)
+    places, chains = features(found), Chains(found.first)
+    rows = np.where(label[aside] == 1, share / max(1, (label[aside] == 1).sum()), (1 - share) / max(1, (label[aside] == 0).sum()))
+    tried = []
+    for clear in CLEAR:
+        field = Field()
+        field.evidence = np.array([1.0, share])
+        fit_words(field, [t for t, a in zip(texts, aside) if not a], label[~aside], clear)
+        marginals, _ = field.marginals(places, chains)
+        field.document = calibrated(field.document_inputs(marginals, found)[0], label[aside], share)
+        scores = np.clip(field.document_scores(marginals, found), 1e-6, 1 - 1e-6)
+        loss = -(rows * np.log(np.where(label[aside] == 1, scores, 1 - scores))).sum()
+        tried.append((loss, -clear, field))
+    return min(tried, key=lambda t: t[:2])[2]
+
+
+def fit_words(field: Field, texts: list[str | None], label: np.ndarray, clear: float) -> None:
     found = words_of(pa.array(texts, pa.string()), FOLDED, AFFIXES)
     places, chains = features(found), Chains(found.first)
-    target = word_labels(found, places, label)
+    target = word_labels(found, places, label, clear)
     pairs = found.text_of()
     same = pairs[1:] == pairs[:-1]
     seen = np.zeros((2, 2))
@@ -165,16 +245,6 @@ def fitted(texts: list[str | None], label: np.ndarray, share: float) -> Field:
             step = RATE * gradient / (np.sqrt(squares[name]) + 1e-8)
             setattr(field, name, (getattr(field, name) + step).astype(getattr(field, name).dtype))
         field.move -= field.move[0, 0]
-    marginals, _ = field.marginals(places, chains)
-    inputs = field.document_inputs(marginals, found.first)
-    positive = label == 1
-    weights = np.where(positive, share / max(1, positive.sum()), (1 - share) / max(1, (~positive).sum()))
-    for _ in range(50):  # Newton steps of a logistic regression with a small ridge
-        score = 1 / (1 + np.exp(-np.clip(inputs @ field.document, -30, 30)))
-        gradient = inputs.T @ (weights * (positive - score)) - 1e-4 * field.document
-        curve = (inputs * (weights * score * (1 - score))[:, None]).T @ inputs + 1e-4 * np.eye(4)
-        field.document += np.clip(np.linalg.solve(curve, gradient), -2, 2)
-    return field
 
 
 def train_toxicity(
@@ -189,7 +259,8 @@ def train_toxicity(
 ) -> bytes:
     """Fits the field on at most ``per_label`` labelled texts of each label, those with the smallest digests of
     their keys; ``where`` says which rows of ``labels`` may be learnt from. Rows with a NULL key or label are left
-    out. Without texts of both labels the model gives every text the part of label 1, or 0 without any.
+    out. Every fourth text of a label takes no part in the fit of the words and calibrates the document score. Without
+    texts of both labels the model gives every text the part of label 1, or 0 without any.
 
     The bound is what makes one task enough; nothing else of the corpus enters the model."""
     flag = F.col(label).cast("int")
@@ -211,7 +282,7 @@ def train_toxicity(
     models = grouped.applyInPandas(fit, "model binary").collect()
     if not models:
         field = Field()
-        field.document[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
+        field.evidence = np.array([0.0, share])
         return field.packed()
     return bytes(models[0]["model"])
 
@@ -222,8 +293,9 @@ def score_toxicity(
     """All input columns plus ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``spans``: array of (begin, stop,
     probability), the character ranges of words whose marginal reaches ``threshold``, neighbours joined.
 
-    A whole text is one chain. NULL and wordless texts get the score of a text without toxic words and no spans;
-    repeated rows score alike; input columns named like the added ones are replaced. Only ``text`` is an input.
+    A whole text is one chain. The score follows from the surest distinct forms among the words whose marginal reaches
+    one half; other words, however many, add nothing, and without such a word the score is below one half. NULL and
+    wordless texts score 0 and have no spans; a marginal equal to ``threshold`` counts as reached; repeated rows score alike; input columns named like the added ones are replaced. Only ``text`` is an input.
     """
     spark = alerts.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -236,11 +308,11 @@ def score_toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field.unpacked(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at, stop in slices(batch.column(text), SLICE):
+                part = batch.slice(at, stop - at)
                 found = words_of(part.column(text), FOLDED, AFFIXES)
                 marginals, _ = field.marginals(features(found), Chains(found.first))
-                scores = field.document_scores(marginals, found.first)
+                scores = field.document_scores(marginals, found)
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 hot = np.flatnonzero(marginals >= threshold)
                 owners = np.searchsorted(found.first, hot, side="right") - 1

@@ -2,11 +2,13 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import narrative, odd_rows
 from pyspark.sql import functions as F
 
-from riskloom.llm.toxicity import Chains, Field, forward_backward, score_toxicity, train_toxicity
+from riskloom.llm.toxicity import AFFIXES, Chains, Field, features, forward_backward, score_toxicity, train_toxicity, word_labels
+from riskloom.llm.words import FOLDED, words_of
 
 INSULTS = ["crook", "swindler", "scoundrel", "thief"]
 
@@ -77,3 +79,66 @@ def test_one_label_or_none(spark, alerts_of, labels):
     scores = [r["score"] for r in score_toxicity(rows, train_toxicity(rows, marks)).collect()]
     assert len(scores) == 2 and all((s > 0.5) == (len(labels) == 2) for s in scores)
     assert score_toxicity(alerts_of([]), Field().packed()).count() == 0
+
+
+def unknown_words(count, seed=9):
+    chooser = random.Random(seed)
+    return " ".join("".join(chooser.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(chooser.randrange(3, 10))) for _ in range(count))
+
+
+def test_length_adds_nothing(spark, alerts_of):
+    """Unknown words, however many, leave a clean text clean; an insult among them is found; no score without a span."""
+    rows, labels = reports(240)
+    model = train_toxicity(alerts_of(rows), spark.createDataFrame(labels, "alert_id bigint, is_sar boolean"))
+    clean = [t for i, t, _ in rows if i % 3][:5]
+    long = [(1000 + k, t + " " + unknown_words(20_000, k), "a") for k, t in enumerate(clean)]
+    long += [(2000 + k, unknown_words(9000, k) + " crook " + unknown_words(11_000, k + 50) + " " + t, "a") for k, t in enumerate(clean)]
+    long += [(3000, " ".join(clean * 60), "a")]
+    found = {r["alert_id"]: r for r in score_toxicity(alerts_of(rows + long), model).collect()}
+    assert all(found[1000 + k]["predicted"] == 0 and found[2000 + k]["predicted"] == 1 for k in range(5))
+    assert found[3000]["predicted"] == 0
+    assert all(r["spans"] for r in found.values() if r["score"] >= 0.5)
+
+
+def test_repeats_of_a_form_add_nothing():
+    field = Field()
+    field.evidence = np.array([1.0, 0.5])
+    found = words_of(pa.array(["bad", "bad bad bad bad", "bad worse", "", None]), FOLDED, AFFIXES)
+    marginals = np.array([0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.8])
+    one, many, two, empty, null = field.document_scores(marginals, found)
+    assert one == many < two and empty == null == 0
+
+
+def test_forms_need_more_texts_than_chance_gives():
+    texts = [f"plain words here {'crook' if i % 2 else ''} {'once' if i == 1 else ''}" for i in range(60)]
+    found = words_of(pa.array(texts), FOLDED, AFFIXES)
+    labels = word_labels(found, features(found), np.array([i % 2 for i in range(60)]), 1.0)
+    marked = {found.data[s:e].tobytes().decode() for s, e, x in zip(found.start, found.end, labels) if x}
+    assert marked == {"crook"}
+
+
+def test_score_equals_a_plain_version(spark, alerts_of):
+    """Marginals by all labelings of each short text, and the document score from them."""
+    rows, labels = reports(90)
+    data = train_toxicity(alerts_of(rows), spark.createDataFrame(labels, "alert_id bigint, is_sar boolean"))
+    field = Field.unpacked(data)
+    texts = ["crook", "cash crook wire", "", "thief crook cash thief swindler", "cash wire split"]
+    got = {r["alert_id"]: r for r in score_toxicity(alerts_of([(i, t, "a") for i, t in enumerate(texts)]), data).collect()}
+    move = np.exp(field.move)
+    for i, text in enumerate(texts):
+        found = words_of(pa.array([text]), FOLDED, AFFIXES)
+        odds, total = field.odds(features(found)), np.zeros((len(found.hashed), 2))
+        for path in itertools.product((0, 1), repeat=len(total)):
+            weight = np.prod([o**s for o, s in zip(odds, path)]) * np.prod([move[a, b] for a, b in zip(path, path[1:])])
+            weight *= (move[0, path[0]] + move[1, path[0]]) if path else 1
+            for t, s in enumerate(path):
+                total[t, s] += weight
+        chance = total[:, 1] / total.sum(axis=1) if len(total) else np.zeros(0)
+        forms = {}
+        for word, p in zip(text.split(), chance):
+            if p >= 0.5:
+                forms[word] = max(forms.get(word, 0), min(np.log(p / (1 - p)), 8.0))
+        ranked = [*sorted(forms.values(), reverse=True), 0, 0, 0][:3]
+        want = 1 / (1 + np.exp(-(np.array([1, *ranked]) @ field.document))) if forms else 0.98 * chance.max(initial=0)
+        assert got[i]["score"] == pytest.approx(want, abs=1e-5), text
+        assert sum(len(text[s["begin"] : s["stop"]].split()) for s in got[i]["spans"]) == (chance >= 0.5).sum()
