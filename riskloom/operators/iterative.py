@@ -16,8 +16,6 @@ from riskloom.session import cut_lineage, discard, materialise
 
 # edges of one vertex that may share a partition key
 EDGES_PER_SPLIT = 200_000
-# finest division of the nodes into classes that move in turn; below it, moves that share no community are chosen
-MAX_CLASSES = 8
 
 
 def split_edges(edges: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
@@ -198,119 +196,206 @@ def modularity(arcs: DataFrame, assignment: DataFrame, total: float) -> float:
 
 
 def communities(
-    graph: Graph, *, seed: int = 42, max_levels: int = 100, max_rounds: int = 2000, minimum_gain: float = 1e-7
+    graph: Graph,
+    *,
+    seed: int = 42,
+    max_levels: int = 100,
+    max_rounds: int = 2000,
+    minimum_gain: float = 1e-7,
+    share: float = 0.03,
 ) -> DataFrame:
-    """(node_id, community_id, community_size): multi-level modularity optimisation.
-
-    Nodes move in synchronous rounds to the neighbouring community with the best gain. The nodes are
-    hashed into two classes that take turns, so neighbours rarely swap. A round whose moves together gain
-    less than ``minimum_gain`` is replaced by those of its moves that share no community, which gain what
-    they gain alone, and the classes are made smaller. When every class in turn has gained less than
-    ``minimum_gain`` that way, communities become nodes and the next level starts; a level that gains less
-    ends the search. Ids are the smallest member.
-
-    ``max_rounds`` a level and ``max_levels`` are safety limits: they raise.
+    """(node_id, community_id, community_size): multi-level modularity optimisation with connected communities.
+
+    A level has two phases. Nodes move to the neighbouring community with the best gain: in a round about half of the
+    nodes may move, drawn by a hash, and only active nodes are rated, which are those that had to wait and the
+    neighbours of the last moves; when fewer than one node in fifty gains, all of them may move. The change of
+    modularity follows from the moved nodes and their arcs alone; a round that does not gain is replaced by those of its moves that share no community, which gain what they gain alone.
+    The phase ends when no active node gains, or two rounds together gain less than ``minimum_gain``, or less than
+    ``share`` of what the phase has gained: the rest is left to the next levels. Then every community is built anew
+    from single nodes: nodes still alone join a part of their community that they are linked with and gain by, while
+    that part holds still, so that every part is connected. Parts become the nodes of the next level and start it in
+    their communities. The levels end when the communities are the nodes, or no part has grown.
+
+    At last the graph's own nodes move, from where the levels have brought them, until no active node gains or two
+    rounds gain less than ``minimum_gain``, and communities that are not connected are split into their components,
+    which only adds to the modularity. Ids are the smallest member. ``max_rounds`` a phase and ``max_levels`` are safety
+    limits: they raise.
     """
     pairs = undirected_edges(graph.edges)
     weight = F.col("weight").cast("double")
     forward = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), weight.alias("w"))
-    arcs = save(forward.union(forward.select("v", "u", "w")))
-    total = arcs.agg(F.sum("w")).first()[0]
+    finest = save(forward.union(forward.select("v", "u", "w")))
+    total = finest.agg(F.sum("w")).first()[0]
     membership = graph.vertices.select("node_id", F.col("node_id").alias("node"))
     if total:
         membership = save(membership)
-        best = None
+        nodes = save(finest.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
+        arcs, state = finest, nodes.withColumn("community", F.col("node"))
+        state = save(state)
         for level in range(max_levels):
-            assignment, score = _local_moves(arcs, total, seed + level, max_rounds, minimum_gain)
-            if best is not None and score <= best + minimum_gain:
+            links = arcs.where("u <> v")
+            state = _local_moves(links, state, total, seed + 1000 * level, max_rounds, minimum_gain, share)
+            parts, grown = _connected_parts(links, state, total, seed + 1000 * level)
+            counts = parts.agg(F.countDistinct("community"), F.countDistinct("part")).first()
+            membership = _renamed(membership, parts.select("node", "part"))
+            if counts[0] == counts[1] or not grown:
+                membership = _renamed(membership, parts.select(F.col("part").alias("node"), F.col("community").alias("part")).distinct())
                 break
-            best = score
-            membership = save(
-                membership.join(assignment, "node", "left").select(
-                    "node_id", F.coalesce("community", "node").alias("node")
-                )
-            )
-            ends = arcs.join(assignment.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(
-                assignment.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v"
-            )
-            arcs = save(
-                ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
-            )
+            a = parts.select(F.col("node").alias("u"), F.col("part").alias("pu"))
+            b = parts.select(F.col("node").alias("v"), F.col("part").alias("pv"))
+            ends = arcs.join(a, "u").join(b, "v").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v"))
+            smaller = save(ends.agg(F.sum("w").alias("w")))
+            state = save(parts.groupBy(F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.min("community").alias("community")))
+            discard(parts, *([arcs] if arcs is not finest else []))
+            arcs = smaller
         else:
             raise RuntimeError(f"the community search has not settled in {max_levels} levels")
+        # the nodes themselves, until none gains
+        links, start = finest.where("u <> v"), membership.select(F.col("node_id"), F.col("node").alias("community"))
+        state = save(nodes.join(start.withColumnRenamed("node_id", "node"), "node").select("node", "k", "community"))
+        state = _local_moves(links, state, total, seed - 1000, max_rounds, minimum_gain, 0.0)
+        membership = _renamed(graph.vertices.select("node_id", F.col("node_id").alias("node")), _components_inside(links, state))
     sizes = membership.groupBy("node").agg(
         F.count("*").alias("community_size"), F.min("node_id").alias("community_id")
     )
     return membership.join(sizes, "node").select("node_id", "community_id", "community_size")
 
 
-def _local_moves(
-    arcs: DataFrame, total: float, seed: int, max_rounds: int, minimum_gain: float
-) -> tuple[DataFrame, float]:
-    nodes = arcs.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
-    state = save(nodes.withColumn("community", F.col("node")))
-    score = modularity(arcs, state, total)
-    links = arcs.where("u <> v")
-    classes, idle = 2, 0
-    for round_number in range(max_rounds):
-        sums = state.groupBy("community").agg(F.sum("k").alias("volume"))
-        target = state.select(F.col("node").alias("v"), F.col("community").alias("to"))
-        toward = links.join(target, "v").groupBy(F.col("u").alias("node"), F.col("to")).agg(F.sum("w").alias("w"))
-        own = state.withColumns({"to": F.col("community"), "w": F.lit(0.0)}).select("node", "to", "w")
-        options = toward.unionByName(own).groupBy("node", "to").agg(F.sum("w").alias("w"))
-        scored = (
-            options.join(state, "node")
-            .join(sums.withColumnRenamed("community", "to"), "to")
-            .withColumn("others", F.col("volume") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0.0))
-            .withColumn("gain", F.col("w") - F.col("k") * F.col("others") / total)
-        )
-        # best gain, ties to the smallest community: min_by over a two-part order is partially aggregated
-        choice = scored.groupBy("node").agg(
-            F.min_by("to", F.struct(-F.round("gain", 9), F.col("to"))).alias("best"),
-            F.max("gain").alias("best_gain"),
-            F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("stay_gain"),
-        )
-        turn = F.pmod(F.xxhash64(F.lit(seed), F.col("node")), F.lit(classes)) == round_number % classes
-        moves = turn & (F.col("best_gain") > F.col("stay_gain") + 1e-9)
-        proposal = save(
-            state.join(choice, "node", "left").select(
-                "node",
-                "k",
-                F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"),
-                F.col("community").alias("previous"),
-                (F.col("best_gain") - F.col("stay_gain")).alias("better"),
-                F.coalesce(moves, F.lit(False)).alias("moved"),
-            )
-        )
-        gain, finer = 0.0, classes
-        if not proposal.where("moved").isEmpty():
-            gain = modularity(arcs, proposal, total) - score
-            if gain < minimum_gain:
-                apart = save(_moves_apart(proposal))
-                discard(proposal)
-                proposal, finer = apart, min(2 * classes, MAX_CLASSES)
-                gain = modularity(arcs, proposal, total) - score
-        if gain > 0.0:
-            discard(state)
-            state, score = proposal.select("node", "k", "community"), score + gain
-        else:
-            discard(proposal)
-        idle = 0 if gain >= minimum_gain or finer > classes else idle + 1
-        classes = finer
-        if idle >= classes:
-            return state.select("node", "community"), score
-    raise RuntimeError(f"the community search has not settled in {max_rounds} rounds of a level (last gain {gain})")
+def _renamed(membership: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members carried over to the nodes (``part``) that their nodes have become."""
+    joined = membership.join(parts, "node", "left")
+    return save(joined.select("node_id", F.coalesce("part", "node").alias("node")))
+
 
+def _components_inside(links: DataFrame, state: DataFrame) -> DataFrame:
+    """(node, part): the part is the component of the node among the links inside its community."""
+    a = state.select(F.col("node").alias("a"), F.col("community").alias("ca"))
+    b = state.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    inner = links.select(F.col("u").alias("a"), F.col("v").alias("b")).join(a, "a").join(b, "b").where("ca = cb")
+    return linked_roots(save(inner.select("a", "b"))).withColumnRenamed("root", "part")
 
-def _moves_apart(proposal: DataFrame) -> DataFrame:
+
+def _local_moves(
+    links: DataFrame, state: DataFrame, total: float, seed: int, max_rounds: int, minimum_gain: float, share: float
+) -> DataFrame:
+    """``state`` (node, k, community) after the moves of a level. ``links`` are the arcs between different nodes. Ends
+    when no active node gains, or two rounds together gain less than ``minimum_gain``, or than ``share`` of what all
+    rounds have gained."""
+    active, gains, calm = None, [], False
+    nodes = state.count()
+    for round_number in range(max_rounds):
+        # few gaining nodes seldom meet: all of them move
+        turn = F.lit(True) if calm else F.pmod(F.xxhash64(F.lit(seed + round_number), F.col("node")), F.lit(2)) == 0
+        rated = save(_rated(links, state, active, total, turn, minimum_gain))
+        moved = rated.where("moves")
+        ahead, change, moves, waiting = _after(links, state, rated, moved, total)
+        if moves and change < minimum_gain:
+            # too many at once: those that touch no common community
+            discard(ahead)
+            moved = save(_moves_apart(moved))
+            ahead, change, moves, _ = _after(links, state, moved, moved, total)
+        gains.append(change)
+        calm = 50 * (moves + waiting) < nodes
+        if not moves and not waiting:
+            discard(ahead, rated)
+            return state
+        discard(state)
+        state = ahead
+        if moves and len(gains) > 1 and sum(gains[-2:]) < max(minimum_gain, share * sum(gains)):
+            return state
+        # neighbours of the moves, unless they share the new community, and nodes that had to wait
+        near = links.join(moved.select(F.col("node").alias("u"), F.col("best").alias("to")), "u")
+        near = near.join(state.select(F.col("node").alias("v"), "community"), "v").where("community <> to")
+        active = near.select(F.col("v").alias("node")).union(rated.where("gains").select("node"))
+    raise RuntimeError(f"the community search has not settled in {max_rounds} rounds of a level (last gain {gains[-1]})")
+
+
+def _rated(
+    links: DataFrame, state: DataFrame, active: DataFrame | None, total: float, turn, minimum_gain: float
+) -> DataFrame:
+    """(node, k, community, best, better, gains, moves) of the active nodes (all, if None): the best community among
+    those of its neighbours, what it is better by, whether that is a gain, and whether the node moves now."""
+    asked = links if active is None else links.join(active.withColumnRenamed("node", "u"), "u", "left_semi")
+    target = state.select(F.col("node").alias("v"), F.col("community").alias("to"))
+    toward = asked.join(target, "v").groupBy(F.col("u").alias("node"), "to").agg(F.sum("w").alias("w"))
+    volumes = state.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("volume"))
+    own = volumes.select(F.col("to").alias("community"), F.col("volume").alias("_own"))
+    scored = toward.join(state.join(own, "community"), "node").join(volumes, "to")
+    here = F.col("to") == F.col("community")
+    gain = F.col("w") - F.col("k") * (F.col("volume") - F.when(here, F.col("k")).otherwise(0.0)) / total
+    # ties to the smallest community: min_by over a two-part order is partially aggregated
+    choice = scored.withColumn("gain", gain).groupBy("node", "k", "community", "_own").agg(
+        F.min_by("to", F.struct(-F.round("gain", 9), F.col("to"))).alias("best"),
+        F.max("gain").alias("_best"),
+        F.max(F.when(here, F.col("w"))).alias("_inner"),
+    )
+    stay = F.coalesce("_inner", F.lit(0.0)) - F.col("k") * (F.col("_own") - F.col("k")) / total
+    better = F.col("_best") - stay
+    # a move changes the modularity by 2 / total times what it is better by
+    gains = (F.col("best") != F.col("community")) & (better * 2 / total > 1e-3 * minimum_gain)
+    rows = choice.select("node", "k", "community", "best", better.alias("better"), gains.alias("gains"))
+    return rows.withColumn("moves", F.col("gains") & turn)
+
+
+def _after(
+    links: DataFrame, state: DataFrame, rated: DataFrame, moved: DataFrame, total: float
+) -> tuple[DataFrame, float, int, int]:
+    """(state after the moves, change of modularity, moves, gaining nodes that did not move). The change follows from
+    the arcs of the moved nodes and the volumes of the communities they leave and join."""
+    better = moved.select("node", F.col("best").alias("_to"))
+    ahead = save(state.join(better, "node", "left").select("node", "k", F.coalesce("_to", "community").alias("community"), F.col("community").alias("previous")))
+    start = moved.select(F.col("node").alias("u"), F.col("community").alias("_from"), F.col("best").alias("_to"))
+    other = ahead.select(F.col("node").alias("v"), F.col("community").alias("_new"), F.col("previous").alias("_old"))
+    # both directions count; an arc between two moved nodes is met from either side
+    sides = F.when(F.col("_new") == F.col("_old"), 2.0).otherwise(1.0)
+    changed = (F.col("_to") == F.col("_new")).cast("double") - (F.col("_from") == F.col("_old")).cast("double")
+    zero = [F.lit(0).alias("moves"), F.lit(0).alias("waiting")]
+    inner = links.join(start, "u").join(other, "v").select((sides * changed * F.col("w") / total).alias("part"), *zero)
+    ends = F.array(F.struct(F.col("community").alias("c"), (-F.col("k")).alias("d")), F.struct(F.col("best").alias("c"), F.col("k").alias("d")))
+    shifts = moved.select(F.explode(ends).alias("_s")).groupBy(F.col("_s.c").alias("previous")).agg(F.sum("_s.d").alias("d"))
+    volumes = state.groupBy(F.col("community").alias("previous")).agg(F.sum("k").alias("volume"))
+    part = -F.col("d") * (2 * F.col("volume") + F.col("d")) / (total * total)
+    spread = shifts.join(volumes, "previous").select(part.alias("part"), *zero)
+    flags = [F.col("moves").cast("int").alias("moves"), (F.col("gains") & ~F.col("moves")).cast("int").alias("waiting")]
+    counted = rated.select(F.lit(0.0).alias("part"), *flags)
+    change, moves, waiting = inner.union(spread).union(counted).agg(F.sum("part"), F.sum("moves"), F.sum("waiting")).first()
+    return ahead.select("node", "k", "community"), float(change or 0.0), int(moves or 0), int(waiting or 0)
+
+
+def _moves_apart(moved: DataFrame) -> DataFrame:
     """Keeps the moves that are the best of both communities they touch. No two of them share a community, so
     their gains add up exactly, and the best move of all is among them."""
-    moved = proposal.where("moved")
-    ends = moved.select("node", "better", F.explode(F.array("previous", "community")).alias("end"))
+    ends = moved.select("node", "better", F.explode(F.array("community", "best")).alias("end"))
     best = ends.groupBy("end").agg(F.min_by("node", F.struct(-F.col("better"), F.col("node"))).alias("node"))
-    kept = best.groupBy("node").agg(F.count("*").alias("_ends")).where("_ends = 2")
-    community = F.when(F.col("_ends").isNotNull(), F.col("community")).otherwise(F.col("previous"))
-    return proposal.join(kept, "node", "left").select("node", "k", community.alias("community"))
+    kept = best.groupBy("node").agg(F.count("*").alias("_ends")).where("_ends = 2").select("node")
+    return moved.join(kept, "node", "left_semi")
+
+
+def _connected_parts(links: DataFrame, state: DataFrame, total: float, seed: int, rounds: int = 4) -> tuple[DataFrame, bool]:
+    """(node, k, community, part), whether any part has grown: every community built anew from single nodes. In a
+    round, nodes still alone that are drawn to move join the part of their own community with the best gain, among
+    parts that do not move: those of several nodes, and nodes alone that were not drawn. A node joins a part that one
+    of its links leads into and that nobody leaves, so parts are connected. Nodes that stay alone are parts."""
+    a = state.select(F.col("node").alias("u"), F.col("community").alias("cu"))
+    b = state.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+    inner = save(links.join(a, "u").join(b, "v").where("cu = cv").select("u", "v", "w"))
+    parts, grown = state.withColumns({"part": F.col("node"), "single": F.lit(True)}), False
+    for round_number in range(rounds):
+        drawn = F.pmod(F.xxhash64(F.lit(seed + 500 + round_number), F.col("node")), F.lit(2)) == 0
+        movers = parts.where(F.col("single") & drawn).select(F.col("node").alias("u"), "k")
+        volumes = parts.groupBy("part").agg(F.sum("k").alias("volume"))
+        still = parts.where(~(F.col("single") & drawn)).select(F.col("node").alias("v"), "part")
+        toward = inner.join(movers, "u").join(still, "v").groupBy("u", "k", "part").agg(F.sum("w").alias("w")).join(volumes, "part")
+        gain = F.col("w") - F.col("k") * F.col("volume") / total
+        best = toward.withColumn("gain", gain).where("gain > 0").groupBy(F.col("u").alias("node"))
+        best = best.agg(F.min_by("part", F.struct(-F.round("gain", 9), F.col("part"))).alias("_to"))
+        joined = parts.join(best, "node", "left").select("node", "k", "community", F.coalesce("_to", "part").alias("part"), F.col("_to").isNotNull().alias("_moved"))
+        joined = save(joined)
+        moved = joined.where("_moved").count()
+        grown = grown or moved > 0
+        members = joined.groupBy("part").agg((F.count("*") == 1).alias("single"))
+        parts = joined.drop("_moved").join(members, "part").select("node", "k", "community", "part", "single")
+    return save(parts.drop("single")), grown
 
 
 def spectral_embedding(
