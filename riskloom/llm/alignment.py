@@ -6,22 +6,24 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.words import slices
 from riskloom.session import materialise, work_path
 
 # bytes of text that are worked on, and of new parts that are given to the tokenizers, at once
-SLICE, ENCODED = 2 << 20, 1 << 16
-# texts are cut before single blanks into parts; so many distinct parts, and groups, are remembered by a task
-REMEMBERED = 1 << 18
+SLICE, ENCODED = 1 << 20, 1 << 16
+# texts are cut before single blanks into parts, and these before punctuation into pieces; so many of the distinct
+# parts, pieces and groups are remembered by a task
+REMEMBERED = 1 << 17
 # links that are expanded, and pair counts that are held by a task, at once
 LINKS, HELD = 1 << 21, 1 << 20
 # groups with more links than this are expanded from distinct ids with multiplicities
@@ -30,6 +32,8 @@ LARGE = 64
 HEAD = 1 << 19
 BREAK = re.compile(r"(?<=\S) (?!\Z)")
 IRREGULAR = re.compile(r"(?:\A|\s) | \Z")
+STOPS = '.,;:!?)"\n'
+INNER = regex.compile(f"(?<=\\p{{L}})(?=[{STOPS}])|(?<=[{STOPS[:-1]}])(?=\n)")
 
 
 def byte_characters() -> dict[str, int]:
@@ -88,11 +92,12 @@ class Tokenizers:
             [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         )
         self.size_a, self.size_b = len(self.a_bytes.width), len(pieces)
-        # no token reaches over a blank that follows another character: parts can be tokenized by themselves
+        # no token reaches over a blank that follows another character, from a letter to a stop, or over a line feed:
+        # parts and pieces can be tokenized by themselves
         setting = json.loads(a)
         kind = setting.get("pre_tokenizer") or {}
         split = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not setting.get("normalizer")
-        self.splits = bool(split) and not any(re.search("[^▁]▁", p) for p in pieces)
+        self.splits = bool(split) and not any(re.search("[^▁]▁|\n", p) or (not self.b.is_byte(i) and INNER.search(p)) for i, p in enumerate(pieces))
 
     def parts(self, text: str) -> list[str]:
         """Parts that, each after a blank, make up blank + text; every part begins a token in both tokenizers."""
@@ -100,9 +105,13 @@ class Tokenizers:
             return [text]
         return BREAK.split(text) if IRREGULAR.search(text) else text.split(" ")
 
-    def tokens_a(self, parts: list[str], starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, byte ends, tokens per part) by the character offsets of A. ``starts``: first byte of each part."""
-        found = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
+    def pieces(self, part: str) -> list[str]:
+        """Pieces of a part; they never end in white space, on which A's next token could depend."""
+        return INNER.split(part) if self.splits else [part]
+
+    def tokens_a(self, pieces: list[str], starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, byte ends, tokens per piece) by the character offsets of A. ``starts``: first byte of each piece."""
+        found = self.a.encode_batch(pieces, add_special_tokens=False)
         counts = np.array([len(e.ids) for e in found], np.int64)
         ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64, counts.sum())
         offsets = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * counts.sum()).reshape(-1, 2)
@@ -111,15 +120,22 @@ class Tokenizers:
         begin, end = (characters[np.minimum(base + offsets[:, k], len(characters) - 1)] for k in (0, 1))
         return ids, spans(self.a_bytes.width[ids], begin, end, firsts(counts)), counts
 
-    def tokens_b(self, parts: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same by the byte spans of B's protocol messages; they do not count the blank that B puts in front."""
-        found = [m.pieces for m in self.b.encode(parts, num_threads=1, return_type="proto")]
+    def tokens_b(self, pieces: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same by the byte spans of B's protocol messages. B puts a blank in front itself; a piece without one
+        follows a line feed instead, and the two tokens of blank and line feed are left out."""
+        blank = np.array([p.startswith(" ") for p in pieces], bool)
+        given = [p[1:] if b else "\n" + p for p, b in zip(pieces, blank.tolist())]
+        found = [m.pieces for m in self.b.encode(given, num_threads=1, return_type="proto")]
         counts = np.array([len(p) for p in found], np.int64)
         ids = np.array([q.id for p in found for q in p], np.int64)
         low, high = np.array([q.begin for p in found for q in p], np.int64), np.array([q.end for p in found for q in p], np.int64)
-        first, base = firsts(counts), np.repeat(starts[:-1], counts)
-        begin = base + np.where(first, 0, low + 1)
-        return ids, spans(self.b_bytes.width[ids], begin, base + high + 1, first), counts
+        behind = np.repeat(np.where(blank, 1, -1), counts)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kept = (behind > 0) | (place >= 2)
+        base = np.repeat(starts[:-1], counts)
+        begin = base + np.where((behind > 0) & (place == 0), 0, low + behind)
+        counts = np.where(blank, counts, counts - 2)
+        return ids[kept], spans(self.b_bytes.width[ids[kept]], begin[kept], (base + high + behind)[kept], firsts(counts)), counts
 
 
 def firsts(counts: np.ndarray) -> np.ndarray:
@@ -213,14 +229,14 @@ def group_text(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarra
     return [flat[begin : end - 1] if end > begin else "" for begin, end in zip([0, *ends], ends)]
 
 
-def aligned(parts: list[str], tokenizers: Tokenizers) -> Aligned:
-    """Aligns each part, taken after a blank."""
-    raw = [b" " + p.encode() for p in parts]
+def aligned(pieces: list[str], tokenizers: Tokenizers) -> Aligned:
+    """Aligns each piece; one that begins a part begins with its blank."""
+    raw = [p.encode() for p in pieces]
     starts = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    owners = len(parts)
-    a, end_a, count_a = tokenizers.tokens_a(parts, starts, data)
-    b, end_b, count_b = tokenizers.tokens_b(parts, starts)
+    owners = len(pieces)
+    a, end_a, count_a = tokenizers.tokens_a(pieces, starts, data)
+    b, end_b, count_b = tokenizers.tokens_b(pieces, starts)
     good = faithful(owners, starts, data, tokenizers.a_bytes, a, end_a, count_a)
     good &= faithful(owners, starts, data, tokenizers.b_bytes, b, end_b, count_b)
     keep_a, keep_b = np.repeat(good, count_a), np.repeat(good, count_b)
@@ -276,12 +292,19 @@ class Places(dict):
         return np.fromiter(map(self.__getitem__, names), np.int64, len(names)), self.new
 
 
+def joined(every: list[Aligned]) -> Aligned:
+    columns = {n: np.concatenate([getattr(x, n) for x in every]) for n in ("good", "n_a", "n_b", "n_groups", "n_links", "pair", "times")}
+    ends = np.cumsum([0, *[x.at[-1] for x in every]])
+    at = np.concatenate([[0], *[x.at[1:] + before for x, before in zip(every, ends)]])
+    return Aligned(**columns, text=list(chain.from_iterable(x.text for x in every)), at=at)
+
+
 class Memory:
-    """Alignments of the parts met so far by a task: every part is aligned when it is met first. When there are over
-    REMEMBERED, those in use least are forgotten; met again, they are aligned again."""
+    """Alignments of the strings met so far by a task: each is made when it is met first. When there are over
+    ``remembered``, those in use least are forgotten; met again, they are made again."""
 
-    def __init__(self, tokenizers: Tokenizers, remembered: int):
-        self.tokenizers, self.remembered = tokenizers, remembered
+    def __init__(self, make: Callable[[list[str]], Aligned], remembered: int):
+        self.make, self.remembered = make, remembered
         zero = np.zeros(0, np.int64)
         self.place = Places()
         self.all, self.uses = Aligned(np.zeros(0, bool), zero, zero, zero, zero), zero
@@ -290,41 +313,62 @@ class Memory:
         least = 1
         while (kept := np.flatnonzero(self.uses > least)).size > self.remembered // 2:
             least *= 2
-        old, names = self.all, list(self.place)
-        _, entry = expanded(old.at, kept)
-        sizes = (old.at[1:] - old.at[:-1])[kept]
-        columns = {n: getattr(old, n)[kept] for n in ("good", "n_a", "n_b", "n_groups", "n_links")}
-        self.all = Aligned(**columns, text=[old.text[i] for i in kept], at=np.r_[0, np.cumsum(sizes)], pair=old.pair[entry], times=old.times[entry])
+        self.all = chosen(self.all, kept)
+        names = list(self.place)
         self.place, self.uses = Places({names[i]: k for k, i in enumerate(kept.tolist())}), self.uses[kept] // 2
 
-    def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each part, parts per text)."""
+    def find(self, names: list[str]) -> np.ndarray:
+        """The place of each string in ``all``."""
         if len(self.place) > self.remembered:
             self.forget()
-        split = [self.tokenizers.parts(t) for t in texts]
-        counts = np.array([len(s) for s in split], np.int64)
-        parts = list(chain.from_iterable(split))
-        places, new = self.place.numbers(parts)
+        places, new = self.place.numbers(names)
         at, more = 0, []
         while at < len(new):  # a bounded number of bytes at once
             held, stop = 0, at
             while stop < len(new) and (held < ENCODED or stop == at):
                 held += len(new[stop]) + 8
                 stop += 1
-            more.append(aligned(new[at:stop], self.tokenizers))
+            more.append(self.make(new[at:stop]))
             at = stop
         if more:
-            self.add(more)
-        self.uses += np.bincount(places, minlength=len(self.uses))
-        return places, counts
+            self.all = joined([self.all, *more])
+        self.uses = np.r_[self.uses, np.zeros(len(new), np.int64)] + np.bincount(places, minlength=len(self.place))
+        return places
 
-    def add(self, more: list[Aligned]) -> None:
-        every = [self.all, *more]
-        joined = {n: np.concatenate([getattr(x, n) for x in every]) for n in ("good", "n_a", "n_b", "n_groups", "n_links", "pair", "times")}
-        ends = np.cumsum([x.at[-1] for x in every])
-        at = np.concatenate([self.all.at, *[x.at[1:] + before for x, before in zip(more, ends)]])
-        self.all = Aligned(**joined, text=list(chain.from_iterable(x.text for x in every)), at=at)
-        self.uses = np.r_[self.uses, np.zeros(len(joined["good"]) - len(self.uses), np.int64)]
+
+def chosen(old: Aligned, kept: np.ndarray) -> Aligned:
+    _, entry = expanded(old.at, kept)
+    sizes = old.at[kept + 1] - old.at[kept]
+    columns = {n: getattr(old, n)[kept] for n in ("good", "n_a", "n_b", "n_groups", "n_links")}
+    return Aligned(**columns, text=[old.text[i] for i in kept], at=np.r_[0, np.cumsum(sizes)], pair=old.pair[entry], times=old.times[entry])
+
+
+class PartMemory(Memory):
+    """Parts, put together from remembered pieces."""
+
+    def __init__(self, tokenizers: Tokenizers, remembered: int):
+        super().__init__(self.composed, remembered)
+        self.tokenizers = tokenizers
+        self.pieces = Memory(lambda pieces: aligned(pieces, tokenizers), remembered)
+
+    def composed(self, parts: list[str]) -> Aligned:
+        split = [self.tokenizers.pieces(" " + p) for p in parts]
+        counts = np.array([len(x) for x in split], np.int64)
+        places = self.pieces.find(list(chain.from_iterable(split)))
+        every, head = self.pieces.all, np.cumsum(counts) - counts
+        columns = {n: np.add.reduceat(getattr(every, n)[places], head) for n in ("n_a", "n_b", "n_groups", "n_links")}
+        _, entry = expanded(every.at, places)
+        ends = np.cumsum(every.at[places + 1] - every.at[places])
+        shown, stops = places.tolist(), np.cumsum(counts).tolist()
+        text = [";".join([every.text[p] for p in shown[x:y]]) for x, y in zip([0, *stops], stops)]
+        at = np.r_[0, ends[np.cumsum(counts) - 1]]
+        good = np.logical_and.reduceat(every.good[places], head)
+        return Aligned(good=good, **columns, text=text, at=at, pair=every.pair[entry], times=every.times[entry])
+
+    def parts_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each part, parts per text)."""
+        split = [self.tokenizers.parts(t) for t in texts]
+        return self.find(list(chain.from_iterable(split))), np.array([len(s) for s in split], np.int64)
 
 
 class Links:
@@ -374,7 +418,7 @@ def expanded(at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.arange(int(sizes.sum())) - before[owner] + at[places][owner]
 
 
-def slice_pairs(memory: Memory, places: np.ndarray, text: np.ndarray, good: np.ndarray) -> np.ndarray:
+def slice_pairs(memory: PartMemory, places: np.ndarray, text: np.ndarray, good: np.ndarray) -> np.ndarray:
     """The pairs of each text once, one after another."""
     total = memory.tokenizers.size_a * memory.tokenizers.size_b
     used = good[text]
@@ -389,7 +433,7 @@ def slice_pairs(memory: Memory, places: np.ndarray, text: np.ndarray, good: np.n
     return found % total
 
 
-def good_texts(memory: Memory, places: np.ndarray, counts: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def good_texts(memory: PartMemory, places: np.ndarray, counts: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text of each part, texts that have tokens)."""
     text = np.repeat(np.arange(len(counts)), counts)
     bad = np.bincount(text, weights=~memory.all.good[places], minlength=len(counts)) > 0
@@ -471,7 +515,7 @@ def align_tokenizers(
     names = ["_key", *numbers, "groups", "pair", "count"]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(Tokenizers(*files.value), REMEMBERED)
+        memory = PartMemory(Tokenizers(*files.value), REMEMBERED)
         pairs, counts, key_type = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
         def added_up() -> pa.RecordBatch:
@@ -482,7 +526,7 @@ def align_tokenizers(
             key_type = batch.schema.field(0).type
             for begin, stop in slices(batch.column(1), SLICE):
                 given = [t or "" for t in batch.column(1).slice(begin, stop - begin).to_pylist()]
-                places, parts = memory.find(given)
+                places, parts = memory.parts_of(given)
                 text_of, good = good_texts(memory, places, parts, np.array([bool(t) for t in given]))
                 shown, stops, every = places.tolist(), np.cumsum(parts).tolist(), memory.all
                 groups = [";".join([every.text[p] for p in shown[x:y]]) if ok else "" for x, y, ok in zip([0, *stops], stops, good)]

@@ -7,7 +7,7 @@ import pytest
 from conftest_llm import narrative, odd_rows
 
 from riskloom.llm import alignment
-from riskloom.llm.alignment import Tokenizers, align_tokenizers, aligned, byte_characters
+from riskloom.llm.alignment import PartMemory, Tokenizers, align_tokenizers, byte_characters, chosen
 
 A, B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 pytestmark = pytest.mark.skipif(not os.path.exists(A), reason="vocabulary files not mounted")
@@ -75,7 +75,9 @@ def test_parts_are_aligned_as_whole_texts(tokenizers, monkeypatch, splits):
     assert tokenizers.splits
     monkeypatch.setattr(tokenizers, "splits", splits)
     for text in TRICKY + [narrative(3, 200)]:
-        found = aligned(tokenizers.parts(text), tokenizers)
+        memory = PartMemory(tokenizers, 1 << 17)
+        places, _ = memory.parts_of([text])
+        found = chosen(memory.all, places)
         groups = plain(tokenizers, text)
         assert (found.good.all()) == (groups is not None), text
         if groups is not None:
@@ -85,10 +87,12 @@ def test_parts_are_aligned_as_whole_texts(tokenizers, monkeypatch, splits):
 
 def test_random_texts(tokenizers):
     chooser = random.Random(4)
+    memory = PartMemory(tokenizers, 60)
     letters = "ab '\n\t  .,éß中😀́ ١0▁Zz"
-    for _ in range(400):
+    for _ in range(2000):
         text = "".join(chooser.choice(letters) for _ in range(chooser.randrange(1, 30)))
-        found, groups = aligned(tokenizers.parts(text), tokenizers), plain(tokenizers, text)
+        places, _ = memory.parts_of([text])
+        found, groups = chosen(memory.all, places), plain(tokenizers, text)
         assert bool(found.good.all()) == (groups is not None), text
         assert groups is None or ";".join(found.text) == shown(groups), text
 
