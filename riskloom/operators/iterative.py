@@ -214,7 +214,8 @@ def communities(
     ``share`` of what the phase has gained: the rest is left to the next levels. Then every community is built anew
     from single nodes: nodes still alone join a part of their community that they are linked with and gain by, while
     that part holds still, so that every part is connected. Parts become the nodes of the next level and start it in
-    their communities. The levels end when the communities are the nodes, or no part has grown.
+    their communities. The levels end when no node of a level has moved and the communities are the nodes, or no
+    part has grown.
 
     At last the graph's own nodes move, from where the levels have brought them, until no active node gains or two
     rounds gain less than ``minimum_gain``, and communities that are not connected are split into their components,
@@ -234,11 +235,11 @@ def communities(
         state = save(state)
         for level in range(max_levels):
             links = arcs.where("u <> v")
-            state = _local_moves(links, state, total, seed + 1000 * level, max_rounds, minimum_gain, share)
+            state, gained = _local_moves(links, state, total, seed + 1000 * level, max_rounds, minimum_gain, share)
             parts, grown = _connected_parts(links, state, total, seed + 1000 * level)
             counts = parts.agg(F.countDistinct("community"), F.countDistinct("part")).first()
             membership = _renamed(membership, parts.select("node", "part"))
-            if counts[0] == counts[1] or not grown:
+            if not gained and (counts[0] == counts[1] or not grown):
                 membership = _renamed(membership, parts.select(F.col("part").alias("node"), F.col("community").alias("part")).distinct())
                 break
             a = parts.select(F.col("node").alias("u"), F.col("part").alias("pu"))
@@ -253,7 +254,7 @@ def communities(
         # the nodes themselves, until none gains
         links, start = finest.where("u <> v"), membership.select(F.col("node_id"), F.col("node").alias("community"))
         state = save(nodes.join(start.withColumnRenamed("node_id", "node"), "node").select("node", "k", "community"))
-        state = _local_moves(links, state, total, seed - 1000, max_rounds, minimum_gain, 0.0)
+        state, _ = _local_moves(links, state, total, seed - 1000, max_rounds, minimum_gain, 0.0)
         membership = _renamed(graph.vertices.select("node_id", F.col("node_id").alias("node")), _components_inside(links, state))
     sizes = membership.groupBy("node").agg(
         F.count("*").alias("community_size"), F.min("node_id").alias("community_id")
@@ -277,9 +278,9 @@ def _components_inside(links: DataFrame, state: DataFrame) -> DataFrame:
 
 def _local_moves(
     links: DataFrame, state: DataFrame, total: float, seed: int, max_rounds: int, minimum_gain: float, share: float
-) -> DataFrame:
-    """``state`` (node, k, community) after the moves of a level. ``links`` are the arcs between different nodes. Ends
-    when no active node gains, or two rounds together gain less than ``minimum_gain``, or than ``share`` of what all
+) -> tuple[DataFrame, float]:
+    """``state`` (node, k, community) after the moves of a level, and their gain. ``links`` are the arcs between
+    different nodes. Ends when no active node gains, or two rounds together gain less than ``minimum_gain``, or than ``share`` of what all
     rounds have gained."""
     active, gains, calm = None, [], False
     nodes = state.count()
@@ -298,11 +299,11 @@ def _local_moves(
         calm = 50 * (moves + waiting) < nodes
         if not moves and not waiting:
             discard(ahead, rated)
-            return state
+            return state, sum(gains)
         discard(state)
         state = ahead
         if moves and len(gains) > 1 and sum(gains[-2:]) < max(minimum_gain, share * sum(gains)):
-            return state
+            return state, sum(gains)
         # neighbours of the moves, unless they share the new community, and nodes that had to wait
         near = links.join(moved.select(F.col("node").alias("u"), F.col("best").alias("to")), "u")
         near = near.join(state.select(F.col("node").alias("v"), "community"), "v").where("community <> to")

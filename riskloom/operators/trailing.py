@@ -152,9 +152,13 @@ def add_trailing_history(
         total = F.coalesce(same_step_amount + F.coalesce(f"_a_{w}", F.lit(0)), F.lit(0))
         features[f"{prefix}_count_prev_{w}"] = count.cast("double")
         features[f"{prefix}_amount_prev_{w}"] = total.cast("double")
+    return with_ratios(joined.select(*events.columns, *[c.alias(n) for n, c in features.items()]), prefix, windows)
+
+
+def with_ratios(history: DataFrame, prefix: str, windows: Sequence[int]) -> DataFrame:
+    """Adds the ratios of the shortest to the longest window."""
     longest = windows[-1]
-    result = joined.select(*events.columns, *[c.alias(n) for n, c in features.items()])
-    return result.withColumns(
+    return history.withColumns(
         {
             f"{prefix}_{ratio}_ratio_1_to_{longest}": safe_divide(
                 F.col(f"{prefix}_{part}_prev_1"), F.col(f"{prefix}_{part}_prev_{longest}")

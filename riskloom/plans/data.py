@@ -141,6 +141,13 @@ class RiskData:
         # the balance defines the label of the derived domain tables
         return models.fit(frame, [c for c in columns if c != "initial_balance"], "node_id", settings=ModelJob())
 
+    @cached_property
+    def forest(self) -> models.Trained:
+        """A random forest of the settings on the same columns."""
+        columns = [c for c in graph_plans.model_columns(self.tabular) if c != "initial_balance"]
+        frame = self.tabular.withColumn("label", F.col("is_fraud").cast("double"))
+        return models.fit(frame, columns, "node_id", kind="random_forest", settings=self.settings.model)
+
     @cached_property
     def scores(self) -> DataFrame:
         return materialise(scoring.score_accounts(self.model, self.tabular, 0.5), "scores")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import hash_fraction
-from riskloom.operators import graph as graphs, iterative, metrics, models, quality, scoring
+from riskloom.operators import graph as graphs, iterative, metrics, models, quality, scoring, tree_shapley
 from riskloom.plans import graph as graph_plans
+from riskloom.plans.data import WINDOWS
 from riskloom.plans.oracle import money, r
-from riskloom.plans.queries_features import CURVE, FLOW_VIEWS, drift_sql
+from riskloom.plans.queries_features import CURVE, FLOW_VIEWS, USER_FEATURES, drift_sql
 from riskloom.plans.queries_tables import CONFUSION, scored_accounts
 from riskloom.plans.registry import query
 from riskloom.session import materialise, work_path
-from riskloom.streaming import jobs
+from riskloom.streaming import history, jobs
 
 # ---- graph ------------------------------------------------------------------------------------
 
@@ -399,6 +400,43 @@ def _(data):
     return contributions(data)
 
 
+# a tree by hand: quantity up to 100 (60 of 100 rows) gives 0.2; of the other 40, discount up to 0.3 (10) gives 0.5,
+# else 0.9
+HAND_TREE = [(0, 0, 0, 100.0, 1, 2, 100.0, 0.0), (0, 1, -1, 0.0, -1, -1, 60.0, 0.2), (0, 2, 1, 0.3, 3, 4, 40.0, 0.0),
+             (0, 3, -1, 0.0, -1, -1, 10.0, 0.5), (0, 4, -1, 0.0, -1, -1, 30.0, 0.9)]
+
+
+@query("M11_tree_shapley", f"""
+SELECT account_id, {r('0.2 * ((1 - q) - 0.6) + 0.5 * (q - 0.4) * (0.25 + (1 - d)) / 2 + 0.9 * (q - 0.4) * (0.75 + d) / 2', 'quantity')},
+ {r('0.5 * ((1 - d) - 0.25) * (0.4 + q) / 2 + 0.9 * (d - 0.75) * (0.4 + q) / 2', 'discount')}, 0.44::DOUBLE AS base FROM (
+SELECT account_id, (quantity > 100)::INTEGER::DOUBLE AS q, (discount > 0.3)::INTEGER::DOUBLE AS d FROM (
+SELECT l_orderkey AS account_id, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS quantity, sum(l_discount::DECIMAL(18,4))::DOUBLE
+ AS discount FROM lineitem GROUP BY 1))""")
+def _(data):
+    sums = [F.sum(F.col(c).cast("decimal(38,8)")).cast("double") for c in ("l_quantity", "l_discount")]
+    rows = data.table("lineitem").groupBy(F.col("l_orderkey").alias("account_id")).agg(F.array(*sums).alias("values"))
+    nodes = data.spark.createDataFrame(HAND_TREE, tree_shapley.NODE_COLUMNS)
+    found = tree_shapley.shapley_values(nodes, rows)
+    parts = [(F.round(F.get("contributions", F.lit(i)), 6) + F.lit(0.0)).alias(n) for i, n in enumerate(("quantity", "discount"))]
+    return found.select("account_id", *parts, F.round("base", 6).alias("base"))
+
+
+@query("M11_forest_attribution")
+def _(data):
+    return tree_shapley.forest_contributions(data.forest, data.tabular, k=5)
+
+
+@query("M11_forest_sums", "SELECT count(*) AS accounts, 0 AS unexplained FROM nodes")
+def _(data):
+    """Contributions and the training mean add up to the score of every account."""
+    rows = tree_shapley.forest_contributions(data.forest, data.tabular, k=1000)
+    base = tree_shapley.Forest.of(tree_shapley.forest_nodes(data.forest.model).toPandas()).base
+    sums = rows.groupBy(F.col("account_id").alias("node_id")).agg(F.sum("contribution").alias("total"))
+    both = data.forest.score(data.tabular).select("node_id", "score").join(sums, "node_id", "left")
+    apart = F.coalesce(F.abs(F.col("total") + base - F.col("score")), F.lit(1.0)) > 1e-6
+    return both.agg(F.count("*").alias("accounts"), F.count_if(apart).cast("int").alias("unexplained"))
+
+
 INCIDENT = """
 SELECT source_node_id AS account_id, 'account->transfers->account' AS relation, target_node_id::VARCHAR AS other,
  transaction_id, amount FROM transfers UNION ALL
@@ -444,6 +482,16 @@ def _(data):
     )
 
 
+@query("M14_forest_reports")
+def _(data):
+    """The reports of all accounts by the forest: scores, contributions and counterparty risk are its own."""
+    scores = materialise(scoring.score_accounts(data.forest, data.tabular, 0.5), "forest_scores")
+    risk = scores.select(F.col("account_id").cast("string").alias("account_id"), F.col("fraud_probability").alias("probability"))
+    edges = scoring.critical_transactions(data.typed_edges, risk, k=5)
+    top = _with_text_id(tree_shapley.forest_contributions(data.forest, data.tabular, k=5))
+    return scoring.account_reports(scores, top, edges)
+
+
 # ---- streaming --------------------------------------------------------------------------------
 
 
@@ -578,3 +626,19 @@ def _(data):
         work_path(data.spark, "offsets"),
     )
 
+
+@query("R4_online_history", "SELECT transaction_id, " + ", ".join(r(n, n) for n in USER_FEATURES) + " FROM event_history")
+def _(data):
+    """The events arrive in four parts, in step order; each is read as a batch of its own."""
+    folder = work_path(data.spark, "arrivals")
+    events = data.events.select("transaction_id", "source_account_id", "event_step", "amount")
+    cuts = [None, *events.agg(F.percentile_approx("event_step", [0.25, 0.5, 0.75])).first()[0], None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = events if low is None else events.where(F.col("event_step") > low)
+        part = part if high is None else part.where(F.col("event_step") <= high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.stream_files(data.spark, folder, events.schema, format="parquet")
+    rows = history.stream_history(
+        stream, "source_account_id", "user", work_path(data.spark, "history"), work_path(data.spark, "offsets"), windows=WINDOWS
+    )
+    return rows.select("transaction_id", *USER_FEATURES)
