@@ -590,6 +590,24 @@ def _(data):
     return drift.with_pvalue(drift.temporal_drift(data.history)).select("feature", "ks_statistic", "ks_pvalue")
 
 
+HALVES = """SELECT p_retailprice, p_size, CASE WHEN p_partkey % 2 = 0 THEN 'recent' ELSE 'baseline' END AS cohort FROM part
+WHERE p_partkey <= 2 * (SELECT count(*) // 2 FROM part)"""
+# of two samples of one size n, the reflections of the paths that leave the band give the exact value
+REFLECTED = """SELECT feature, ks, 2 * list_sum(list_transform(range(1, n // greatest(h, 1) + 1), lambda k: power(-1, k - 1)
+ * exp(2 * lgamma(n + 1) - lgamma(n - k * h + 1) - lgamma(n + k * h + 1)))) AS p FROM (SELECT feature, ks, n,
+ round(ks * n)::BIGINT AS h FROM ks_values JOIN (SELECT feature, max(nb)::BIGINT AS n FROM cumulative GROUP BY 1) USING (feature))"""
+
+
+@query("D3_exact_pvalue", f"SELECT feature, {r('ks', 'ks_statistic')}, {r('least(1, p)', 'ks_pvalue')} FROM reflected",
+       **drift_sql(HALVES, ["p_retailprice", "p_size"]), reflected=REFLECTED)
+def _(data):
+    part = data.table("part")
+    rows = part.where(F.col("p_partkey") <= F.lit(2 * (part.count() // 2)))
+    cohort = F.when(F.col("p_partkey") % 2 == 0, "recent").otherwise("baseline").alias("cohort")
+    found = drift.feature_drift(rows.select("p_retailprice", "p_size", cohort), ["p_retailprice", "p_size"])
+    return drift.with_pvalue(found, method="exact").select("feature", "ks_statistic", "ks_pvalue")
+
+
 @query("D4_temporal_drift", f"SELECT {drift_select()}, ks >= 0.2 AS strong, "
        "row_number() OVER (ORDER BY ks DESC, abs(mr - mb) DESC, feature) <= 10 AS in_top FROM drift_rows",
        **drift_sql(HISTORY_COHORTS, HISTORY_FEATURES))
@@ -598,6 +616,13 @@ def _(data):
     return to_four(report, MEANS).drop("ks_pvalue", "baseline_rows", "recent_rows")
 
 
+@query("D4_report_pvalues", f"SELECT feature, {r('least(1, greatest(0, p))', 'ks_pvalue')}, ks >= 0.2 AS strong FROM ks_tails",
+       **drift_sql(HISTORY_COHORTS, HISTORY_FEATURES), ks_sizes=KS_SIZES, ks_tails=KS_TAILS)
+def _(data):
+    report = drift.temporal_drift_report(data.history, method="asymptotic")
+    return report.select("feature", "ks_pvalue", "strong")
+
+
 @query("T2_top_drift", f"SELECT {drift_select()} FROM drift_rows ORDER BY ks DESC, abs(mr - mb) DESC, feature LIMIT 10",
        **drift_sql(HISTORY_COHORTS, HISTORY_FEATURES))
 def _(data):
@@ -621,6 +646,14 @@ def _(data):
     return rows.withColumns({m: F.round(m, 2) for m in MEANS}).drop("ks_pvalue", "baseline_rows", "recent_rows")
 
 
+@query("D5_verdict_pvalues", f"SELECT feature, {r('least(1, greatest(0, p))', 'ks_pvalue')}, ks >= 0.2 AND p <= 0.05 AS drifted FROM ks_tails",
+       **FLOW_VIEWS, **drift_sql(PAIR, PAIR_NAMES), ks_sizes=KS_SIZES, ks_tails=KS_TAILS)
+def _(data):
+    baseline, recent = data.drift_pair
+    rows = drift.distribution_drift(baseline, recent, columns=PAIR_NAMES, method="asymptotic")
+    return rows.select("feature", "ks_pvalue", "drifted")
+
+
 @query("D6_activity_summary", f"""
 SELECT 'party' AS kind, * FROM (SELECT p.party_id AS id, outgoing_count_recent_30::DOUBLE AS value, p.is_alerted::INTEGER AS
  label FROM parties p JOIN out_party_time o ON p.party_id = o.party_id ORDER BY 2 DESC, 1 LIMIT 10) UNION ALL

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as X
 from riskloom.functions.ordered import keep_first
-from riskloom.operators import canonical as canon, drift, enrich, features, flows, metrics, quality, scoring
+from riskloom.operators import canonical as canon, drift, enrich, features, flows, graph as graphs, iterative, metrics, quality, scoring
 from riskloom.plans import canonical, domain
 from riskloom.plans.oracle import bucket, money, r
 from riskloom.plans.registry import query
-from riskloom.session import work_path
-from riskloom.sources import files
+from riskloom.session import materialise, work_path
+from riskloom.sources import archives, files
 from riskloom.streaming import jobs
 
 RAW_TRANSFERS = """
@@ -109,6 +109,18 @@ def _(data):
     return flows.archive_transactions(archive["transactions"], nodes).drop("transaction_id", "transaction_type_code")
 
 
+@query("S6_packed_archives", "SELECT source_node_id, target_node_id, amount, event_time FROM transfers")
+def _(data):
+    """The archive packed into several .tar.gz files, and read from them."""
+    nodes, transactions = data.archive["nodes"], data.archive["transactions"].drop("id")
+    manifest = archives.write_packed_archives(nodes, transactions, work_path(data.spark, "packed"), parts=8)
+    paths = [row["path"] for row in manifest.select("path").collect()]  # one of each part
+    archive = archives.read_packed_archives(data.spark, paths)
+    known = flows.archive_nodes(archive["nodes"].drop("archive"))
+    rows = flows.archive_transactions(archive["transactions"].drop("archive"), known)
+    return rows.drop("transaction_id", "transaction_type_code")
+
+
 @query("S7_metadata_reconcile", """
 SELECT 'node_count' AS quantity, count(*) AS reported, count(*) AS actual, true AS matches FROM nodes UNION ALL
 SELECT 'fraud_node_count', sum(is_fraud)::BIGINT, sum(is_fraud)::BIGINT, true FROM nodes UNION ALL
@@ -128,6 +140,32 @@ def _(data):
     return data.spark.read.schema(ddl).json(path)
 
 
+@query("S8_all_reports", """
+SELECT unnest(['activity', 'drift', 'graph_summary', 'metrics', 'profile', 'validation']) AS report, 0 AS lost, 0 AS added""")
+def _(data):
+    """All reports through the sink; what comes back is compared with what was written, row by row."""
+    graph_rows = graphs.graph_summary(data.graph, iterative.connected_components(data.graph), graphs.clustering(data.graph))
+    reports = {
+        "validation": quality.validation_report(data.tables),
+        "profile": quality.profile_report(data.tables),
+        "drift": drift.temporal_drift_report(data.history),
+        "activity": drift.activity_by_step(data.transactions),
+        "graph_summary": graph_rows,
+        "metrics": metrics.threshold_metrics(scored_accounts(data)),
+    }
+    reports = {name: materialise(rows, name) for name, rows in reports.items()}
+    root = work_path(data.spark, "reports")
+    files.write_reports(reports, root)
+    rows = []
+    for name, written in reports.items():
+        found = files.read_report(data.spark, root, name, written.schema)
+        sides = written.withColumn("_side", F.lit(1)).unionByName(found.withColumn("_side", F.lit(-1)))
+        balance = sides.groupBy(*written.columns).agg(F.sum("_side").alias("n"))
+        counts = [F.coalesce(F.sum(F.greatest(sign * F.col("n"), F.lit(0))), F.lit(0)).cast("int") for sign in (1, -1)]
+        rows.append(balance.agg(counts[0].alias("lost"), counts[1].alias("added")).withColumn("report", F.lit(name)))
+    return quality.union_all(rows)
+
+
 @query("S9_feature_sink", f"""
 SELECT source_account_id, count(*) AS outgoing_transaction_count, {r("sum(" + money("amount") + ")", "outgoing_amount_total")}
 FROM transactions GROUP BY source_account_id""")
@@ -467,6 +505,36 @@ def _(data):
     return counted.unpivot([], extra, "column_name", "present")
 
 
+@query("T8_required_columns", """
+SELECT 'accounts' AS table_name, '' AS missing, count(*) AS rows FROM accounts UNION ALL
+SELECT 'parties', 'alert_type, event_value', count(*) FROM parties""")
+def _(data):
+    """Two columns that only alerts have: an error that names them for parties, none where all are there."""
+    asked = {"accounts": ("account_id", "party_id"), "parties": ("party_id", "alert_type", "event_value")}
+    counted = []
+    for name, wanted in asked.items():
+        missing = ""
+        try:
+            X.require_columns(data.tables[name], wanted, name)
+        except KeyError as error:
+            missing = str(error.args[0]).rsplit("columns ", 1)[1]
+        rows = data.tables[name].agg(F.count("*").alias("rows"))
+        counted.append(rows.select(F.lit(name).alias("table_name"), F.lit(missing).alias("missing"), "rows"))
+    return quality.union_all(counted)
+
+
+@query("V5_required_report", """
+SELECT 'accounts' AS table_name, true AS passed, '' AS missing_columns, count(*) AS rows FROM accounts UNION ALL
+SELECT 'alerts', false, 'party_id', count(*) FROM alerts UNION ALL SELECT 'parties', true, '', count(*) FROM parties UNION ALL
+SELECT 'transactions', true, '', count(*) FROM transactions""")
+def _(data):
+    """The check of required columns over the canonical tables, one of which has lost a column."""
+    tables = data.tables | {"alerts": data.tables["alerts"].drop("party_id")}
+    checked = quality.required_columns(tables)
+    counted = [tables[n].agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(n)) for n in quality.REQUIRED_COLUMNS]
+    return checked.join(quality.union_all(counted), "table_name")
+
+
 # ---- scalar functions -------------------------------------------------------------------------
 
 
