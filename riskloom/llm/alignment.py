@@ -23,7 +23,7 @@ from riskloom.session import materialise, work_path
 SLICE, ENCODED = 1 << 20, 1 << 16
 # texts are cut before single blanks into parts, and these before punctuation into pieces; so many of the distinct
 # parts, pieces and groups are remembered by a task
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 # links that are expanded, and pair counts that are held by a task, at once
 LINKS, HELD = 1 << 21, 1 << 20
 # groups with more links than this are expanded from distinct ids with multiplicities
@@ -347,7 +347,7 @@ class PartMemory(Memory):
     """Parts, put together from remembered pieces."""
 
     def __init__(self, tokenizers: Tokenizers, remembered: int):
-        super().__init__(self.composed, remembered)
+        super().__init__(self.composed, remembered // 2)
         self.tokenizers = tokenizers
         self.pieces = Memory(lambda pieces: aligned(pieces, tokenizers), remembered)
 
@@ -371,6 +371,19 @@ class PartMemory(Memory):
         return self.find(list(chain.from_iterable(split))), np.array([len(s) for s in split], np.int64)
 
 
+_kept: dict[tuple[int, int], PartMemory] = {}
+
+
+def worker_memory(files: tuple[str, bytes]) -> PartMemory:
+    """The memory of this process for these tokenizers: the tasks that it runs one after the other share it. What is
+    remembered never changes a result."""
+    name = (hash(files[0]), hash(files[1]))
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = PartMemory(Tokenizers(*files), REMEMBERED)
+    return _kept[name]
+
+
 class Links:
     """The linked pairs of the groups met so far by a task, with their counts if they are known (else 0)."""
 
@@ -515,7 +528,7 @@ def align_tokenizers(
     names = ["_key", *numbers, "groups", "pair", "count"]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = PartMemory(Tokenizers(*files.value), REMEMBERED)
+        memory = worker_memory(files.value)
         pairs, counts, key_type = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
         def added_up() -> pa.RecordBatch:
@@ -590,9 +603,15 @@ def align_tokenizers(
                 columns = [batch.column(0).slice(begin, stop - begin), *sums, pa.ListArray.from_arrays(pa.array(ends), tail)]
                 yield pa.RecordBatch.from_arrays(columns, ["_row", "n_best", "count_sum", "tail"])
 
-    aligned_texts = texts.where("n_links > 0").select("_row", "groups")
     scored = "_row bigint, n_best bigint, count_sum bigint, tail array<struct<pair: bigint, times: bigint>>"
-    scores = materialise(aligned_texts.mapInArrow(score, scored), "scores")
+    # the stored groups are several times as long as the texts: few rows at once, by a session of its own
+    few = spark.newSession()
+    few.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    few.conf.set("spark.sql.parquet.columnarReaderBatchSize", "500")
+    scores_at = work_path(spark, "scores")
+    stored_groups = few.read.schema(f"{schema}, _row bigint").parquet(texts_at).where("pair IS NULL AND n_links > 0").select("_row", "groups")
+    stored_groups.mapInArrow(score, scored).write.parquet(scores_at)
+    scores = spark.read.schema(scored).parquet(scores_at)
     tails = scores.select("_row", F.explode("tail").alias("_t")).select("_row", "_t.pair", "_t.times")
     marks = counted.where(size < least) if least is not None else counted
     marks = marks.join(F.broadcast(best_table(spark, best)), F.expr(f"pair div {size_b}") == F.col("_a"), "left")
