@@ -2,12 +2,13 @@
 
 * ``running_totals``: prefix sums over a value ordering. Each group is cut into equi-depth slices,
   a window runs inside a slice, and the slice totals (few per group) supply the offsets.
-* ``exact_quantiles``: linear-interpolated quantiles read off the running totals.
+* ``bracketed_quantiles``: linear-interpolated quantiles; only values near them are shuffled.
 * ``keep_first``: deterministic keyed dedupe.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -93,31 +94,76 @@ def running_totals(
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float], *, levels: int = 2) -> DataFrame:
-    """One row with the linear-interpolated quantiles (named by the dict keys); NULLs are skipped."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return quantiles_of_counts(materialise(counts, "counts"), probabilities, levels=levels)
+# accuracy of the bounds between which exact ranks are counted: about 4 rows in so many are looked at again
+BRACKET = 10_000
+# distinct values of a bracket that one task may order
+NARROW = 1_000_000
 
 
-def quantiles_of_counts(counts: DataFrame, probabilities: dict[str, float], *, levels: int = 2) -> DataFrame:
-    """The same from stored value counts (value, n)."""
-    total = counts.agg(F.sum("n")).scalar()
-    ranked = (
-        running_totals(counts, [], "value", ["n"], levels=levels, stored=True)
-        .withColumn("_total", total)
-        .withColumn("_from", F.col("n_upto") - F.col("n"))
-    )
+def bracketed_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of numeric columns, exact; NULL and NaN are skipped, None where nothing is left.
+
+    A first pass counts and finds approximate bounds around every quantile, for all columns at once. A second one
+    counts what lies below each bracket and the values inside it: 4 in BRACKET of the rows, grouped before they are
+    shuffled. A bracket that turns out not to hold its ranks is replaced by all values of its column.
+    """
+    columns = list(wanted)
+    if not columns:
+        return {}
+    typed = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    slots = [(i, p) for i, c in enumerate(columns) for p in wanted[c]]
+    reach = 2.0 / BRACKET
+    bounds = []
+    for i, p in slots:
+        around = [max(0.0, p - reach), min(1.0, p + reach)]
+        bounds.append(F.percentile_approx(f"c{i}", around, BRACKET).alias(f"b{len(bounds)}"))
+    first = typed.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))], *bounds).first()
+    brackets, ranks = [], []
+    for k, (i, p) in enumerate(slots):
+        n, low_high = first[f"n{i}"], first[f"b{k}"]
+        position = (n - 1) * p
+        ranks.append((math.floor(position), math.ceil(position), position - math.floor(position)))
+        low, high = low_high or (None, None)
+        brackets.append((low if p > reach else float("-inf"), high if p < 1 - reach else float("inf")) if n else None)
+
+    def counted(brackets: list) -> tuple[list[int], DataFrame]:
+        """(rows below each bracket, stored (slot, value, n) inside)."""
+        used = [(k, slots[k][0], *b) for k, b in enumerate(brackets) if b]
+        below = typed.agg(*[F.count_if(F.col(f"c{i}") < F.lit(low)).alias(f"k{k}") for k, i, low, _ in used]).first().asDict()
+        inside = [F.when(F.col(f"c{i}").between(F.lit(low), F.lit(high)), F.struct(F.lit(k).alias("slot"), F.col(f"c{i}").alias("value"))) for k, i, low, high in used]
+        near = typed.select(F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("s")).select("s.slot", "s.value")
+        return below, materialise(near.groupBy("slot", "value").agg(F.count("*").alias("n")), "brackets")
+
+    found: dict[int, tuple[float, float]] = {}
+    open_ = [b is not None for b in brackets]
+    while any(open_):
+        below, rows = counted([b if o else None for b, o in zip(brackets, open_)])
+        if rows.count() > NARROW:
+            placed = running_totals(rows, ["slot"], "value", ["n"], stored=True)
+        else:
+            upto = W.partitionBy("slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+            placed = rows.withColumn("n_upto", F.sum("n").over(upto))
+        start = F.create_map(*[F.lit(x) for k in range(len(slots)) if open_[k] for x in (k, below[f"k{k}"])])
+        lower, upper = (F.create_map(*[F.lit(x) for k in range(len(slots)) if open_[k] for x in (k, ranks[k][end])]) for end in (0, 1))
+        upto = F.col("n_upto") + start[F.col("slot")]
+        at = [F.max(F.when((upto - F.col("n") <= m[F.col("slot")]) & (m[F.col("slot")] < upto), F.col("value"))) for m in (lower, upper)]
+        got = {r[0]: (r[1], r[2]) for r in placed.groupBy("slot").agg(*at).collect()}
+        for k, o in enumerate(open_):
+            if o and None not in got.get(k, (None, None)):
+                found[k], open_[k] = got[k], False
+            elif o:
+                brackets[k] = (float("-inf"), float("inf"))
+    result: dict[str, list[float | None]] = {c: [] for c in columns}
+    for k, (i, _) in enumerate(slots):
+        low, high = found.get(k, (None, None))
+        result[columns[i]].append(None if low is None else low + (high - low) * ranks[k][2])
+    return result
 
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("n_upto")), F.col("value").cast("double")))
 
-    result = []
-    for name, p in probabilities.items():
-        position = (F.col("_total") - 1) * F.lit(p)
-        low, high = at_rank(F.floor(position)), at_rank(F.ceil(position))
-        fraction = F.max(position - F.floor(position))
-        result.append((low + (high - low) * fraction).alias(name))
-    return ranked.agg(*result)
+def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
+    """One row with the linear-interpolated quantiles (named by the dict keys); NULLs are skipped."""
+    values = bracketed_quantiles(df.select(F.col(column).alias("x")), {"x": list(probabilities.values())})["x"]
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in zip(probabilities, values)])
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -244,7 +244,7 @@ def comparable_columns(baseline: DataFrame, recent: DataFrame, columns: Sequence
     wanted = columns or distribution_feature_columns(baseline)
     names = [c for c in wanted if c in baseline.columns and c in usable]
     if not names:
-        raise ValueError("the two frames have no numeric feature column in common")
+        raise ValueError("the two frames have no overlapping numeric feature columns")
     return names
 
 

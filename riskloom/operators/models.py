@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.columns import hash_fraction, numeric_columns
-from riskloom.functions.ordered import running_totals
+from riskloom.functions.ordered import bracketed_quantiles, running_totals
 from riskloom.operators.metrics import decision_metrics, ranking_metrics
 from riskloom.session import materialise
 from riskloom.settings import ModelJob
@@ -71,22 +71,9 @@ def fit_preprocessor(train: DataFrame, columns: Sequence[str]) -> Preprocessor:
 
 
 def exact_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """The median of every numeric column, all columns in one pass over value counts; 0 where all is missing."""
-    if not columns:
-        return {}
-    typed = train.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    long = typed.unpivot([], list(columns), "feature", "value").where("value IS NOT NULL AND NOT isnan(value)")
-    counts = materialise(long.groupBy("feature", "value").agg(F.count("*").alias("n")), "values")
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
-    upto = running_totals(counts, ["feature"], "value", ["n"], stored=True)
-    ranked = counts.join(upto.select("feature", "value", "n_upto"), ["feature", "value"]).join(totals, "feature")
-    first, last = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("n_upto") >= rank) & (F.col("n_upto") - F.col("n") < rank), F.col("value")))
-
-    rows = ranked.groupBy("feature").agg(((at(first) + at(last)) / 2).alias("median")).collect()  # one per column
-    return dict.fromkeys(columns, 0.0) | {r["feature"]: r["median"] for r in rows}
+    """The median of every numeric column, all columns in one pass; 0 where all is missing."""
+    found = bracketed_quantiles(train, {c: [0.5] for c in columns})
+    return {c: 0.0 if found[c][0] is None else found[c][0] for c in columns}
 
 
 def column_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:

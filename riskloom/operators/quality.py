@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.columns import safe_divide
-from riskloom.functions.ordered import quantiles_of_counts
+from riskloom.functions.ordered import exact_quantiles
 from riskloom.session import materialise
 
 # Keys that must be unique
@@ -203,25 +203,16 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def describe_number(df: DataFrame, column: str, name: str) -> DataFrame:
-    """count, mean, sample deviation, extremes and exact quartiles, all from one stored table of value counts;
-    NULLs are skipped."""
-    value = F.col(column).cast("double")
-    counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
-    counts = materialise(counts, "counts")
-    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
-    spread = F.col("value") - counts.agg(mean).scalar()
-    variance = F.try_divide(F.sum(F.col("n") * spread * spread), F.sum("n") - 1)
-    basic = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("count"),
-        mean.alias("mean"),
-        F.sqrt(variance).alias("std"),
+    """count, mean, sample deviation, extremes and exact quartiles; NULLs are skipped."""
+    values = df.select(F.col(column).cast("double").alias("value"))
+    basic = values.agg(
+        F.count("value").cast("double").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    long = [
-        part.unpivot([], part.columns, "statistic", "value")
-        for part in (basic, quantiles_of_counts(counts, QUARTILES))
-    ]
+    long = [part.unpivot([], part.columns, "statistic", "value") for part in (basic, exact_quantiles(values, "value", QUARTILES))]
     return union_all(long).where("value is not null").select(F.lit(name).alias("metric"), "statistic", "value")
 
 

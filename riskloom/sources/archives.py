@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import sys
 import tarfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -11,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 import pyarrow as pa
 from pyarrow import csv, fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -78,17 +80,15 @@ class ArchiveReader(DataSourceReader):
 
 class ArchiveSource(DataSource):
     """Format ``graph_archive``. Options: ``paths``, a JSON list of archives, each of which is one partition; ``member``:
-    nodes, transactions, metadata or members (names and sizes). All columns are text, ``archive`` the path."""
+    nodes, transactions, metadata or members (names and sizes); ``columns``, a JSON list. All columns are text, and
+    ``archive``, the path, comes first."""
 
     @classmethod
     def name(cls) -> str:
         return "graph_archive"
 
     def columns(self) -> list[str]:
-        member = self.options["member"]
-        if member in ("metadata", "members"):
-            return ["value"] if member == "metadata" else ["name", "size"]
-        return [f.name for f in T.StructType.fromDDL(ARCHIVE_DDL[member]).fields]
+        return json.loads(self.options["columns"])
 
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c, T.StringType()) for c in ("archive", *self.columns())])
@@ -98,8 +98,13 @@ class ArchiveSource(DataSource):
 
 
 def read_member(spark: SparkSession, paths: Sequence[str], member: str) -> DataFrame:
+    # by value: the process that plans the read need not find this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("graph_archive").option("paths", json.dumps(list(paths))).option("member", member).load()
+    own = {"metadata": ["value"], "members": ["name", "size"]}
+    columns = own.get(member) or [f.name for f in T.StructType.fromDDL(ARCHIVE_DDL[member]).fields]
+    options = {"paths": json.dumps(list(paths)), "member": member, "columns": json.dumps(columns)}
+    return spark.read.format("graph_archive").options(**options).load()
 
 
 def missing_members(spark: SparkSession, paths: Sequence[str]) -> list[str]:

@@ -1,6 +1,9 @@
 import itertools
+import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +70,7 @@ def test_exact_pvalue(spark):
     df = spark.createDataFrame([(0.525, 80, 15)], "ks_statistic double, baseline_rows long, recent_rows long")
     assert drift.with_pvalue(df, method="exact").first().ks_pvalue == pytest.approx(0.00098980620077, rel=1e-9)
     with pytest.raises(ValueError, match="method"):
-        drift.with_pvalue(df, method="auto")
+        drift.with_pvalue(df, method="both")
 
 
 def test_asymptotic_pvalue(spark):
@@ -133,3 +136,46 @@ def test_activity(spark):
     assert (steps[1].amount_total, steps[1].alert_related_rate, steps[8].cash_rate) == (7.0, 0.5, 1.0)
     card = drift.recent_scorecard(df, (1, 7, 30)).first()
     assert (card.transactions_recent_7, card.amount_recent_30, card.alert_related_recent_30) == (1, 8.5, 2)
+
+
+def whole_lattice(statistic, n, m):
+    """The same chance with all cells of every diagonal."""
+    scale = math.lcm(n, m)
+    edge, stay = round(statistic * scale), {(0, 0): 1.0}
+    for s in range(1, n + m + 1):
+        ahead = {}
+        for (i, j), p in stay.items():
+            left = n + m - s + 1
+            for a, b, chance in ((i + 1, j, (n - i) / left), (i, j + 1, (m - j) / left)):
+                if chance > 0 and abs(a * (scale // n) - b * (scale // m)) < edge:
+                    ahead[a, b] = ahead.get((a, b), 0.0) + p * chance
+        stay = ahead
+    return 1.0 - stay.get((n, m), 0.0)
+
+
+def test_exact_pvalue_of_small_cases():
+    random = np.random.default_rng(4)
+    for _ in range(200):
+        n, m = (int(x) for x in random.integers(1, 25, 2))
+        scale = math.lcm(n, m)
+        statistic = int(random.integers(1, scale + 1)) / scale
+        assert drift.exact_ks_pvalue(statistic, n, m) == pytest.approx(whole_lattice(statistic, n, m), abs=1e-10)
+
+
+def test_exact_pvalue_at_size():
+    started = time.perf_counter()
+    p = drift.exact_ks_pvalue(0.02, 10_000, 10_000)
+    assert time.perf_counter() - started < 3
+    # reflections of the paths that leave the band, of two samples of one size
+    n, h = 10_000, 200
+    ratio = [math.exp(2 * math.lgamma(n + 1) - math.lgamma(n - k * h + 1) - math.lgamma(n + k * h + 1)) for k in range(1, 51)]
+    assert p == pytest.approx(2 * sum((-1) ** k * r for k, r in enumerate(ratio)), rel=1e-6)
+
+
+def test_small_samples_are_exact_by_default(spark, monkeypatch):
+    rows = spark.createDataFrame([("f", 0.3, 40, 20)], "feature string, ks_statistic double, baseline_rows long, recent_rows long")
+    exact = drift.exact_ks_pvalue(0.3, 40, 20)
+    assert drift.with_pvalue(rows, method="auto").first().ks_pvalue == pytest.approx(exact)
+    monkeypatch.setattr(drift, "EXACT_ROWS", 30)
+    found = drift.with_pvalue(rows, method="auto").first().ks_pvalue
+    assert found == drift.with_pvalue(rows).first().ks_pvalue and found != pytest.approx(exact, rel=1e-6)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as X
+from riskloom.functions import ordered
 from riskloom.functions.ordered import exact_quantiles, keep_first, running_totals, with_slice
 
 
@@ -80,6 +81,33 @@ def test_exact_quantiles(spark):
     assert list(row) == pytest.approx([np.percentile(values, 25), np.percentile(values, 50), np.percentile(values, 90)])
 
 
+@pytest.mark.parametrize("bracket", [10_000, 20])
+def test_bracketed_quantiles_shuffle_little(spark, monkeypatch, bracket):
+    """Several columns at once: near-unique values, few values, NULL and NaN, nothing at all."""
+    monkeypatch.setattr(ordered, "BRACKET", bracket)
+    held = []
+    real = ordered.materialise
+    monkeypatch.setattr(ordered, "materialise", lambda df, name: held.append(real(df, name)) or held[-1])
+    random = np.random.default_rng(5)
+    values = np.c_[random.lognormal(3, 2, 40_000), random.integers(0, 4, 40_000)]
+    rows = [(float(a), int(b), None, float("nan") if i % 3 else float(i)) for i, (a, b) in enumerate(values)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double").repartition(6)
+    ps = [0.0, 0.25, 0.5, 0.77, 1.0]
+    got = ordered.bracketed_quantiles(df, {c: ps for c in "abcd"})
+    assert got["a"] == pytest.approx(np.percentile(values[:, 0], [100 * p for p in ps]).tolist(), rel=1e-12)
+    assert got["b"] == np.percentile(values[:, 1], [100 * p for p in ps]).tolist() and got["c"] == [None] * 5
+    assert got["d"] == pytest.approx(np.percentile([r[3] for r in rows if r[3] == r[3]], [100 * p for p in ps]).tolist())
+    if bracket == 10_000:
+        assert len(held) == 1 and held[0].count() < 200
+
+
+def test_quantiles_without_useful_brackets(spark, monkeypatch):
+    """Bounds that miss their ranks: all values of the column decide."""
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda c, ps, accuracy: F.array(F.min(c), F.min(c)).cast("array<double>"))
+    df = spark.range(101).select(F.col("id").cast("double").alias("x"))
+    assert ordered.bracketed_quantiles(df, {"x": [0.5, 0.9]})["x"] == pytest.approx([50.0, 90.0])
+
+
 def test_keep_first(spark):
     df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (2, 5, "z"), (None, 2, "n"), (None, 1, "m")], "k int, o int, v string")
     assert {(r.k, r.v) for r in keep_first(df, ["k"], ["o"]).collect()} == {(1, "a"), (2, "z"), (None, "m")}
