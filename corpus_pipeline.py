@@ -22,7 +22,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the field does not predict toxic. It learns from the labels outside the held-out
-    fold, as op2 does."""
+    fold, as op2 does. Documents without words score 0 and stay; NULLs in any column, repeated rows and columns of any
+    name are kept as they are; an empty table stays empty, and without labels nothing is toxic."""
     labels = table(spark, sf_dir, "labels")
     model = train_toxicity(docs, labels, key="doc_id", text="text", label="toxic", where=fold(5) != 0)
     safe, name = numbered(docs)
@@ -45,7 +46,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are not contaminated by the benchmark."""
+    """Keeps the documents that are not contaminated by the benchmark. Documents without words are not; rows are told
+    apart by id and text, so rows without an id are judged by their own text, and repeated rows share the verdict; an
+    empty table, or benchmark, loses nothing."""
     safe, name = numbered(docs)
     found = contaminated(docs, table(spark, sf_dir, "benchmark"), key="doc_id", text="text")
     bad = materialise(found.where("contaminated").select("doc_id", "_print").distinct(), "contaminated")
@@ -55,12 +58,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: documents that it takes more than once are repeated."""
+    """The mix to target weights: documents that it takes more than once are repeated. Documents without words are not
+    taken; a NULL source is a source, the last; ties go by the seeded digest of the id, then id; repeated rows queue
+    one by one; an empty table stays empty."""
     return mixed(docs, key="doc_id", text="text", source="source")
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the shards in permuted training order; returns the slot table."""
+    """Writes the shards in permuted training order; returns the slot table. Texts that are NULL or empty add no
+    tokens; NULL ids are listed as NULL, repeated rows are written again; an empty table gives no slots."""
     slots = write_training_order(docs, work_path(spark, "shards"), key="doc_id", text="text")
     return slots.withColumnRenamed("keys", "doc_ids")
 
@@ -73,7 +79,7 @@ STAGES = [
     ("token_shards", token_shards),
 ]
 
-# SQL can express neither the field nor XXH64; tests/llm compares the stages with plain versions
+# SQL can express neither the field nor XXH64; tests/llm/test_stages.py compares every stage with a plain version
 ORACLE_SQL = None
 
 

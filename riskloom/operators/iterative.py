@@ -125,6 +125,50 @@ def pagerank(
     return ranks.select("node_id", (F.col("rank") / total).alias("pagerank"))
 
 
+def local_pagerank(
+    graph: Graph,
+    seeds: DataFrame,
+    *,
+    weight: str = "total_amount",
+    damping: float = 0.85,
+    tolerance: float = 1e-6,
+    max_rounds: int = 1000,
+) -> DataFrame:
+    """(seed, node_id, rank, residual): random walks from each account of ``seeds`` (node_id) that go on along an edge,
+    by its share of the weight that its source sends, with chance ``damping``, and else return to the seed.
+
+    Forward push: mass waits at nodes as a residual. In a round, the nodes whose residual is over ``tolerance`` keep
+    what would return and pass the rest on; all others are not touched, so the work follows the neighbourhood that the
+    walks reach and not the graph. A node that sends nothing passes its part to the seed. The ranks of a seed and its
+    residuals add up to 1: what the residuals add up to bounds the error. Seeds that are not in the graph, and NULL,
+    have no rows; a seed given twice counts once. Raises if a frontier is left after ``max_rounds``.
+    """
+    out = graph.edges.groupBy("src").agg(F.sum(weight).alias("_out")).where("_out <> 0")
+    shares = save(graph.edges.join(out, "src").select("src", "dst", (F.col(weight) / F.col("_out")).alias("share")))
+    known = seeds.select("node_id").distinct().join(graph.vertices.select("node_id"), "node_id", "left_semi")
+    state = known.select(F.col("node_id").alias("seed"), "node_id", F.lit(0.0).alias("rank"), F.lit(1.0).alias("residual"))
+    state = save(state)
+    for _ in range(max_rounds):
+        front = state.where(F.col("residual") > tolerance)
+        if front.isEmpty():
+            return state
+        sent = front.join(shares.withColumnRenamed("src", "node_id"), "node_id", "left")
+        target, part = F.coalesce("dst", "seed"), F.coalesce("share", F.lit(1.0))
+        arrived = sent.select("seed", target.alias("node_id"), F.lit(0.0).alias("rank"), (damping * F.col("residual") * part).alias("residual"))
+        pushed = F.col("residual") > tolerance
+        kept = state.select(
+            "seed",
+            "node_id",
+            (F.col("rank") + F.when(pushed, (1 - damping) * F.col("residual")).otherwise(0.0)).alias("rank"),
+            F.when(pushed, 0.0).otherwise(F.col("residual")).alias("residual"),
+        )
+        moved = kept.union(arrived).groupBy("seed", "node_id").agg(F.sum("rank").alias("rank"), F.sum("residual").alias("residual"))
+        ahead = save(moved)
+        discard(state)
+        state = ahead
+    raise RuntimeError(f"local PageRank has not settled in {max_rounds} rounds")
+
+
 def followed(pointers: DataFrame) -> DataFrame:
     """(node, root) after following (node, root) pointers to their ends; they lead to smaller nodes only."""
     while True:

@@ -121,6 +121,20 @@ def critical_transactions(
     return top_per_group(ranked, ["account_id"], order, k)
 
 
+def walked_transactions(edges: DataFrame, ranks: DataFrame, *, k: int = 10) -> DataFrame:
+    """Top k transfers per seed by the walks that pass along them: rank of the sender x share of the transfer in what
+    it sends. ``ranks`` as ``local_pagerank`` gives them, ``edges`` the typed edges; only senders that were reached are
+    looked at. Ties go to the smaller transaction."""
+    transfers = edges.where(F.col("relation") == "account->transfers->account")
+    senders = ranks.where("rank > 0").select(F.col("seed"), F.col("node_id").cast("string").alias("source_id"), "rank")
+    reached = transfers.join(senders.select("source_id").distinct(), "source_id", "left_semi")
+    flow = materialise(reached.groupBy("source_id").agg(money_sum(F.col("amount")).cast("double").alias("_flow")), "flow")
+    passed = reached.join(flow, "source_id").join(senders.withColumnRenamed("rank", "_rank"), "source_id")
+    importance = safe_divide(F.col("amount"), F.col("_flow")) * F.col("_rank")
+    ranked = passed.withColumn("importance", importance).drop("_flow", "_rank")
+    return top_per_group(ranked, ["seed"], [F.desc("importance"), F.asc("transaction_id")], k)
+
+
 def account_reports(scores: DataFrame, contributions: DataFrame, edges: DataFrame) -> DataFrame:
     """(account, probability, top_features map, critical_transactions array); both lists hold <= k."""
     features = contributions.groupBy("account_id").agg(

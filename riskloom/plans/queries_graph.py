@@ -462,6 +462,39 @@ def _(data):
     return scoring.critical_transactions(data.typed_edges, risk, k=5).select("account_id", "rank", "importance")
 
 
+# the oracle follows the walks for this many steps; what is left then is under 0.2 ** 22
+WALK_STEPS = 22
+
+
+def _walk_views() -> dict[str, str]:
+    views = {
+        "seeds": "SELECT node_id AS seed FROM nodes ORDER BY node_id LIMIT 3",
+        "sends": "SELECT src, dst, total_amount / sum(total_amount) OVER (PARTITION BY src) AS share FROM edges",
+        "walk_0": "SELECT seed, seed AS node_id, 1.0::DOUBLE AS x FROM seeds",
+    }
+    for i in range(1, WALK_STEPS + 1):
+        views[f"walk_{i}"] = (
+            "SELECT seed, node_id, sum(x) AS x FROM (SELECT seed, seed AS node_id, 0.8::DOUBLE AS x FROM seeds UNION ALL "
+            f"SELECT seed, coalesce(dst, seed), 0.2 * coalesce(share, 1) * x FROM walk_{i - 1} LEFT JOIN sends ON src = node_id) "
+            "GROUP BY ALL")
+    return views
+
+
+@query("M12_local_walks", f"SELECT seed, node_id, {r('x', 'rank')} FROM walk_{WALK_STEPS} WHERE x > 1e-9", **_walk_views())
+def _(data):
+    """Short walks from three accounts, by local push."""
+    seeds = data.graph.vertices.select("node_id").orderBy("node_id").limit(3)
+    found = iterative.local_pagerank(data.graph, seeds, damping=0.2, tolerance=1e-15)
+    return found.where("rank > 1e-9").select("seed", "node_id", F.round("rank", 6).alias("rank"))
+
+
+@query("M12_walked_transactions")
+def _(data):
+    top = scoring.riskiest(data.scores).select(F.col("account_id").alias("node_id"))
+    ranks = iterative.local_pagerank(data.graph, top, tolerance=1e-5)
+    return scoring.walked_transactions(data.typed_edges, ranks, k=10)
+
+
 @query("M13_highest_risk_report")
 def _(data):
     # the one account first: contributions and edges of no other are ranked

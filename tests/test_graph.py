@@ -215,3 +215,41 @@ def test_bundle(toy):
             bundle["merchant_links"],
         )
     assert graphs.top_nodes(bundle["node_features"], "nope").count() == 0
+
+
+def walks(edges, nodes, seed, damping):
+    """Power iteration of the walks that return to the seed."""
+    out = {n: sum(w for a, _, w in edges if a == n) for n in nodes}
+    x = {n: float(n == seed) for n in nodes}
+    for _ in range(400):
+        ahead = {n: (1 - damping) * (n == seed) for n in nodes}
+        for a, b, w in edges:
+            ahead[b] += damping * x[a] * w / out[a]
+        ahead[seed] += damping * sum(x[n] for n in nodes if not out[n])
+        x = ahead
+    return x
+
+
+def test_local_pagerank_is_within_its_residuals(spark):
+    random = np.random.default_rng(8)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(random.integers(0, 25, 90), random.integers(0, 30, 90), random.integers(1, 9, 90))]
+    g = edge_graph(spark, edges + [(40, 41, 1)], extra=range(30))
+    seeds = spark.createDataFrame([(0,), (3,), (3,), (99,), (None,)], "node_id long")
+    for tolerance in (1e-3, 1e-9):
+        found = iterative.local_pagerank(g, seeds, damping=0.7, tolerance=tolerance).collect()
+        assert {r.seed for r in found} == {0, 3}
+        for seed in (0, 3):
+            rows = [r for r in found if r.seed == seed]
+            left = sum(r.residual for r in rows)
+            assert sum(r.rank for r in rows) + left == pytest.approx(1) and max(r.residual for r in rows) <= tolerance
+            merged = {}
+            for a, b, w in edges:
+                merged[a, b] = merged.get((a, b), 0) + w
+            want = walks([(a, b, w) for (a, b), w in merged.items()], range(30), seed, 0.7)
+            error = sum(abs(want[n] - next((r.rank for r in rows if r.node_id == n), 0.0)) for n in range(30))
+            assert error <= left + 1e-9
+            # the other component is not touched
+            assert not {r.node_id for r in rows} & {40, 41}
+    with pytest.raises(RuntimeError, match="not settled"):
+        iterative.local_pagerank(g, seeds, tolerance=1e-9, max_rounds=2)
+    assert iterative.local_pagerank(g, seeds.limit(0)).count() == 0
