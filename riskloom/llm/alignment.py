@@ -13,7 +13,6 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.words import slices
@@ -21,8 +20,7 @@ from riskloom.session import materialise, work_path
 
 # bytes of text that are worked on, and of new parts that are given to the tokenizers, at once
 SLICE, ENCODED = 1 << 20, 1 << 16
-# texts are cut before single blanks into parts, and these before punctuation into pieces; so many of the distinct
-# parts, pieces and groups are remembered by a task
+# texts are cut before single blanks into parts; so many of the distinct parts and groups are remembered by a task
 REMEMBERED = 1 << 18
 # links that are expanded, and pair counts that are held by a task, at once
 LINKS, HELD = 1 << 21, 1 << 20
@@ -32,8 +30,6 @@ LARGE = 64
 HEAD = 1 << 19
 BREAK = re.compile(r"(?<=\S) (?!\Z)")
 IRREGULAR = re.compile(r"(?:\A|\s) | \Z")
-STOPS = '.,;:!?)"\n'
-INNER = regex.compile(f"(?<=\\p{{L}})(?=[{STOPS}])|(?<=[{STOPS[:-1]}])(?=\n)")
 
 
 def byte_characters() -> dict[str, int]:
@@ -92,12 +88,11 @@ class Tokenizers:
             [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         )
         self.size_a, self.size_b = len(self.a_bytes.width), len(pieces)
-        # no token reaches over a blank that follows another character, from a letter to a stop, or over a line feed:
-        # parts and pieces can be tokenized by themselves
+        # no token reaches over a blank that follows another character: parts can be tokenized apart or together
         setting = json.loads(a)
         kind = setting.get("pre_tokenizer") or {}
         split = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not setting.get("normalizer")
-        self.splits = bool(split) and not any(re.search("[^▁]▁|\n", p) or (not self.b.is_byte(i) and INNER.search(p)) for i, p in enumerate(pieces))
+        self.splits = bool(split) and not any(re.search("[^▁]▁", p) for p in pieces)
 
     def parts(self, text: str) -> list[str]:
         """Parts that, each after a blank, make up blank + text; every part begins a token in both tokenizers."""
@@ -105,43 +100,30 @@ class Tokenizers:
             return [text]
         return BREAK.split(text) if IRREGULAR.search(text) else text.split(" ")
 
-    def pieces(self, part: str) -> list[str]:
-        """Pieces of a part; they never end in white space, on which A's next token could depend."""
-        return INNER.split(part) if self.splits else [part]
-
-    def tokens_a(self, pieces: list[str], starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, byte ends, tokens per piece) by the character offsets of A. ``starts``: first byte of each piece."""
-        found = self.a.encode_batch(pieces, add_special_tokens=False)
-        counts = np.array([len(e.ids) for e in found], np.int64)
-        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64, counts.sum())
-        offsets = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * counts.sum()).reshape(-1, 2)
+    def tokens_a(self, parts: list[str], starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, byte ends, tokens per part) of the parts, joined by blanks, by the character offsets of A. ``starts``:
+        first byte of each part, which is its blank."""
+        found = self.a.encode(" " + " ".join(parts), add_special_tokens=False)
+        ids = np.array(found.ids, np.int64)
+        offsets = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         characters = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
-        base = np.repeat(np.searchsorted(characters, starts[:-1]), counts)
-        begin, end = (characters[np.minimum(base + offsets[:, k], len(characters) - 1)] for k in (0, 1))
-        return ids, spans(self.a_bytes.width[ids], begin, end, firsts(counts)), counts
-
-    def tokens_b(self, pieces: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same by the byte spans of B's protocol messages. B puts a blank in front itself; a piece without one
-        follows a line feed instead, and the two tokens of blank and line feed are left out."""
-        blank = np.array([p.startswith(" ") for p in pieces], bool)
-        given = [p[1:] if b else "\n" + p for p, b in zip(pieces, blank.tolist())]
-        found = [m.pieces for m in self.b.encode(given, num_threads=1, return_type="proto")]
-        counts = np.array([len(p) for p in found], np.int64)
-        ids = np.array([q.id for p in found for q in p], np.int64)
-        low, high = np.array([q.begin for p in found for q in p], np.int64), np.array([q.end for p in found for q in p], np.int64)
-        behind = np.repeat(np.where(blank, 1, -1), counts)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-        kept = (behind > 0) | (place >= 2)
-        base = np.repeat(starts[:-1], counts)
-        begin = base + np.where((behind > 0) & (place == 0), 0, low + behind)
-        counts = np.where(blank, counts, counts - 2)
-        return ids[kept], spans(self.b_bytes.width[ids[kept]], begin[kept], (base + high + behind)[kept], firsts(counts)), counts
-
-
-def firsts(counts: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(counts.sum()), bool)
-    out[(np.cumsum(counts) - counts)[counts > 0]] = True
-    return out
+        return placed(ids, characters[offsets[:, 0]], characters[offsets[:, 1]], self.a_bytes, starts)
+
+    def tokens_b(self, parts: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same by the byte spans of B's protocol message, which do not count the blank that B puts in front."""
+        found = self.b.encode(" ".join(parts), return_type="proto").pieces
+        ids = np.array([q.id for q in found], np.int64)
+        begin, end = np.array([q.begin for q in found], np.int64) + 1, np.array([q.end for q in found], np.int64) + 1
+        begin[:1] = 0
+        return placed(ids, begin, end, self.b_bytes, starts)
+
+
+def placed(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, vocabulary: TokenBytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, byte ends, tokens per part): a token belongs to the part in which its own span begins."""
+    owner = np.searchsorted(starts[:-1], begin, side="right") - 1
+    first = np.r_[True, owner[1:] != owner[:-1]] if len(ids) else np.zeros(0, bool)
+    counts = np.bincount(owner, minlength=len(starts) - 1)
+    return ids, spans(vocabulary.width[ids], begin, end, first), counts
 
 
 def faithful(owners: int, starts: np.ndarray, data: np.ndarray, vocabulary: TokenBytes, ids: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -229,14 +211,28 @@ def group_text(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarra
     return [flat[begin : end - 1] if end > begin else "" for begin, end in zip([0, *ends], ends)]
 
 
-def aligned(pieces: list[str], tokenizers: Tokenizers) -> Aligned:
-    """Aligns each piece; one that begins a part begins with its blank."""
-    raw = [p.encode() for p in pieces]
+def aligned(parts: list[str], tokenizers: Tokenizers) -> Aligned:
+    """Aligns each part, taken after a blank. Parts that can be tokenized together are; those that do not come back
+    byte for byte, for their own or a neighbour's sake, are tokenized once more by themselves."""
+    if len(parts) > 1 and not tokenizers.splits:
+        return joined([aligned([p], tokenizers) for p in parts])
+    found = aligned_together(parts, tokenizers)
+    doubtful = np.flatnonzero(~found.good)
+    if len(parts) == 1 or not len(doubtful):
+        return found
+    # the others as they are, then the doubtful ones, in the order of the parts
+    again = joined([chosen(found, np.flatnonzero(found.good)), *[aligned([parts[i]], tokenizers) for i in doubtful]])
+    order = np.r_[np.flatnonzero(found.good), doubtful]
+    return chosen(again, np.argsort(order, kind="stable"))
+
+
+def aligned_together(parts: list[str], tokenizers: Tokenizers) -> Aligned:
+    raw = [b" " + p.encode() for p in parts]
     starts = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    owners = len(pieces)
-    a, end_a, count_a = tokenizers.tokens_a(pieces, starts, data)
-    b, end_b, count_b = tokenizers.tokens_b(pieces, starts)
+    owners = len(parts)
+    a, end_a, count_a = tokenizers.tokens_a(parts, starts, data)
+    b, end_b, count_b = tokenizers.tokens_b(parts, starts)
     good = faithful(owners, starts, data, tokenizers.a_bytes, a, end_a, count_a)
     good &= faithful(owners, starts, data, tokenizers.b_bytes, b, end_b, count_b)
     keep_a, keep_b = np.repeat(good, count_a), np.repeat(good, count_b)
@@ -344,26 +340,11 @@ def chosen(old: Aligned, kept: np.ndarray) -> Aligned:
 
 
 class PartMemory(Memory):
-    """Parts, put together from remembered pieces."""
+    """Alignments of the parts of texts."""
 
     def __init__(self, tokenizers: Tokenizers, remembered: int):
-        super().__init__(self.composed, remembered // 2)
+        super().__init__(lambda parts: aligned(parts, tokenizers), remembered)
         self.tokenizers = tokenizers
-        self.pieces = Memory(lambda pieces: aligned(pieces, tokenizers), remembered)
-
-    def composed(self, parts: list[str]) -> Aligned:
-        split = [self.tokenizers.pieces(" " + p) for p in parts]
-        counts = np.array([len(x) for x in split], np.int64)
-        places = self.pieces.find(list(chain.from_iterable(split)))
-        every, head = self.pieces.all, np.cumsum(counts) - counts
-        columns = {n: np.add.reduceat(getattr(every, n)[places], head) for n in ("n_a", "n_b", "n_groups", "n_links")}
-        _, entry = expanded(every.at, places)
-        ends = np.cumsum(every.at[places + 1] - every.at[places])
-        shown, stops = places.tolist(), np.cumsum(counts).tolist()
-        text = [";".join([every.text[p] for p in shown[x:y]]) for x, y in zip([0, *stops], stops)]
-        at = np.r_[0, ends[np.cumsum(counts) - 1]]
-        good = np.logical_and.reduceat(every.good[places], head)
-        return Aligned(good=good, **columns, text=text, at=at, pair=every.pair[entry], times=every.times[entry])
 
     def parts_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(place of each part, parts per text)."""
