@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test data not m
 
 
 def test_registry():
-    assert [n for n in range(1, 11) if sum(name.startswith(f"op{n}_") for name in QUERIES) != 1] == []
+    assert [n for n in range(1, 14) if sum(name.startswith(f"op{n}_") for name in QUERIES) != 1] == []
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert len(corpus_pipeline.STAGES) == 5
 
